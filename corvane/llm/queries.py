@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import   hmm, langid, neardup, packing
+from . import   hmm, langid, neardup, packing, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,11 +35,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCABULARY, RANKS)
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(*secrets.ledgered(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
+    "op6_secret_scans": op6_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
