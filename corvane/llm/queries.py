@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import   hmm, langid, neardup, packing, secrets
+from . import   hilbert, hmm, langid, neardup, packing, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,12 +39,17 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(*secrets.ledgered(documents(spark, sf_dir)))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
