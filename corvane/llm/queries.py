@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import   hilbert, hmm, langid, neardup, packing, secrets
+from . import audio, hilbert, hmm, langid, neardup, packing, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.features(audio.encode(documents(spark, sf_dir)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), VOCABULARY, RANKS)
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
     "op10_sharding": op10_sharding,
