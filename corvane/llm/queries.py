@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, hilbert, hmm, langid, neardup, packing, secrets
+from . import audio, decontaminate, hilbert, hmm, langid, neardup, packing, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(*secrets.ledgered(documents(spark, sf_dir)))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 
