@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, hilbert, hmm, langid, neardup, packing, secrets
+from . import audio, decontaminate, hilbert, hmm, langid, neardup, packing, quality, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
