@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, hilbert, hmm, langid, neardup, packing, quality, secrets
+from . import audio, decontaminate, hilbert, hmm, htmltext, langid, neardup, packing, quality, secrets
 from .common import documents, fold
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(*secrets.ledgered(documents(spark, sf_dir)))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
+    "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
