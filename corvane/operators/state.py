@@ -1,0 +1,56 @@
+"""Keyed, time-bounded state as batch operators over an event log; streaming/ has the live forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def last_turns(turns: DataFrame, key: str, order: list[str], n: int, text: str, cut: int) -> DataFrame:
+    """The last n turns of each key, oldest first, texts cut to ``cut`` characters."""
+    newest = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
+    return turns.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= n).withColumn(text, F.substring(text, 1, cut))
+
+
+def history_window(turns: DataFrame, key: str, order: str, role: str, text: str, n: int = 6, cut: int = 1000) -> DataFrame:
+    """Of each turn, the n turns before it as one text."""
+    line = F.concat(F.col(role), F.lit(": "), F.substring(F.coalesce(text, F.lit("")), 1, cut))
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1)
+    return turns.withColumn("history", F.array_join(F.collect_list(line).over(before), "\n"))
+
+
+def claims(events: DataFrame, key: list[str], at: str, ttl: int, order: str) -> DataFrame:
+    """Adds claimed: whether an event is accepted; one within ``ttl`` seconds of the last accepted one isn't.
+
+    Acceptance depends on the last accepted event, so it is a fold over a key's ordered times.
+    """
+    grouped = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")))).alias("_e"))
+    element = "array<struct<o:" + dict(events.dtypes)[order] + ",claimed:boolean>>"
+    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(element).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        free = acc["last"].isNull() | (e["t"] - acc["last"] >= ttl)
+        return F.struct(F.when(free, e["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), free.alias("claimed")))).alias("out"))
+
+    return grouped.select(*key, F.explode(F.aggregate("_e", zero, step, lambda acc: acc["out"])).alias("c")).select(*key, F.col("c.o").alias(order), F.col("c.claimed").alias("claimed"))
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: int, order: str) -> DataFrame:
+    """Sessions that end after ``gap`` seconds without an event: key, session, begin, end, events."""
+    over = Window.partitionBy(key).orderBy(at, order)
+    new = F.coalesce((F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(over)) > gap, F.lit(True))
+    marked = events.withColumn("session", F.sum(new.cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(key, "session").agg(F.min(at).alias("begin"), F.max(at).alias("end"), F.count("*").alias("events"))
+
+
+def latest_within(events: DataFrame, key: str, at: str, value: str, as_of: Column, ttl: int, order: str) -> DataFrame:
+    """The last value of each key that is younger than ``ttl`` seconds at ``as_of``."""
+    live = events.where((F.col(at) <= as_of) & (F.unix_timestamp(as_of) - F.unix_timestamp(at) < ttl))
+    return live.groupBy(key).agg(F.max_by(value, F.struct(at, order)).alias(value))
+
+
+def previous_topic(turns: DataFrame, key: str, order: str, text: str, topic: Column, follow_up: Column) -> DataFrame:
+    """Adds resolved: a follow-up's text led by the last topic before it."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(topic, ignorenulls=True).over(before)
+    return turns.withColumn("resolved", F.when(follow_up & last.isNotNull(), F.concat(last, F.lit(" "), F.col(text))).otherwise(F.col(text)))
