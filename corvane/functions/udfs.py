@@ -9,21 +9,22 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composed form."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity without the popular-character rule."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fragment_ratio(query: pd.Series, text: pd.Series) -> pd.Series:
     """The best ratio of a query with any part of the text of its length to two more."""
 
@@ -63,7 +64,7 @@ def recursive_parts(text: str, size: int, separators: tuple[str, ...] = ("\n\n",
 def recursive_split(size: int, overlap: int = 0):
     """Column function: parts of a text, each led by the end of the one before."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def split(text: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[str]:
             parts = recursive_parts(t or "", size - overlap)
@@ -74,7 +75,7 @@ def recursive_split(size: int, overlap: int = 0):
     return split
 
 
-PRICES = "struct<low: double, high: double, low_inclusive: boolean, high_inclusive: boolean>"
+PRICES = StructType([StructField(n, t) for n, t in (("low", DoubleType()), ("high", DoubleType()), ("low_inclusive", BooleanType()), ("high_inclusive", BooleanType()))])
 #: Patterns in order of precedence: a claimed part of the text is not read again.
 BETWEEN = re.compile(r"(?:between\s+)?(\d[\d,]*(?:\.\d+)?)\s*(k?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)\s*(k?)", re.I)
 BOUND = re.compile(r"(under|below|less than|over|above|more than|at least|at most|up to|from)\s*(\d[\d,]*(?:\.\d+)?)\s*(k?)", re.I)
@@ -105,7 +106,7 @@ def price_range(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([price_bounds(t) for t in text], columns=["low", "high", "low_inclusive", "high_inclusive"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def source_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     """The part of a text that equals a quote but for white space; null if there is none."""
 
@@ -117,7 +118,7 @@ def source_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([find(q, t) for q, t in zip(quote, text)], dtype="object")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def rich_text(value: pd.Series) -> pd.Series:
     """Texts of a nested JSON document, in order."""
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def seconds(at: str) -> Column:
+    """Seconds since the epoch, of a timestamp with or without a zone."""
+    return F.col(at).cast("timestamp").cast("double")
+
+
 def last_turns(turns: DataFrame, key: str, order: list[str], n: int, text: str, cut: int) -> DataFrame:
     """The last n turns of each key, oldest first, texts cut to ``cut`` characters."""
     newest = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
@@ -24,7 +29,7 @@ def claims(events: DataFrame, key: list[str], at: str, ttl: int, order: str) ->
 
     Acceptance depends on the last accepted event, so it is a fold over a key's ordered times.
     """
-    grouped = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")))).alias("_e"))
+    grouped = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(seconds(at).alias("t"), F.col(order).alias("o")))).alias("_e"))
     element = "array<struct<o:" + dict(events.dtypes)[order] + ",claimed:boolean>>"
     zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(element).alias("out"))
 
@@ -38,14 +43,14 @@ def claims(events: DataFrame, key: list[str], at: str, ttl: int, order: str) ->
 def sessions(events: DataFrame, key: str, at: str, gap: int, order: str) -> DataFrame:
     """Sessions that end after ``gap`` seconds without an event: key, session, begin, end, events."""
     over = Window.partitionBy(key).orderBy(at, order)
-    new = F.coalesce((F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(over)) > gap, F.lit(True))
+    new = F.coalesce((seconds(at) - F.lag(seconds(at)).over(over)) > gap, F.lit(True))
     marked = events.withColumn("session", F.sum(new.cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "session").agg(F.min(at).alias("begin"), F.max(at).alias("end"), F.count("*").alias("events"))
 
 
 def latest_within(events: DataFrame, key: str, at: str, value: str, as_of: Column, ttl: int, order: str) -> DataFrame:
     """The last value of each key that is younger than ``ttl`` seconds at ``as_of``."""
-    live = events.where((F.col(at) <= as_of) & (F.unix_timestamp(as_of) - F.unix_timestamp(at) < ttl))
+    live = events.where((F.col(at) <= as_of) & (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col(at).cast("timestamp")) < ttl))
     return live.groupBy(key).agg(F.max_by(value, F.struct(at, order)).alias(value))
 
 

@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalogs, evaluation, graphs, retrieval, states, texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _group in (retrieval, texts, graphs, catalogs, evaluation, states):
+    QUERIES |= _group.QUERIES
+    ORACLE_SQL |= _group.ORACLE_SQL
