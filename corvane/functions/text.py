@@ -58,7 +58,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def sentences(text: Column, least: int = 8) -> Column:
     """Parts between line feeds or after a terminator and a space, trimmed, at least ``least`` characters."""
     marked = F.regexp_replace(text, r"([.!?]) +", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def first_phrase(text: Column, phrases: list[str]) -> Column:
@@ -76,7 +76,7 @@ def without(text: Column, fillers: list[str]) -> Column:
 
 def comparison(text: Column) -> Column:
     """The two sides of "a vs b" or "a versus b", trimmed; null where there is no comparison."""
-    parts = F.transform(F.split(text, r"(?i) (?:vs\.?|versus) ", 2), F.trim)
+    parts = F.transform(F.split(text, r"(?i) (?:vs\.?|versus) ", 2), lambda x: F.trim(x))
     return F.when(F.size(parts) == 2, parts)
 
 
@@ -101,7 +101,7 @@ def tag_list(value: Column) -> Column:
     """A bracketed list of quoted tags or a pipe-separated one; trimmed, without empties."""
     inner = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\[|\]$", ""), "['\"]", "")
     parts = F.when(F.trim(value).startswith("["), F.split(inner, ",")).otherwise(F.split(value, r"\|"))
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda t: t != "")
 
 
 def fenced_json(text: Column) -> Column:
@@ -151,7 +151,7 @@ def boolean(value: Column) -> Column:
 
 def path_parts(text: Column, depth: int = 4) -> Column:
     """``a > b > c`` as at most ``depth`` trimmed names."""
-    return F.slice(F.filter(F.transform(F.split(text, ">"), F.trim), lambda p: p != ""), 1, depth)
+    return F.slice(F.filter(F.transform(F.split(text, ">"), lambda x: F.trim(x)), lambda p: p != ""), 1, depth)
 
 
 def has_prefix(path: Column, prefix: Column) -> Column:
