@@ -89,7 +89,9 @@ def price_bounds(text: str | None) -> tuple:
 
     text = text or ""
     if m := BETWEEN.search(text):
-        a, b = value(m[1], m[2] or m[4]), value(m[3], m[4])
+        # "1-2k" shares its unit, "1,000-2k" doesn't
+        unit = m[2] or (m[4] if value(m[1], "") <= value(m[3], "") else "")
+        a, b = value(m[1], unit), value(m[3], m[4])
         low, high, low_in, high_in = min(a, b), max(a, b), True, True
         text = text[: m.start()] + " " * (m.end() - m.start()) + text[m.end() :]
     for m in BOUND.finditer(text):

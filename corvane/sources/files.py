@@ -102,7 +102,7 @@ def needs_rebuild(spark: SparkSession, path: str, fingerprint: str) -> bool:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays, maps and structs as JSON."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True)
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:

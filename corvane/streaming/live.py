@@ -28,8 +28,11 @@ def session_counts(events: DataFrame, at: str, key: str, gap: str, late: str = "
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("events")).select(F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), key, "events")
 
 
-def recent_values(events: DataFrame, key: str, at: str, value: str, keep: int, ttl_ms: int) -> DataFrame:
-    """key, values: the last ``keep`` values of each key after each batch, none older than the TTL."""
+def recent_values(events: DataFrame, key: str, at: str, value: str, keep: int, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+    """key, values: the last ``keep`` values of each key after each batch, none older than the TTL.
+
+    State goes when the watermark passes a key's last event by the TTL, so idle keys hold none.
+    """
 
     def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,11 +44,11 @@ def recent_values(events: DataFrame, key: str, at: str, value: str, keep: int, t
         held.sort()
         held = [x for x in held if x[0] > held[-1][0] - ttl_ms][-keep:]
         state.update(([t for t, _ in held], [v for _, v in held]))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(held[-1][0] + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]], "values": [[v for _, v in held]]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, values array<string>", "times array<long>, held array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, values array<string>", "times array<long>, held array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
