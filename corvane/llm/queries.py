@@ -72,4 +72,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z in lower case, words of the text, distinct shingles, links by counted shared shingles, smallest id reachable.
+NEAR_DEDUP_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def secret_sql() -> str:
+    """Spans from the parts between matches and the matches, as the operator has them."""
+    rules = {**secrets.BASE, **secrets.MORE}
+    quoted = {k: p.replace("'", "''") for k, (p, *_) in rules.items()}
+    scans = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS rank, '{k}' AS kind, {least} AS least, string_split_regex(text, '{quoted[k]}') AS parts, regexp_extract_all(text, '{quoted[k]}', 0) AS hits, regexp_extract_all(text, '{quoted[k]}', {group}) AS wide FROM t WHERE regexp_matches(text, '{quoted[k]}')"
+        for i, (k, (_, group, least)) in enumerate(rules.items())
+    )
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    line = "kind || ':' || start || ':' || (start + length(hit))"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({scans}),
+i AS (SELECT doc_id, rank, kind, least, parts, hits, wide, unnest(range(1, len(hits) + 1)) AS i FROM m),
+e AS (SELECT doc_id, rank, kind, hits[i] AS hit, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start FROM i WHERE length(wide[i]) >= least),
+g AS (SELECT doc_id, {counts}, string_agg({line}, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base, string_agg({line}, ',' ORDER BY start, rank) AS spans FROM e GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql()}
