@@ -121,10 +121,10 @@ def digests(paths: DataFrame, findings: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, paths: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span's text replaced by ``mark``; overlapping spans become one."""
-    found = paths.join(findings, "blob").select(F.col("_id").alias("_path"), "blob", F.col("spans").alias("_spans"))
-    per_path = found.groupBy("_path", "blob").agg(F.first("_spans").alias("_spans"))
+    found = paths.join(findings, "blob").select(F.col("_id").alias("_path"), F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
+    per_path = found.groupBy("_path", "_found").agg(F.first("_spans").alias("_spans"))
     rows = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    both = rows.join(per_path, rows[id_col].eqNullSafe(per_path["_path"]) & (rows["_blob"] == per_path["blob"]), "left")
+    both = rows.join(per_path, rows[id_col].eqNullSafe(per_path["_path"]) & (F.col("_blob") == F.col("_found")), "left")
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
