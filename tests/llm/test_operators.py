@@ -307,7 +307,7 @@ def test_best_run_is_the_best_of_all_runs(seed):
 def test_planted_items_are_met(spark, docs, none):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = {r["item_id"]: r["text"] for r in bench.collect()}
-    planted = [(900_000 + i, some(i, 300) + " " + t.upper().replace(" ", "  ") + " " + some(i + 1, 200)) for i, t in items.items()]
+    planted = [(900_000 + i, some(i, 300) + " " + t.encode().upper().decode().replace(" ", "  ") + " " + some(i + 1, 200)) for i, t in items.items()]
     clean = [(800_000 + i, some(i, 500)) for i in range(5)]
     table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(planted + clean, "doc_id long, text string"))
     got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(table, bench))}
