@@ -45,8 +45,8 @@ MARGIN = 0.4
 DIFFER = 26
 #: Members and set values of a block of a family.
 BLOCK_ROWS, BLOCK_VALUES = 1500, 1_500_000
-#: Rows that may be sent to every task: ids and digests, about 10 MB.
-SENT = 200_000
+#: Rows that may be sent to every task: ids and digests, about 10 MB; row numbers alone, about 25 MB.
+SENT, SENT_NUMBERS = 200_000, 1_000_000
 #: Cached words of a worker.
 CACHED = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -284,12 +284,19 @@ def group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 1
     rows = space.save(docs.mapInArrow(sketcher(shingle, threshold), SKETCHED), "rows")
     reps = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n")).alias("first")).select("digest", "first.doc_id", "first.row", "first.n")
     reps = space.save(reps, "reps")
-    signed = rows.join(reps.select("row"), "row")
+
+    def few(numbers: DataFrame, name: str) -> DataFrame:
+        """Row numbers, sent to all tasks if they are few enough, so that sketches needn't be shuffled to meet them."""
+        kept = space.save(numbers, name)
+        return F.broadcast(kept) if kept.count() <= SENT_NUMBERS else kept
+
+    copies = few(rows.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti"), "copies")
+    signed = rows.where("n > 0").join(copies, "row", "left_anti")
     listed = signed.select("row", "n", "high", "low", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.count("*").alias("members"), F.min("row").alias("first")).where("members > 1").select("key", "first")
     lists = space.save(listed.join(shared, "key"), "lists")
-    met = lists.select("row").distinct()
-    sketches = space.save(signed.join(met, "row").select("row", "n", "sketch"), "sketches")
+    met = few(lists.select("row").distinct(), "met")
+    sketches = space.save(rows.join(met, "row", "left_semi").select("row", "n", "sketch"), "sketches")
     fits = (F.least("n_a", "n_b") * den) >= (F.greatest("n_a", "n_b") * num)
 
     def near(pairs: DataFrame) -> DataFrame:
