@@ -8,7 +8,10 @@ the most frequent, can never lift an item over the threshold alone. A passage re
 where the block-max sum of its essential terms and the block's largest non-essential rest is at least
 the threshold; the items of that block are then scored in full, and all above the threshold are kept.
 Each is verified by the share of the item's word trigrams found in the passage, for the question (all
-sentences but the last) and for the answer (the last) apart.
+sentences but the last) and for the answer (the last) apart. A part of fewer than SHORT words has so few
+trigrams that one edit can take them all, so the share of its words that stand there in order counts too.
+An item is also verified as a whole, by half of all its trigrams, so that one without its short last
+sentence, or with another one, is met; items of fewer than SHORT_ITEM words by three quarters of their words in order.
 
 The index goes to every task in parts of at most PART_BYTES of items, so its size is bounded whatever
 the benchmark's; each part is asked with all passages. Null and empty texts have no passages; null or
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 from .common import emitted, texts
 
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION, ANSWER = 0.55, 0.4, 0.4
+THRESHOLD, QUESTION, ANSWER, WHOLE = 0.55, 0.4, 0.4, 0.5
+#: Parts and items of fewer words are also verified by their words in order, of which these shares are needed.
+SHORT, SHORT_ITEM, ORDERED, ORDERED_ITEM = 6, 8, 0.6, 0.75
+#: Words that may be added within them.
+ADDED = 2
 #: Largest rest that the non-essential terms may have.
 REST = 0.3
 BLOCK = 16
@@ -69,6 +76,8 @@ class Index:
     essential: np.ndarray
     rest: np.ndarray  # block -> largest non-essential sum
     grams: list[tuple[frozenset, frozenset]]
+    whole: list[frozenset]
+    words: list[tuple[list[int], list[int]]]  # of the question and of the answer
 
 
 def trigrams(ids: list[int] | np.ndarray) -> frozenset:
@@ -111,8 +120,10 @@ def build(items: list[tuple[int, bytes]]) -> Index | None:
     top = np.zeros(len(key))
     np.maximum.at(top, at, impact)
     block_starts = np.searchsorted(key // len(rest), np.arange(len(order) + 1))
-    grams = [(trigrams([vocabulary[w] for w in q]), trigrams([vocabulary[w] for w in a])) for _, q, a in cut]
-    return Index([i for i, *_ in cut], vocabulary, int(lengths.max()), starts, item, impact, block_starts, key % len(rest), top, essential, rest, grams)
+    words = [([vocabulary[w] for w in q], [vocabulary[w] for w in a]) for _, q, a in cut]
+    grams = [(trigrams(q), trigrams(a)) for q, a in words]
+    whole = [trigrams(q + a) for q, a in words]
+    return Index([i for i, *_ in cut], vocabulary, int(lengths.max()), starts, item, impact, block_starts, key % len(rest), top, essential, rest, grams, whole, words)
 
 
 def ranges(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +139,35 @@ def overlap(grams: frozenset, there: frozenset, ids: frozenset) -> float:
     return sum((g in there) if len(g) == 3 else all(x in ids for x in g) for g in grams) / len(grams)
 
 
+def ordered(part: list[int], run: list[int]) -> float:
+    """The largest share of the words of ``part`` that stand in order within its length and ADDED words of ``run``."""
+    own, width, best = set(part), len(part) + ADDED, 0
+    for start in (i for i, x in enumerate(run) if x in own):
+        before = [0] * (len(part) + 1)
+        for x in run[start : start + width]:
+            after = [0]
+            for j, y in enumerate(part):
+                after.append(before[j] + 1 if x == y else max(before[j + 1], after[j]))
+            before = after
+        best = max(best, before[-1])
+    return best / len(part)
+
+
+def verified(index: Index, n: int, grams: frozenset, present: frozenset, run: list[int]) -> tuple[float, float] | None:
+    """Question and answer overlap of item ``n`` with a passage; None where neither both parts nor the whole item are there."""
+    shares = []
+    for part, own, least in zip(index.words[n], index.grams[n], (QUESTION, ANSWER)):
+        share = overlap(own, grams, present)
+        if share < least and len(part) < SHORT and (found := ordered(part, run)) >= ORDERED:
+            share = found
+        shares.append(share)
+    if shares[0] < QUESTION or shares[1] < ANSWER:
+        whole = index.words[n][0] + index.words[n][1]
+        if overlap(index.whole[n], grams, present) < WHOLE and (len(whole) >= SHORT_ITEM or ordered(whole, run) < ORDERED_ITEM):
+            return None
+    return shares[0], shares[1]
+
+
 def search(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, float]]:
     """item_id -> (score, question overlap, answer overlap) of the best verified passage of a text."""
     ids = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
@@ -157,9 +197,9 @@ def search(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, fl
         if len(hits):
             grams, present = trigrams(run), frozenset(there.tolist())
         for n in hits.tolist():
-            question, answer = (overlap(g, grams, present) for g in index.grams[block * BLOCK + n])
-            if question >= QUESTION and answer >= ANSWER:
-                got = (float(scores[n]), question, answer)
+            shares = verified(index, block * BLOCK + n, grams, present, run.tolist())
+            if shares:
+                got = (float(scores[n]), *shares)
                 found[index.items[block * BLOCK + n]] = max(got, found.get(index.items[block * BLOCK + n], got))
     return found
 

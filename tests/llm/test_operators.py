@@ -316,6 +316,36 @@ def test_planted_items_are_met(spark, docs, none):
     assert rows(decontaminate.contaminated(none, bench)) == [] and rows(decontaminate.contaminated(docs, bench.limit(0))) == []
 
 
+@pytest.mark.parametrize("n", range(1, 6))
+def test_edited_copies_of_items_with_short_answers_are_met(n):
+    question = "Which harbour town did the seven quiet miners leave before winter came?"
+    answer = "Grelmont beside upper vashel lake".split()[:n]
+    others = [(i, some(i, 20 + i).encode()) for i in range(30)]
+    index = decontaminate.build([*others, (99, f"{question} {' '.join(answer)}.".encode())])
+
+    def met(words: str) -> bool:
+        return 99 in decontaminate.search(index, decontaminate.split(f"{some(50, 90)} {words} {some(51, 90)}".encode()))
+
+    changed = [answer[:i] + ["other"] + answer[i + 1 :] for i in range(n)]
+    added = [answer[:i] + ["other"] + answer[i:] for i in range(1, n)]
+    lost = [answer[:i] + answer[i + 1 :] for i in range(n)]
+    for words in [answer, *changed, *added, *lost, []]:
+        assert met(f"{question} {' '.join(words)}"), words
+    # an edit in the question too; then the answer alone, and other words
+    assert met(f"{question.replace('seven', 'six')} {' '.join(changed[n // 2])}")
+    assert not met(" ".join(answer)) and not met("Which town did they leave?")
+
+
+def test_short_items_are_met_with_one_edit():
+    others = [(i, some(i, 20 + i).encode()) for i in range(30)]
+    for text in ("Who? Tarvel mined pelgrite.", "Name pelgrite finders. Tarvel Moss."):
+        words = decontaminate.split(text.encode())
+        index = decontaminate.build([*others, (99, text.encode())])
+        for i in range(len(words)):
+            copy = b" ".join([*decontaminate.split(some(50, 90).encode()), *words[:i], b"other", *words[i + 1 :], *decontaminate.split(some(51, 90).encode())])
+            assert 99 in decontaminate.search(index, decontaminate.split(copy)), copy
+
+
 def test_block_pruning_loses_no_passage(spark):
     items = [(i, some(i, 20 + i).encode()) for i in range(40)]
     index = decontaminate.build(items)
