@@ -3,8 +3,12 @@
 A page is cut into words and tags. Words score positive and tags negative; the weights are log-odds
 of the token's kind (a tag's name, or a word with the innermost open tag) inside against outside the
 content region, learned from labelled pages, and held to the sign of their class. One linear scan
-finds the best contiguous run. Boilerplate elements (by name, role, class or id) weigh nothing and
-give no text, so that one inside the article doesn't end it.
+finds the best contiguous run. Boilerplate elements weigh nothing and give no text, so that one inside
+the article doesn't end it: those of a fixed list of names, and those with a class, id, role or
+aria-label all of whose words are marks of boilerplate or say only a place or form. If only some of its
+words are marks, the words inside weigh LOWER as much and the run decides. An element that holds the
+largest article or main element, or on pages without these more than half of the words, is neither
+left out nor lowered, nor is one that never ends.
 
 Labelled pages are at most ``sample`` pages with exactly one article element, chosen by a hash of the
 id: what lies inside that element is the content. Without any, words weigh 1 and tags -1.
@@ -21,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +38,28 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S | re.I,
 )
-LABEL = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "object", "canvas", "head", "figcaption"}
+LABEL = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "select", "button", "canvas", "head"}
 #: Words of a class, id or role that mark boilerplate.
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments reply replies disqus cookie cookies consent gdpr banner notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations menu navigation nav navbar breadcrumb breadcrumbs footer header masthead widget toolbar pagination pager copyright complementary contentinfo search".split())
+#: Words that say only where such an element is or what it is made of.
+PLAIN = set("left right top bottom upper lower inner outer box bar block area panel list item items row col column wrap wrapper container slot unit zone group site global primary secondary posts articles links link buttons icons".split())
+LOWER = 0.25
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "param", "track"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CAP = 8.0
 
 
-def marked(attributes: str) -> bool:
-    for found in LABEL.findall(attributes):
-        if MARKS & set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.strip("\"'")).lower())):
-            return True
-    return False
+def marked(attributes: str) -> float:
+    """What the words inside weigh: 0 for boilerplate, LOWER if only some words of a name are marks, else 1."""
+    share = 1.0
+    for label, value in LABEL.findall(attributes):
+        value = value.strip("\"'")
+        for name in [value] if label.lower() == "aria-label" else value.split():
+            own = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
+            if own & MARKS:
+                share = min(share, LOWER if own - MARKS - PLAIN else 0.0)
+    return share
 
 
 @dataclass
@@ -55,6 +68,19 @@ class Token:
     text: str | None  # words, or None for a tag
     block: bool  # a block ends here
     count: int = 1
+    share: float = 1.0
+
+
+def spans(cut: list[tuple]) -> dict[int, int]:
+    """Place of an opening tag -> that of its closing tag."""
+    opened: dict[str, list[int]] = {}
+    found = {}
+    for i, (slash, name, attributes, *_) in enumerate(cut):
+        if slash and opened.get(name):
+            found[opened[name].pop()] = i
+        elif name and not slash and name not in VOID and not attributes.rstrip().endswith("/"):
+            opened.setdefault(name, []).append(i)
+    return found
 
 
 def tokens(page: str) -> list[Token]:
@@ -62,28 +88,37 @@ def tokens(page: str) -> list[Token]:
     cut = [(m.group(2), (m.group(3) or "").lower(), m.group(4) or "", m.group(1), m.group(0)) for m in TOKEN.finditer(page)]
     out: list[Token] = []
     opened: list[str] = []
-    # closing tags yet to come, to tell elements that never end
-    left = Counter(name for slash, name, *_ in cut if slash)
-    skip, depth = "", 0
-    for slash, name, attributes, raw, whole in cut:
-        if slash:
-            left[name] -= 1
-        if skip:
-            if name == skip:
-                depth += -1 if slash else not attributes.rstrip().endswith("/")
-                if depth == 0:
-                    skip = ""
+    ends = spans(cut)
+    before = [0, *accumulate(0 if name or raw is not None or whole.startswith(("<!", "<?")) else len(whole.split()) for _, name, _, raw, whole in cut)]
+    regions = []
+    for kind in ("article", "main"):
+        places = [(i, ends.get(i, i)) for i, (slash, name, *_) in enumerate(cut) if name == kind and not slash]
+        regions += [max(places, key=lambda p: before[p[1]] - before[p[0]])] if places else []
+
+    def held(i: int) -> bool:
+        """Whether the content is in the element that opens at ``i``."""
+        if regions:
+            return any(i < begin and end < ends[i] for begin, end in regions)
+        return 2 * (before[ends[i]] - before[i]) > before[-1]
+
+    skipped = lowered = -1  # the ends of such elements
+    for i, (slash, name, attributes, raw, whole) in enumerate(cut):
+        if i <= skipped:
             continue
         if raw is not None or whole.startswith(("<!", "<?")):
             continue
         if not name:
             words = len(whole.split())
-            out.append(Token(f"word:{opened[-1] if opened else ''}" if words else "", whole, False, words))
-            continue
-        if not slash and name not in VOID and left[name] > 0 and (name in DROPPED or marked(attributes) and name not in ("html", "body", "article", "main")):
-            skip, depth = name, 1
-            out.append(Token("", None, True))
+            out.append(Token(f"word:{opened[-1] if opened else ''}" if words else "", whole, False, words, LOWER if i < lowered else 1.0))
             continue
+        if i in ends:
+            share = 0.0 if name in DROPPED else 1.0 if name in ("html", "body", "article", "main") else marked(attributes)
+            if share < 1 and not held(i):
+                if share == 0:
+                    skipped = ends[i]
+                    out.append(Token("", None, True))
+                    continue
+                lowered = max(lowered, ends[i])
         if slash:
             if name in opened:
                 while opened.pop() != name:
@@ -105,7 +140,7 @@ class Model:
             return 0.0
         if t.text is None:
             return self.weights.get(t.kind, -1.0)
-        return self.weights.get(t.kind, 1.0) * t.count
+        return self.weights.get(t.kind, 1.0) * t.count * t.share
 
 
 def learn(pages: list[str]) -> Model:

@@ -288,6 +288,28 @@ def test_content_is_found_in_a_page(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and rows(htmltext.main_text(table.limit(0))) == []
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div id='header-and-content'>", "<div class=sidebar>", "<form id=search>", "<section aria-label='Search results'>"])
+@pytest.mark.parametrize("region", ["article", "main", "div"])
+def test_wrappers_with_marks_keep_the_content(wrapper, region):
+    body = "".join(f"<p>Paragraph {i} of the long text, with more words here.</p>" for i in range(9))
+    more = "<section class='related-work'><p>Others did this before.</p></section><figure><img src=x><figcaption>A caption.</figcaption></figure><object>In <b>object</b>.</object><dialog>In dialog.</dialog><p>The end of it.</p>"
+    junk = "<div class='related-posts'>Read <p>too</p></div><nav>Home</nav><div class=ad>Buy <div>now</div></div><aside>no</aside>"
+    name = wrapper[1:].split()[0]
+    page = f"<html><body class=sidebar>{junk}{wrapper}<{region}>{body}{junk}{more}</{region}></{name}>{junk}</body></html>"
+    want = " ".join([*[f"Paragraph {i} of the long text, with more words here." for i in range(9)], "Others did this before. A caption. In object. In dialog. The end of it."])
+    weights = htmltext.learn([f"<body>{junk}<article>{body}</article>{junk}</body>"])
+    weights.weights |= {k: -0.05 for k in ("section", "/section", "figure", "/figure", "img", "figcaption", "/figcaption", "object", "/object", "dialog", "/dialog", "b", "/b", "div", "/div")}
+    assert htmltext.extract(page, weights) == want
+
+
+def test_words_in_partly_marked_elements_weigh_less():
+    short, long = "few words of content here", "a list of more words than the content"
+    page = f"<p>{short}</p><hr><p>five other words stand here</p><hr><div class='sidebar-notes'><p>{long}</p></div>"
+    model = htmltext.Model({"hr": -9.0})
+    assert htmltext.extract(page.replace("sidebar", "plain"), model) == long
+    assert htmltext.extract(page, model) == short
+
+
 def test_content_of_the_given_pages(spark):
     got = rows(queries.op7_html_extraction(spark, "/root/testdata/sf0.001"))
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
