@@ -22,17 +22,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id: five words, similarity 0.8."""
-    groups = neardup.group(docs, shingle=5, threshold=(80, 100))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group stays, the first of the smallest id: five words, similarity 0.8.
+
+    Rows are told apart by stored numbers, so null and repeated ids change nothing; rows without words all stay.
+    """
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = Workspace(spark, "numbered").save(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    groups = neardup.group(numbered, shingle=5, threshold=(80, 100), row_col=number)
+    gone = groups.where(~F.col("kept")).select(F.col("row").alias(number))
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = hits.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Rows whose text holds a benchmark item go, each by its own text."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

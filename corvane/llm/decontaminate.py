@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,20 +209,23 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each (document, item) met and verified: HITS."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The index of each part of the items, sent to all tasks."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("words")).where("item is not null and words is not null")
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     count = size // PART_BYTES + 1
-    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = None
     for part in range(count):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == part)
         index = build([(r["item"], r["words"].encode()) for r in own.collect()])  # at most about PART_BYTES
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+        if index is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each (document, item) met and verified: HITS."""
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    found = None
+    for shared in indexes(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
@@ -235,5 +239,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = chosen.mapInArrow(run, HITS)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
-        return spark.createDataFrame([], HITS)
+        return docs.sparkSession.createDataFrame([], HITS)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("top")).select("doc_id", "item_id", "top.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item, whatever their ids."""
+    for shared in indexes(benchmark, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not search(shared.value, split(text)) for text in texts(batch, text_col)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -129,11 +129,12 @@ def sketcher(n: int, threshold: tuple[int, int]):
         def rows() -> Iterator[tuple]:
             nonlocal row
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                numbers = batch.column(2).to_pylist() if batch.num_columns > 2 else range(row, row + batch.num_rows)
+                row += batch.num_rows
+                for doc_id, text, number in zip(batch.column(0).to_pylist(), texts(batch), numbers):
                     s = shingles(text, n)
                     digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    yield doc_id, row, len(s), digest, *(signature(s) if len(s) else (0, 0)), s[:K].view(np.int64).tolist(), keys(s, threshold)
-                    row += 1
+                    yield doc_id, number, len(s), digest, *(signature(s) if len(s) else (0, 0)), s[:K].view(np.int64).tolist(), keys(s, threshold)
 
         yield from emitted(rows(), SKETCHED_ARROW, 2_000)
 
@@ -259,7 +260,8 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
 def linked(space: Workspace, docs: DataFrame, families: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Spanning links (a, b) of rows, from families (row, root, doc_id, digest, n) of at least two rows."""
     wanted = space.save(families, "wanted")
-    known = F.coalesce("doc_id", F.lit(-1 << 63)).alias("_known")
+    # by row number, where the rows have one; else by id
+    known = F.col("row").alias("_known") if "row" in docs.columns else F.coalesce("doc_id", F.lit(-1 << 63)).alias("_known")
     ids = wanted.select(known, "digest")
     small = F.broadcast(ids) if ids.count() <= SENT else ids
     full = docs.select(known, "text").join(small, "_known").select("digest", "text").mapInArrow(setter(n), "digest binary, set binary").dropDuplicates(["digest"])
@@ -272,13 +274,17 @@ def linked(space: Workspace, docs: DataFrame, families: DataFrame, n: int, thres
     return space.save(units.mapInArrow(linker(threshold), "a long, b long"), "links")
 
 
-def group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     threshold: (numerator, denominator) of the smallest similarity that links.
+    row_col: a stored number of each row, unique and not null. The result has it as ``row``, and kept is then true for
+    one row of each group, whether ids are null or repeated: the first by number of those with the smallest id.
+    Each row without words is a group of its own.
     """
     space = Workspace(docs.sparkSession, "neardup")
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    number = [docs[row_col].cast("long").alias("row")] if row_col else []
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *number)
     num, den = threshold
     least = num / den - MARGIN
     rows = space.save(docs.mapInArrow(sketcher(shingle, threshold), SKETCHED), "rows")
@@ -333,10 +339,12 @@ def group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 1
     exact = linked(space, docs, reps.join(roots, "row"), shingle, threshold)
     final = space.save(components(space, exact, "group-cc"), "groups").withColumnRenamed("node", "row")
     placed = reps.join(final, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = space.save(placed.join(ids, "root").select("digest", "component_id"), "classes")
+    ids = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("first"))
+    by_class = space.save(placed.join(ids, "root").select("digest", "component_id", "first"), "classes")
     for name in ("lists", "sketches", "one-mixed", "two-mixed", "wanted"):
         space.drop(name)
-    out = rows.select("doc_id", "n", "digest").join(by_class, "digest", "left")
+    out = rows.select("doc_id", "row", "n", "digest").join(by_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
+    if row_col:
+        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce("first", "row") == F.col("row")).alias("kept"), "row")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

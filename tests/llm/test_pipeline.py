@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from corvane.llm import decontaminate, secrets
 
-from .test_operators import brute_groups, rows
+from .test_operators import brute_groups, rows, some
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,22 @@ def test_an_empty_table_goes_through(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
+
+
+def test_rows_of_null_and_repeated_ids_are_told_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base, other, third, fourth = (f"{some(i, 120)} {i}" for i in range(4))
+    near = base.replace("river", "rivers", 1)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    held = f"{some(9, 80)} {item} {some(8, 80)}"
+    texts = [(None, base), (None, base), (None, near), (None, other), (7, third), (7, third), (7, fourth), (8, fourth), (None, ""), (None, None), (None, None)]
+    few = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    got = [(r["doc_id"], r["text"]) for r in rows(stages["near_dedup"](spark, few.repartition(3), SF))]
+    alone = [x for x in got if x[1] in (base, near)]
+    assert len(alone) == 1 and sorted(got, key=str) == sorted([*alone, (None, other), (7, third), (7, fourth), (None, ""), (None, None), (None, None)], key=str)
+
+    texts = [(None, held), (None, other), (7, held), (7, third), (8, None), (8, None)]
+    few = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    got = [(r["doc_id"], r["text"]) for r in rows(stages["decontamination"](spark, few, SF))]
+    assert sorted(got, key=str) == sorted([(None, other), (7, third), (8, None), (8, None)], key=str)
