@@ -7,8 +7,9 @@ one partition is left. Where its fullest window exceeds the capacity, m rises an
 differenced again. Pools are made and packed inside the task that tokenizes, so nothing is
 shuffled, and a lost task is made again from its own input split.
 
-Null and empty texts hold the end id alone; repeated rows are packed as often as they occur; an
-empty table gives no rows; other columns are not read. Piece order in a window is by pool order.
+Null and empty texts hold the end id alone; repeated rows are packed as often as they occur; a null
+doc_id is carried as null; an empty table gives no rows; other columns are not read. Piece order in a
+window is by pool order.
 """
 
 from __future__ import annotations
@@ -30,6 +31,29 @@ ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 END_ID = 1
 #: Cached words of a worker; beyond it the cache starts again.
 CACHED = 400_000
+#: All white space but the space and the line feed: what str.split takes, which includes what the vocabulary's pattern takes.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
+
+
+def located(vocabulary: str | None) -> str | None:
+    """A path as it is; the name of a public vocabulary as its path on the machine that asks."""
+    if not vocabulary or "/" in vocabulary:
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary)
+
+
+def regular(text: str) -> bool:
+    """Whether the white space of a text is single spaces and line feeds between words.
+
+    Without other white space, a text of n spaces and line feeds has at most n + 1 words, and just
+    as many only where each of them stands alone between two words.
+    """
+    if any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)):
+        return False
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
 
 class Tokenizer:
@@ -43,7 +67,7 @@ class Tokenizer:
     def __init__(self, vocabulary: str, ranks: str | None):
         from tokenizers import Tokenizer as Whole
 
-        self.whole = Whole.from_file(vocabulary)
+        self.whole = Whole.from_file(located(vocabulary))
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.ordinary = None
@@ -53,7 +77,7 @@ class Tokenizer:
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as lines:
+            with open(located(ranks), "rb") as lines:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ordinary = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
@@ -73,8 +97,7 @@ class Tokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        regular = len(text.split()) == text.count(" ") + text.count("\n") + 1
-        if not regular or any(s in text for s in self.special):
+        if not regular(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > CACHED:
             self.words.clear()
@@ -195,6 +218,10 @@ def packer(vocabulary: str, ranks: str | None, capacity: int, piece: int, pool:
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 2048, piece: int = 512, pool: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: SCHEMA. ``ranks``: the same vocabulary for the faster word encoder, or None."""
+    """One row per piece: SCHEMA.
+
+    vocabulary: a path that all machines have, or the name of a public vocabulary, found where the task runs.
+    ranks: the same vocabulary for the faster word encoder, or None.
+    """
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return chosen.mapInArrow(packer(vocabulary, ranks, capacity, piece, pool), SCHEMA)

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, decontaminate, hilbert, hmm, htmltext, langid, neardup, packing, quality, secrets
 from .common import documents, fold
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Names of public vocabularies; tasks find their paths.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,18 @@ def test_pieces_cover_each_document_once(odd, docs, none):
     assert rows(packing.pack(none, queries.VOCABULARY)) == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ids_are_those_of_the_whole_encoder(seed):
+    rng = np.random.default_rng(seed)
+    both = packing.Tokenizer(queries.VOCABULARY, queries.RANKS)
+    parts = ["a", "bc", "Value", "d'ef", "'s", "'", "42", ".", "é", "中文", " ", " ", " ", "\n", "\n", "  ", "\n\n", "\t", "\r\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\x00", *both.special[:2]]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 15))) for _ in range(5_000)]
+    texts += ["name\tvalue\tunit\n\n\nplain text", "a\n a\t\tbc", "a b\xa0\n\nc"]
+    texts += [" ".join(rng.choice(["a", "bc", "d'ef", "42.", "é\x00x", "'s"], 6)) for _ in range(200)]
+    for text, want in zip(texts, both.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(both.encode(text), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_differencing_balances_and_the_count_rises():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 512, 400).tolist()
