@@ -82,8 +82,63 @@ def test_forward_recursion_sums_over_all_paths():
                 p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
             total += p
         assert abs(math.log10(total) - got) < 1e-4
-    start, move, emit = hmm.expected(model, seqs)
+    start, move, emit, log = hmm.expected(model, seqs)
     assert abs(start.sum() - 3) < 1e-3 and abs(move.sum() - 4) < 1e-3 and abs(emit.sum() - 7) < 1e-3
+    assert abs(log / math.log(10) - sum(hmm.likelihoods(model, seqs))) < 1e-4
+    # expected counts by summing over all paths
+    want = [np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))]
+    for s in seqs:
+        paths = {}
+        for path in np.ndindex(*[k] * len(s)):
+            p = model.start[path[0]] * model.emit[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
+            paths[path] = p
+        for path, p in paths.items():
+            p /= sum(paths.values())
+            want[0][path[0]] += p
+            for t, x in enumerate(path):
+                want[2][s[t], x] += p
+                if t:
+                    want[1][path[t - 1], x] += p
+    for got, right in zip((start, move, emit), want):
+        assert np.allclose(got, right, atol=1e-4)
+
+
+def test_full_passes_raise_the_likelihood_and_scores_are_the_models(docs):
+    fitted = hmm.fit(docs, passes=5)
+    assert len(fitted.objectives) == 5 and all(b >= a - 1e-6 * abs(a) for a, b in zip(fitted.objectives, fitted.objectives[1:]))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update([*t.encode().lower().split(), b""])
+    single = {w: int(s) for w, s in zip(fitted.hot.words, fitted.hot.symbol) if s < hmm.OWN}
+    size, kinds = Counter(), Counter()
+    for w, c in train.items():
+        if w not in single:
+            size[hmm.class_of(w)] += c
+            kinds[hmm.class_of(w)] += 1
+    assert [w for w, _ in sorted(train.items(), key=lambda x: (-x[1], x[0])) if w][: len(single) - 1] == [w for w in fitted.hot.words if w in single and w]
+    model = fitted.model
+    for r in rows(hmm.scored(fitted)):
+        tokens = [*texts[r["doc_id"]].encode().lower().split(), b""]
+        total, now = 0.0, None
+        for w in tokens:
+            s = single.get(w, hmm.class_of(w))
+            now = (model.start if now is None else now @ model.move) * model.emit[s]
+            total += math.log10(now.sum())
+            now = now / now.sum()
+            if w not in single:
+                total += math.log10((train[w] + 0.5) / (size[s] + 0.5 * (kinds[s] + 1)))
+        assert abs(total - r["score"]) < 1e-7 * abs(total)
+
+
+def test_frequent_words_are_cut_by_their_counts(spark):
+    words = spark.createDataFrame([(bytearray(str(i).encode()), c) for i, c in enumerate([5000, 5000, 4100, 1025, 900, 3, 3, 3, 1])], "word binary, c long")
+    for most, least in ((9, 1), (8, 3), (7, 900), (4, 1024), (3, 4096), (0, 1 << 62)):
+        got = hmm.frequent(words, most)
+        assert words.where(F.col("c") >= got).count() <= most and words.where(F.col("c") >= least).count() == words.where(F.col("c") >= got).count()
 
 
 def test_scores_of_odd_rows(odd, none):
