@@ -13,10 +13,12 @@ trigrams that one edit can take them all, so the share of its words that stand t
 An item is also verified as a whole, by half of all its trigrams, so that one without its short last
 sentence, or with another one, is met; items of fewer than SHORT_ITEM words by three quarters of their words in order.
 
-The index goes to every task in parts of at most PART_BYTES of items, so its size is bounded whatever
-the benchmark's; each part is asked with all passages. Null and empty texts have no passages; null or
-wordless items are never met; repeated rows give one result per id and item. Result columns are new;
-only the id and text columns are read.
+Document frequencies, the number of items, their mean and their longest length come from one aggregation
+over the whole benchmark, so scores and passages are the same however the items are dealt. The index goes
+to every task in parts of about PART_BYTES of items, so its size is bounded whatever the benchmark's, and
+each part is asked with all passages; documents are read once for every GROUP parts, which a task holds
+together. Null and empty texts have no passages; null or wordless items are never met; repeated rows
+give one result per id and item. Result columns are new; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitted, texts
+from .common import Workspace, emitted, texts
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, WHOLE = 0.55, 0.4, 0.4, 0.5
@@ -43,7 +45,8 @@ ADDED = 2
 #: Largest rest that the non-essential terms may have.
 REST = 0.3
 BLOCK = 16
-PART_BYTES = 32 << 20
+#: Text of a part of the index, and parts that a task holds.
+PART_BYTES, GROUP = 8 << 20, 2
 #: A-Z become a-z; letters, digits and bytes from 128 stay; all others become a space.
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -76,9 +79,12 @@ class Index:
     block_max: np.ndarray
     essential: np.ndarray
     rest: np.ndarray  # block -> largest non-essential sum
-    grams: list[tuple[frozenset, frozenset]]
-    whole: list[frozenset]
-    words: list[tuple[list[int], list[int]]]  # of the question and of the answer
+    words: list[tuple[np.ndarray, np.ndarray]]  # of the question and of the answer
+
+    def grams(self, n: int) -> tuple[frozenset, frozenset, frozenset]:
+        """Trigrams of an item's question, answer and whole; only of items that are met."""
+        q, a = self.words[n]
+        return trigrams(q), trigrams(a), trigrams(np.concatenate([q, a]))
 
 
 def trigrams(ids: list[int] | np.ndarray) -> frozenset:
@@ -87,20 +93,37 @@ def trigrams(ids: list[int] | np.ndarray) -> frozenset:
     return frozenset(tuple(ids[i : i + width]) for i in range(len(ids) - width + 1)) if width else frozenset()
 
 
-def build(items: list[tuple[int, bytes]]) -> Index | None:
+@dataclass
+class Statistics:
+    """Of the whole benchmark: items with words, their mean and longest length, items that hold each word."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def measured(items: list[tuple[list[bytes], list[bytes]]]) -> Statistics:
+    lengths = [len(q) + len(a) for q, a in items]
+    return Statistics(len(items), sum(lengths) / max(len(lengths), 1), max(lengths, default=0), Counter(w for q, a in items for w in {*q, *a}))
+
+
+def build(items: list[tuple[int, bytes]], stats: Statistics | None = None) -> Index | None:
+    """The index of some items; ``stats`` are those of all items, or of these where they are all."""
     cut = [(i, parts(t)) for i, t in sorted(items)]
     cut = [(i, q, a) for i, (q, a) in cut if q or a]
     if not cut:
         return None
+    stats = stats or measured([(q, a) for _, q, a in cut])
     tfs = [Counter(q + a) for _, q, a in cut]
-    df = Counter(w for tf in tfs for w in tf)
-    order = sorted(df, key=lambda w: (-df[w], w))
+    here = Counter(w for tf in tfs for w in tf)
+    df = {w: stats.df[w] for w in here}
+    order = sorted(here, key=lambda w: (-here[w], w))
     vocabulary = {w: i for i, w in enumerate(order)}
     lengths = np.array([sum(tf.values()) for tf in tfs], float)
-    mean = lengths.mean()
     rows = []
     for n, tf in enumerate(tfs):
-        found = {w: math.log(1 + (len(cut) - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[n] / mean)) for w, c in tf.items()}
+        found = {w: math.log(1 + (stats.items - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[n] / stats.mean)) for w, c in tf.items()}
         own = sum(found.values())
         rows += [(vocabulary[w], n, s / own) for w, s in found.items()]
     rows.sort()
@@ -110,7 +133,7 @@ def build(items: list[tuple[int, bytes]]) -> Index | None:
     for t in range(len(order)):  # most frequent first
         own = slice(starts[t], starts[t + 1])
         after = sums[item[own]] + impact[own]
-        if df[order[t]] < 2 or after.max() > REST:
+        if here[order[t]] < 2 or after.max() > REST:
             break
         sums[item[own]] = after
         essential[t] = False
@@ -121,10 +144,8 @@ def build(items: list[tuple[int, bytes]]) -> Index | None:
     top = np.zeros(len(key))
     np.maximum.at(top, at, impact)
     block_starts = np.searchsorted(key // len(rest), np.arange(len(order) + 1))
-    words = [([vocabulary[w] for w in q], [vocabulary[w] for w in a]) for _, q, a in cut]
-    grams = [(trigrams(q), trigrams(a)) for q, a in words]
-    whole = [trigrams(q + a) for q, a in words]
-    return Index([i for i, *_ in cut], vocabulary, int(lengths.max()), starts, item, impact, block_starts, key % len(rest), top, essential, rest, grams, whole, words)
+    words = [tuple(np.array([vocabulary[w] for w in part], np.int32) for part in (q, a)) for _, q, a in cut]
+    return Index([i for i, *_ in cut], vocabulary, stats.longest, starts, item, impact, block_starts, key % len(rest), top, essential, rest, words)
 
 
 def ranges(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +178,15 @@ def ordered(part: list[int], run: list[int]) -> float:
 def verified(index: Index, n: int, grams: frozenset, present: frozenset, run: list[int]) -> tuple[float, float] | None:
     """Question and answer overlap of item ``n`` with a passage; None where neither both parts nor the whole item are there."""
     shares = []
-    for part, own, least in zip(index.words[n], index.grams[n], (QUESTION, ANSWER)):
+    question, answer, whole_grams = index.grams(n)
+    for part, own, least in zip(index.words[n], (question, answer), (QUESTION, ANSWER)):
         share = overlap(own, grams, present)
-        if share < least and len(part) < SHORT and (found := ordered(part, run)) >= ORDERED:
+        if share < least and len(part) < SHORT and (found := ordered(part.tolist(), run)) >= ORDERED:
             share = found
         shares.append(share)
     if shares[0] < QUESTION or shares[1] < ANSWER:
-        whole = index.words[n][0] + index.words[n][1]
-        if overlap(index.whole[n], grams, present) < WHOLE and (len(whole) >= SHORT_ITEM or ordered(whole, run) < ORDERED_ITEM):
+        whole = [x for part in index.words[n] for x in part.tolist()]
+        if overlap(whole_grams, grams, present) < WHOLE and (len(whole) >= SHORT_ITEM or ordered(whole, run) < ORDERED_ITEM):
             return None
     return shares[0], shares[1]
 
@@ -209,29 +231,60 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
-    """The index of each part of the items, sent to all tasks."""
+COUNTED = pa.schema([("word", pa.binary()), ("df", pa.int64()), ("words", pa.int64()), ("longest", pa.int64())])
+
+
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that hold each word; under a null word the number of items, their words and the longest."""
+    for batch in batches:
+        cut = [(q, a) for q, a in map(parts, texts(batch, "words")) if q or a]
+        own = measured(cut)
+        yield from emitted(iter([(None, own.items, sum(len(q) + len(a) for q, a in cut), own.longest), *((w, n, 0, 0) for w, n in own.df.items())]), COUNTED)
+
+
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[Broadcast]]:
+    """Groups of indexes of parts of the items, sent to all tasks; one group at a time is in use."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("words")).where("item is not null and words is not null")
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0]
+    if not size:
+        return
+    counted = items.select("words").mapInArrow(counter, "word binary, df long, words long, longest long")
+    counted = counted.groupBy("word").agg(F.sum("df").alias("df"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    space = Workspace(benchmark.sparkSession, "benchmark")
+    counted = space.save(counted, "words")
+    every = counted.where("word is null").first()
     count = size // PART_BYTES + 1
+    group: list[Broadcast] = []
     for part in range(count):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == part)
-        index = build([(r["item"], r["words"].encode()) for r in own.collect()])  # at most about PART_BYTES
+        texts_ = [(r["item"], r["words"].encode()) for r in own.collect()]  # about PART_BYTES
+        if count == 1:
+            known = counted.where("word is not null")
+        else:  # the words of this part alone
+            known = counted.join(own.mapInArrow(counter, "word binary, df long, words long, longest long").select("word").distinct(), "word", "left_semi")
+        df = {bytes(r["word"]): r["df"] for r in known.select("word", "df").collect()}
+        index = build(texts_, Statistics(every["df"], every["words"] / max(every["df"], 1), every["longest"], df))
         if index is not None:
-            yield benchmark.sparkSession.sparkContext.broadcast(index)
+            group.append(benchmark.sparkSession.sparkContext.broadcast(index))
+        if len(group) == GROUP:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each (document, item) met and verified: HITS."""
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     found = None
-    for shared in indexes(benchmark, item_col, item_text_col):
+    for group in indexes(benchmark, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
                 for batch in batches:
                     for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-                        for item, got in sorted(search(shared.value, split(text)).items()):
+                        words = split(text)
+                        for item, got in sorted(x for shared in group for x in search(shared.value, words).items()):
                             yield doc_id, item, *got
 
             yield from emitted(rows(), HITS_ARROW)
@@ -245,11 +298,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose own text holds no item, whatever their ids."""
-    for shared in indexes(benchmark, item_col, item_text_col):
+    for group in indexes(benchmark, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not search(shared.value, split(text)) for text in texts(batch, text_col)], pa.bool_()))
+                own = (split(text) for text in texts(batch, text_col))
+                yield batch.filter(pa.array([not any(search(shared.value, words) for shared in group) for words in own], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -435,6 +435,18 @@ def test_short_items_are_met_with_one_edit():
             assert 99 in decontaminate.search(index, decontaminate.split(copy)), copy
 
 
+@pytest.mark.parametrize("part_bytes, group", [(2_000, 2), (400, 3)])
+def test_parts_of_the_index_give_the_hits_of_one(spark, docs, monkeypatch, part_bytes, group):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    one = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    kept = sorted(r["doc_id"] for r in rows(decontaminate.clean(docs, bench)))
+    monkeypatch.setattr(decontaminate, "PART_BYTES", max(part_bytes, sum(len(r["text"] or "") for r in bench.collect()) // 5))
+    monkeypatch.setattr(decontaminate, "GROUP", group)
+    many = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert one and [m[:2] for m in many] == [o[:2] for o in one] and np.allclose([m[2:] for m in many], [o[2:] for o in one])
+    assert sorted(r["doc_id"] for r in rows(decontaminate.clean(docs, bench))) == kept
+
+
 def test_block_pruning_loses_no_passage(spark):
     items = [(i, some(i, 20 + i).encode()) for i in range(40)]
     index = decontaminate.build(items)
@@ -446,7 +458,7 @@ def test_block_pruning_loses_no_passage(spark):
         for n in range(len(items)):
             score = sum(float(index.impact[j]) for t in run for j in range(index.starts[t], index.starts[t + 1]) if index.item[j] == n)
             ids = [index.vocabulary.get(w, -1) for w in text[p * stride : (p + 2) * stride]]
-            q, a = (decontaminate.overlap(g, decontaminate.trigrams(ids), frozenset(run)) for g in index.grams[n])
+            q, a = (decontaminate.overlap(g, decontaminate.trigrams(ids), frozenset(run)) for g in index.grams(n)[:2])
             if score >= decontaminate.THRESHOLD and q >= decontaminate.QUESTION and a >= decontaminate.ANSWER:
                 best[index.items[n]] = max(best.get(index.items[n], 0), score)
     got = decontaminate.search(index, text)
