@@ -18,9 +18,11 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -77,5 +79,38 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``taken`` has it."""
+    lower = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def sampled(rows: DataFrame, most: int, label: str | None = None) -> list[tuple]:
+    """(_id, label) of at most ``most`` distinct ids of each label, those of the smallest hashes.
+
+    The labels' rows are counted; a bound on the hash leaves about twice as many ids as wanted, and only these reach the driver.
+    """
+    spark = rows.sparkSession
+    wide = 1 << 40
+    rows = rows.select("_id", (F.col(label) if label else F.lit("")).alias("_label")).where("_id is not null")
+    counts = rows.groupBy("_label").agg(F.count("*").alias("n")).collect()  # one row of each label
+    if not counts:
+        return []
+    bounds = spark.createDataFrame([(r["_label"], min(wide, -(-wide * (2 * most + 50) // r["n"]))) for r in counts], f"_name {rows.schema['_label'].dataType.simpleString()}, _bound long")
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64("_id"), F.lit(wide)))
+    near = hashed.join(F.broadcast(bounds), F.col("_label").eqNullSafe(F.col("_name"))).where("_hash < _bound").select("_id", "_label", "_hash").distinct().collect()
+    taken: dict = {}
+    for r in sorted(near, key=lambda r: (r["_hash"], r["_id"])):
+        own = taken.setdefault(r["_label"], [])
+        if len(own) < most:
+            own.append(r["_id"])
+    return [(i, name) for name, own in taken.items() for i in own]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Comments, declarations, raw-text elements as a whole, tags, text.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -193,10 +195,14 @@ def extract(page: str, model: Model) -> str:
 
 
 def labelled(pages: DataFrame, sample: int, id_col: str, html_col: str) -> list[str]:
-    chosen = pages.where(pages[html_col].contains("<article") & pages[id_col].isNotNull()).select(pages[id_col].alias("_id")).distinct()
-    few = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = pages.select(pages[id_col].alias("_id"), pages[html_col].alias("_html")).join(F.broadcast(few), "_id").collect()  # at most ``sample`` pages
-    return [r["_html"] for r in sorted(rows, key=lambda r: (r["_id"], r["_html"] or "")) if r["_html"]]
+    """At most ``sample`` pages, one of an id's rows."""
+    rows = pages.where(pages[html_col].contains("<article")).select(pages[id_col].alias("_id"), pages[html_col].alias("_html"))
+    chosen = sampled(rows, sample)
+    if not chosen:
+        return []
+    few = F.broadcast(pages.sparkSession.createDataFrame([(i,) for i, _ in chosen], f"_id {rows.schema['_id'].dataType.simpleString()}"))
+    taught = rows.join(few, "_id").groupBy("_id").agg(F.min("_html").alias("_html")).collect()
+    return [r["_html"] for r in sorted(taught, key=lambda r: r["_id"])]
 
 
 def main_text(pages: DataFrame, sample: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

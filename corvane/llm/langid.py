@@ -7,10 +7,12 @@ calibrates the probabilities; a text whose best probability is under the rejecti
 has no letter, is rejected. The bound is the ``reject_rate`` quantile of the correct answers among
 the rows kept apart, 0.5 at most, so that clean texts stay.
 
-Training takes at most ``per_label`` rows of each label, by a hash of the id: the one bounded
-sample here. Null or letterless texts get ``und``, score 0, rejected; so does everything when there
-are no labelled rows. Repeated rows are predicted each; equal texts get equal results. Only the id,
-text and label columns are read.
+Training takes at most ``per_label`` ids of each label, by a hash of the id, and of an id's rows one text
+of each label: the one bounded sample here. A text taught is taught whole, and besides in RUNS random runs
+of at most RUN_WORDS of its words, so that short texts are known too. Predictions read whole texts. Null or
+letterless texts get ``und``, score 0, rejected; so does everything when there are no labelled rows. Repeated
+rows are predicted each; equal texts get equal results. Only the id, text and label columns are read, and
+result columns avoid the names of columns that are there.
 """
 
 from __future__ import annotations
@@ -21,17 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import texts
+from .common import free, sampled, texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z become a-z; a-z and bytes from 128 stay; all others become a space.
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BITS, DIMENSIONS = 15, 16
+#: Short examples of each text taught, and their most words.
+RUNS, RUN_WORDS = 4, 200
 #: Words hashed at once, so that a long text needs no more memory than a short one.
 AT_ONCE = 1 << 16
 ODD = np.uint32(2654435761)
@@ -77,16 +81,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def windows(rows: list[tuple[bytes, int]], rng: np.random.Generator, each: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(buckets, their shares, label) of ``each`` random runs of 1 to 200 words of each text."""
+def shares(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and the share of each."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(words), AT_ONCE):
+        counts += np.bincount(buckets(words[at : at + AT_ONCE]), minlength=1 << BITS)
+    b = np.flatnonzero(counts)
+    return b, (counts[b] / counts.sum()).astype(np.float32)
+
+
+def examples(rows: list[tuple[bytes, int]], rng: np.random.Generator, runs: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, their shares, label) of each whole text and of ``runs`` random runs of 1 to RUN_WORDS words of it."""
     out = []
     for text, label in rows:
         words = split(text)
-        for _ in range(each if words else 0):
-            length = min(len(words), int(np.exp(rng.uniform(0, np.log(200)))))
+        if not words:
+            continue
+        out.append((*shares(words), label))
+        for _ in range(runs):
+            length = min(len(words), int(np.exp(rng.uniform(0, np.log(RUN_WORDS)))))
             start = int(rng.integers(0, len(words) - length + 1))
-            b, n = np.unique(buckets(words[start : start + length]), return_counts=True)
-            out.append((b, (n / n.sum()).astype(np.float32), label))
+            out.append((*shares(words[start : start + length]), label))
     return out
 
 
@@ -96,8 +111,8 @@ def train(rows: list[tuple[int, bytes, str]], epochs: int = 3, rate: float = 4.0
     labels = sorted({r[2] for r in rows})
     at = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    learn = windows([(t, at[x]) for i, (_, t, x) in enumerate(rows) if i % 5], rng, 4)
-    apart = windows([(t, at[x]) for i, (_, t, x) in enumerate(rows) if i % 5 == 0], rng, 4)
+    learn = examples([(t, at[x]) for i, (_, t, x) in enumerate(rows) if i % 5], rng, RUNS)
+    apart = examples([(t, at[x]) for i, (_, t, x) in enumerate(rows) if i % 5 == 0], rng, RUNS)
     embed = rng.normal(0, 0.05, (1 << BITS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.3, (DIMENSIONS, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
@@ -138,26 +153,34 @@ def predict(model: Model, text: bytes) -> tuple[str, float, bool]:
 
 
 def sample(docs: DataFrame, learnable: Column, per_label: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[int, bytes, str]]:
-    """At most ``per_label`` labelled rows of each label: ids first, by hash, then their texts."""
-    chosen = docs.where(learnable & docs[label_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("_id"), docs[label_col].alias("_label"))
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    few = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("_id", "_label").distinct()
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(few), "_id")
-    return [(r["_id"], r["_text"].encode(), r["_label"]) for r in rows.collect()]
+    """(id, text, label) of at most ``per_label`` ids of each label; one text of an id's rows with the same label."""
+    rows = docs.where(learnable & docs[label_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("_id"), docs[label_col].alias("_label"), docs[text_col].alias("_text"))
+    chosen = sampled(rows, per_label, "_label")
+    if not chosen:
+        return []
+    kinds = f"_id {rows.schema['_id'].dataType.simpleString()}, _label {rows.schema['_label'].dataType.simpleString()}"
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, kinds))
+    taught = rows.join(few, ["_id", "_label"]).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    return [(r["_id"], r["_text"].encode(), r["_label"]) for r in taught.collect()]
 
 
 def fit(docs: DataFrame, learnable: Column, per_label: int = 600, **columns: str) -> Model:
     return train(sample(docs, learnable, per_label, **columns))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with _lang string, _score double and _rejected boolean."""
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType()), StructField("_rejected", BooleanType())])
+NAMES = ("_lang", "_score", "_rejected")
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] | None = None) -> DataFrame:
+    """``docs`` with label string, probability double and rejected boolean; ``names`` of these, else NAMES made free."""
+    names = names or free(docs.columns, *NAMES)
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType())))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [predict(model, t) for t in texts(batch, text_col)]
+            got = [predict(shared.value, t) for t in texts(batch, text_col)]
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_lang", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

@@ -9,6 +9,9 @@ stay near their priors. The posterior adds the document's log-odds and the site'
 
 Null and empty texts have quality 0 evidence and no toxic words; null host or path is a group of its
 own. Without labels all evidence is 0.5. Repeated rows are judged each; only the named columns are read.
+In ``documents`` the host is the source and the path the language, the finest site that table names. A
+document's own evidence is left out of the means of its host and path, so that it counts once; the global
+mean is of all. Labels without an id are left out; of an id's rows one text is learned from.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, texts
+from .common import Workspace, sampled, texts
 
 #: Letters of word beginnings that are features of their own.
 STEMS = (3, 4, 5)
@@ -138,37 +141,59 @@ def evidence(docs: DataFrame, model: Model, id_col: str, text_col: str, host_col
     return chosen.mapInArrow(run, "doc_id long, host string, path string, p double, toxicity double").withColumn("toxic", F.col("toxicity") >= model.toxic_bound)
 
 
-def shrunk(groups: DataFrame, prior: str) -> DataFrame:
-    """Adds _mean: (sum + k * prior) / (n + k), k from the groups' spread by the method of moments."""
+def strength(groups: DataFrame, prior: str) -> float:
+    """Pseudo-documents of the prior of groups (n, s, s2), from their spread by the method of moments."""
     m = groups.agg(F.sum("n"), F.sum("s"), F.sum("s2"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col(prior), 2)), F.count("*")).first()
     n, s, s2, spread, count = (float(x or 0) for x in m)
     within = max(s2 / n - (s / n) ** 2, 1e-6) if n else 1.0
     between = max((spread - count * within) / n, 1e-6) if n else 1.0
-    k = min(within / between, 1e6)
-    return groups.withColumn("_mean", (F.col("s") + k * F.col(prior)) / (F.col("n") + k))
+    return min(within / between, 1e6)
+
+
+def mean(s: Column, n: Column, k: float, prior: Column) -> Column:
+    """The mean of a group shrunk toward its prior."""
+    return (s + k * prior) / (n + k)
+
+
+def taught(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> list[tuple[bytes, int | None, int | None]]:
+    """(text, quality, toxic) of at most ``sample`` labelled ids, in order of id."""
+    told = labels.select(F.col("doc_id").alias("_id"), "quality", "toxic").where("_id is not null")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    chosen = sampled(told, sample)
+    if not chosen:
+        return []
+    few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i, _ in chosen], f"_id {told.schema['_id'].dataType.simpleString()}"))
+    told = told.join(few, "_id").groupBy("_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    found = rows.join(few, "_id").groupBy("_id").agg(F.min("_text").alias("_text")).join(told, "_id").collect()
+    return [((r["_text"] or "").encode(), r["quality"], r["toxic"]) for r in sorted(found, key=lambda r: r["_id"])]
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """doc_id, evidence, toxicity, toxic, host_mean, path_mean, posterior, keep for every row."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "quality")
-    few = labels.select(F.col("doc_id").alias("_id"), "quality", "toxic").where("_id is not null").orderBy(F.xxhash64("_id"), "_id", "quality", "toxic").limit(sample)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(few), "_id").collect()  # at most ``sample`` labels
-    model = fit([((r["_text"] or "").encode(), r["quality"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))])
-    found = space.save(evidence(docs, model, id_col, text_col, host_col, path_col), "evidence")
+    space = Workspace(docs.sparkSession, "quality")
+    model = fit(taught(docs, labels, sample, id_col, text_col))
+    return posteriors(space.save(evidence(docs, model, id_col, text_col, host_col, path_col), "evidence"), space)
+
+
+def posteriors(found: DataFrame, space: Workspace) -> DataFrame:
+    """Sites, posterior and decision for rows of ``evidence``."""
     paths = found.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("s2"))
     paths = space.save(paths, "paths")
     top = paths.agg(F.sum("s") / F.sum("n")).first()[0]
     top = 0.5 if top is None else float(top)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).withColumn("_prior", F.lit(top))
-    hosts = shrunk(hosts, "_prior").select(F.col("host").alias("_host"), F.col("_mean").alias("host_mean"))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["_host"])).drop("_host")
-    sites = shrunk(both, "host_mean").select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_mean", F.col("_mean").alias("path_mean"))
-    sites = space.save(sites, "sites")
+    host_k = strength(hosts, "_prior")
+    hosts = hosts.select(F.col("host").alias("_host"), F.col("n").alias("_hn"), F.col("s").alias("_hs"))
+    sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["_host"])).withColumn("_prior", mean(F.col("_hs"), F.col("_hn"), host_k, F.lit(top)))
+    path_k = strength(sites, "_prior")
+    sites = space.save(sites.select("_host", F.col("path").alias("_path"), "_hn", "_hs", F.col("n").alias("_pn"), F.col("s").alias("_ps")), "sites")
     small = F.broadcast(sites) if sites.count() <= 100_000 else sites
     out = found.join(small, found["host"].eqNullSafe(small["_host"]) & found["path"].eqNullSafe(small["_path"]), "left")
+    # the document itself is left out of both
+    out = out.withColumn("host_mean", mean(F.col("_hs") - F.col("p"), F.col("_hn") - 1, host_k, F.lit(top)))
+    out = out.withColumn("path_mean", mean(F.col("_ps") - F.col("p"), F.col("_pn") - 1, path_k, F.col("host_mean")))
 
-    def logit(c: str):
+    def logit(c: str) -> Column:
         p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(c)))
         return F.log(p / (1 - p))
 

@@ -4,7 +4,8 @@ Every version of a text is addressed by its SHA-256. The ledger holds (blob, rul
 already scanned under a version of the rules, and its findings. A run takes the blobs of all given
 rows, leaves out those of the ledger, scans the rest once each however many rows hold them, appends
 both tables, and joins findings back to all rows (paths). A changed rule set has another version and
-scans everything again.
+scans everything again. Findings are appended first; a run that dies before its blobs are marked as seen
+scans them again, and of a blob's findings under one version a reader takes one row.
 
 Spans come from two consistent passes of one pattern, split and extract: the lengths of the parts
 between matches and of the matches give code-point offsets. ``assign``, ``access`` and ``hex`` are the
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, free
 
 #: Kind -> (pattern, group that must have a least length, that length), in listed order.
 BASE = {
@@ -36,6 +37,8 @@ MORE = {
 #: A pattern of the same matches as the rule once short ones are dropped, for kinds whose matches are maximal runs.
 QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 RULES_VERSION = "1"
+#: Blobs that may be sent to every task: about 10 MB.
+SENT = 100_000
 
 SPAN = "array<struct<start: int, rank: int, kind: string, end: int>>"
 
@@ -86,7 +89,7 @@ def ledgered(docs: DataFrame, ledger: str | None = None, version: str = RULES_VE
     ledger = ledger or space.path
     text = F.coalesce(docs[text_col], F.lit(""))
     paths = space.save(docs.select(docs[id_col].alias("_id"), F.sha2(text, 256).alias("blob")), "paths")
-    blobs = paths.groupBy("blob").agg(F.min("_id").alias("_id"))
+    blobs = paths.select("blob").distinct()
     try:
         seen = spark.read.parquet(f"{ledger}/seen")
     except Exception as error:  # a new ledger has no table yet
@@ -96,15 +99,18 @@ def ledgered(docs: DataFrame, ledger: str | None = None, version: str = RULES_VE
     if seen is not None:
         blobs = blobs.join(seen.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     new = space.save(blobs, "new")
-    # one row of each unseen blob, met by id so that a text of many copies is no hot key
-    source = docs.select(docs[id_col].alias("_id"), text.alias("_text")).where(F.col("_text") != "")
-    once = source.join(new.where(F.col("_id").isNotNull()), "_id").where(F.sha2("_text", 256) == F.col("blob"))
-    odd = source.where(F.col("_id").isNull()).withColumn("blob", F.sha2("_text", 256)).join(new.where(F.col("_id").isNull()).select("blob"), "blob")
-    scanned = scan(once.select("blob", "_text").unionByName(odd.select("blob", "_text")), "_text").where(F.size("_spans") > 0)
-    findings = scanned.select("blob", F.col("_base").alias("base"), F.col("_spans").alias("spans"), F.lit(version).alias("version")).dropDuplicates(["blob"])
+    # one text of each unseen blob; copies go before the shuffle, and so do seen blobs where the new ones are few
+    source = docs.select(text.alias("_text")).where(F.col("_text") != "").withColumn("blob", F.sha2("_text", 256))
+    few = new.count() <= SENT
+    if few:
+        source = source.join(F.broadcast(new), "blob", "left_semi")
+    once = source.groupBy("blob").agg(F.first("_text").alias("_text"))
+    if not few:
+        once = once.join(new, "blob", "left_semi")
+    findings = scan(once, "_text").where(F.size("_spans") > 0).select("blob", F.col("_base").alias("base"), F.col("_spans").alias("spans"), F.lit(version).alias("version"))
     findings.write.mode("append").parquet(f"{ledger}/findings")
     new.select("blob", F.lit(version).alias("version")).write.mode("append").parquet(f"{ledger}/seen")
-    return paths, spark.read.schema(findings.schema).parquet(f"{ledger}/findings").where(F.col("version") == version).drop("version")
+    return paths, spark.read.schema(findings.schema).parquet(f"{ledger}/findings").where(F.col("version") == version).drop("version").dropDuplicates(["blob"])
 
 
 def of_kind(kind: str):
@@ -121,10 +127,11 @@ def digests(paths: DataFrame, findings: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, paths: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span's text replaced by ``mark``; overlapping spans become one."""
-    found = paths.join(findings, "blob").select(F.col("_id").alias("_path"), F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
-    per_path = found.groupBy("_path", "_found").agg(F.first("_spans").alias("_spans"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    both = rows.join(per_path, rows[id_col].eqNullSafe(per_path["_path"]) & (F.col("_blob") == F.col("_found")), "left")
+    path, own, blob, spans_ = free(docs.columns, "_path", "_found", "_blob", "_spans")
+    found = paths.join(findings, "blob").select(F.col("_id").alias(path), F.col("blob").alias(own), F.col("spans").alias(spans_))
+    per_path = found.groupBy(path, own).agg(F.first(spans_).alias(spans_))
+    rows = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    both = rows.join(per_path, F.col(id_col).eqNullSafe(F.col(path)) & (F.col(blob) == F.col(own)), "left")
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -133,5 +140,5 @@ def redact(docs: DataFrame, paths: DataFrame, findings: DataFrame, id_col: str =
         fresh = F.concat(acc["out"], gap, F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return both.select(*[F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.aggregate(spans_, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return both.select(*[F.when(F.col(spans_).isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,6 +209,46 @@ def test_language_of_held_out_texts(docs):
     assert sum(r["_rejected"] for r in got) <= 0.03 * len(got) and all(0 <= r["_score"] <= 1 for r in got)
 
 
+def test_predictions_are_those_of_plain_sums(docs):
+    model = langid.fit(docs, F.lit(True), per_label=40)
+    for r in docs.limit(60).collect():
+        text = (r["text"] or "").encode()
+        kept = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text)
+        z, count = np.zeros(len(model.labels)), 0
+        line = " " + " ".join(kept.split(" ")).strip() + " "
+        line = re.sub(" +", " ", line)
+        for n, odd in ((2, 0), (3, 0x9E3779B9), (4, 0x3C6EF372)):
+            for at in range(len(line) - n + 1):
+                gram = line[at : at + n]
+                if n > 2 and " " in gram[1:-1]:
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 769 + ord(c)) % (1 << 32)
+                h = (h + odd) % (1 << 32)
+                h = ((h ^ (h >> 15)) * 2654435761 % (1 << 32)) >> (32 - langid.BITS)
+                z, count = z + model.table[h], count + 1
+        z = (z / max(count, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        label, score, rejected = langid.predict(model, text)
+        assert label == model.labels[int(p.argmax())] and abs(score - p.max()) < 1e-9 and rejected == (p.max() < model.bound)
+
+
+def test_a_hot_id_gives_one_text_of_each_label(spark):
+    few = spark.createDataFrame([(1, f"text {i}", "en") for i in range(50)] + [(1, "texte", "fr"), (2, None, "en"), (3, "x", None), (4, "four", "en")], "doc_id long, text string, lang string")
+    assert sorted(langid.sample(few, F.lit(True), 10)) == [(1, b"text 0", "en"), (1, b"texte", "fr"), (4, b"four", "en")]
+    wide = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"))
+    assert Counter(r[2] for r in langid.sample(wide, F.lit(True), 100)) == {"x": 100, "y": 100}
+
+
+def test_columns_of_the_operators_names_stay(spark):
+    few = spark.createDataFrame([(1, "password=abcdef99 and more", "en", "a", "b", "c", "d", "e")], "doc_id long, text string, lang string, _lang string, _rejected string, _blob string, _spans string, _path string")
+    got = rows(langid.identify(few, langid.fit(few, F.lit(True))))[0]
+    assert (got["_lang"], got["_rejected"]) == ("a", "b") and "_lang_" in got
+    clean = rows(secrets.redact(few, *secrets.ledgered(few)))[0]
+    assert clean == {**rows(few)[0], "text": "[secret] and more"}
+
+
 def test_language_of_odd_rows(odd, none):
     got = rows(langid.identify(odd, langid.fit(odd, F.lit(True))))
     assert {r["doc_id"] for r in got if r["_lang"] == "und"} >= {4, 5, 6} and all(r["_rejected"] for r in got if r["_lang"] == "und")
@@ -335,6 +376,31 @@ def test_the_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     assert spark.read.parquet(f"{ledger}/seen").count() == 2 * seen
 
 
+def test_a_run_that_died_gives_each_row_once(spark, odd, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    first = rows(secrets.digests(*secrets.ledgered(odd, ledger)))
+    shutil.rmtree(tmp_path / "ledger/seen")  # findings were appended, seen blobs were not
+    again = rows(secrets.digests(*secrets.ledgered(odd, ledger)))
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(again) == odd.count()
+
+
+def test_only_unseen_blobs_are_scanned(spark, docs, tmp_path, monkeypatch):
+    ledger = f"file://{tmp_path}/ledger"
+    want = sorted(map(str, rows(secrets.digests(*secrets.ledgered(docs)))))
+    secrets.ledgered(docs.where("doc_id % 2 = 0"), ledger)
+    scanned = []
+    plain = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, *a: (scanned.append(blobs.count()), plain(blobs, *a))[1])
+    assert sorted(map(str, rows(secrets.digests(*secrets.ledgered(docs, ledger))))) == want
+    texts = {bool(r["doc_id"] % 2 == 0): set() for r in docs.collect()}
+    for r in docs.collect():
+        if r["text"]:
+            texts[r["doc_id"] % 2 == 0].add(r["text"])
+    assert scanned == [len(texts[False] - texts[True])]
+    monkeypatch.setattr(secrets, "SENT", 0)
+    assert sorted(map(str, rows(secrets.digests(*secrets.ledgered(docs))))) == want
+
+
 def test_redaction_blanks_spans_only(odd):
     got = {r["doc_id"]: r["text"] for r in rows(secrets.redact(odd, *secrets.ledgered(odd)))}
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
@@ -465,23 +531,57 @@ def test_block_pruning_loses_no_passage(spark):
     assert got.keys() == best.keys() and all(abs(got[i][0] - best[i]) < 1e-9 for i in best) and best
 
 
-def test_quality_on_labels(spark):
+def test_quality_on_labels_that_were_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = {r["doc_id"]: r for r in rows(quality.judge(docs, labels))}
+    got = {r["doc_id"]: r for r in rows(quality.judge(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 0)))}
     assert len(got) == docs.count()
-    told = [r for r in labels.collect() if r["doc_id"] in got]
-    assert sum((got[r["doc_id"]]["posterior"] >= 0.5) == bool(r["quality"]) for r in told) >= 0.95 * len(told)
+    told = [r for r in labels.collect() if r["doc_id"] in got and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0]
+    assert sum((got[r["doc_id"]]["posterior"] >= 0.5) == bool(r["quality"]) for r in told) >= 0.93 * len(told) and len(told) > 20
     clean = [got[r["doc_id"]] for r in told if r["quality"] and not r["toxic"]]
-    assert sum(r["keep"] for r in clean) >= 0.95 * len(clean)
+    assert sum(r["keep"] for r in clean) >= 0.93 * len(clean)
 
 
 def test_sites_shrink_toward_their_priors(spark):
     groups = spark.createDataFrame([("a", 1000, 900.0, 850.0), ("b", 1000, 500.0, 300.0), ("c", 1, 0.0, 0.0)], "g string, n long, s double, s2 double").withColumn("prior", F.lit(0.7))
-    got = {r["g"]: r["_mean"] for r in quality.shrunk(groups, "prior").collect()}
+    k = quality.strength(groups, "prior")
+    got = {r["g"]: r["m"] for r in groups.select("g", quality.mean(F.col("s"), F.col("n"), k, F.col("prior")).alias("m")).collect()}
     assert abs(got["a"] - 0.9) < 0.02 and abs(got["b"] - 0.5) < 0.02 and got["c"] > 0.2
 
 
+def test_posteriors_are_those_of_plain_sums(spark):
+    rng = np.random.default_rng(5)
+    host = [None if i % 7 == 0 else f"h{i % 5}" for i in range(300)]
+    path = [None if i % 11 == 0 else f"p{i % 3}" for i in range(300)]
+    p = [float(np.clip(rng.normal(0.3 + 0.1 * (i % 5), 0.2), 0, 1)) for i in range(300)]
+    found = spark.createDataFrame([(i, host[i], path[i], p[i], 0.0, i % 9 == 0) for i in range(300)], "doc_id long, host string, path string, p double, toxicity double, toxic boolean")
+    got = {r["doc_id"]: r for r in rows(quality.posteriors(found, quality.Workspace(spark, "t")))}
+
+    def pseudo(groups, priors):
+        n = sum(map(len, groups.values()))
+        every = [x for g in groups.values() for x in g]
+        within = max(sum(x * x for x in every) / n - (sum(every) / n) ** 2, 1e-6)
+        spread = sum(len(g) * (sum(g) / len(g) - priors[name]) ** 2 for name, g in groups.items())
+        return min(within / max((spread - len(groups) * within) / n, 1e-6), 1e6)
+
+    top = sum(p) / len(p)
+    hosts, sites = defaultdict(list), defaultdict(list)
+    for i in range(300):
+        hosts[host[i]].append(p[i])
+        sites[host[i], path[i]].append(p[i])
+    hk = pseudo(hosts, dict.fromkeys(hosts, top))
+    pk = pseudo(sites, {site: (sum(hosts[site[0]]) + hk * top) / (len(hosts[site[0]]) + hk) for site in sites})
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for i in range(300):
+        h, s = hosts[host[i]], sites[host[i], path[i]]
+        host_mean = (sum(h) - p[i] + hk * top) / (len(h) - 1 + hk)
+        path_mean = (sum(s) - p[i] + pk * host_mean) / (len(s) - 1 + pk)
+        want = 1 / (1 + math.exp(-(logit(p[i]) + logit(path_mean) - logit(top))))
+        r = got[i]
+        assert abs(r["host_mean"] - host_mean) < 1e-9 and abs(r["path_mean"] - path_mean) < 1e-9 and abs(r["posterior"] - want) < 1e-9
+        assert r["keep"] == (want >= 0.5 and i % 9 != 0)
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (3, None, 1), (None, 1, 1), (5, 0, None)], "doc_id long, quality int, toxic int")
     assert len(rows(quality.judge(odd, labels))) == odd.count()
