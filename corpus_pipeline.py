@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, langid, neardup, packing, queries, secrets
-from corvane.llm.common import Workspace
+from corvane.llm.common import Workspace, free
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the classifier rejects go. The labels it learns from are those of the documents."""
     model = langid.fit(docs, F.lit(True))
-    return langid.identify(docs, model).where(~F.col("_rejected")).select(*docs.columns)
+    names = free(docs.columns, *langid.NAMES)
+    return langid.identify(docs, model, names=names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by stored numbers, so null and repeated ids change nothing; rows without words all stay.
     """
-    number = "_row"
-    while number in docs.columns:
-        number += "_"
+    (number,) = free(docs.columns, "_row")
     numbered = Workspace(spark, "numbered").save(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     groups = neardup.group(numbered, shingle=5, threshold=(80, 100), row_col=number)
     gone = groups.where(~F.col("kept")).select(F.col("row").alias(number))
