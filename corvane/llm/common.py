@@ -35,9 +35,10 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` once and read it again."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        writer = df.write.mode("overwrite")
+        (writer.option("compression", compression) if compression else writer).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

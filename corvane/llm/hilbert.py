@@ -8,7 +8,8 @@ of equal texts share the group's smallest language and source, hence the cell, a
 The order is a range partitioning with a sort inside the partitions; the rank of a row is its
 position there plus the rows of the partitions before, whose counts are as many as partitions. The
 law is ``rows``: cutting the ranks into equal runs leaves counts at most one apart, whatever the sizes
-of the groups, so a group is cut only where a boundary falls into it.
+of the groups, so a group is cut only where a boundary falls into it. Metadata of a group are met by
+digest and SALTS parts, so that the copies of one text are dealt over many tasks.
 
 A null text has size 1 and no CRC bytes; null metadata is a value of its own; repeated rows each take
 a slot; an empty table gives an empty result; only the named columns are read.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Parts that the copies of one text are dealt over.
+SALTS = 32
 
 def hilbert_index(dimensions: list[Column], bits: int) -> list[tuple[str, Column]]:
     """Named steps that turn axes into the curve index, by the public transpose algorithm; the last is the index.
@@ -79,7 +82,14 @@ def with_index(df: DataFrame, dimensions: list[Column], bits: int) -> DataFrame:
 
 
 def hashed(column: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("?"))), F.lit(1 << bits)).cast("int")
+
+
+def half_octave(size: str, bits: int) -> Column:
+    """Twice the whole binary logarithm, plus the bit below the highest; 16 bytes and less are 0."""
+    digits = F.bin(size)
+    level = 2 * (F.length(digits) - 1) + F.when(F.substring(digits, 2, 1) == "1", 1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(level - 8, F.lit((1 << bits) - 1)))
 
 
 def shard(docs: DataFrame, shards: int = 8, bits: int = 5, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -89,27 +99,27 @@ def shard(docs: DataFrame, shards: int = 8, bits: int = 5, id_col: str = "doc_id
     text = docs[text_col]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     raw = F.coalesce(text, F.lit(""))
-    rows = docs.select(docs[id_col].alias("doc_id"), size.alias("size"), F.crc32(raw).alias("crc"), F.xxhash64(text).alias("mark"), *[docs[c].alias(f"_m{i}") for i, c in enumerate(label_cols)])
-    rows = space.save(rows, "rows")
-    groups = rows.groupBy("crc", "mark", "size").agg(F.count("*").alias("of"), *[F.min(f"_m{i}").alias(f"_g{i}") for i in range(2)]).where("of > 1").drop("of")
-    named = rows.join(groups, ["crc", "mark", "size"], "left")
-    top = (1 << bits) - 1
+    rows = docs.select(docs[id_col].alias("doc_id"), size.alias("size"), F.crc32(raw).alias("crc"), F.unhex(F.sha2(raw, 256)).alias("mark"), *[docs[c].alias(f"_m{i}") for i, c in enumerate(label_cols)])
+    rows = space.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = rows.groupBy("mark").agg(F.count("*").alias("of"), *[F.min(f"_m{i}").alias(f"_g{i}") for i in range(2)]).where("of > 1").drop("of")
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = rows.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")).join(salted, ["mark", "_salt"], "left")
     named = named.withColumns({f"_d{i}": F.coalesce(f"_g{i}", f"_m{i}") for i in range(2)})
-    dims = [F.least(F.floor(F.log2(F.col("size")) * 1.5).cast("int"), F.lit(top)), hashed("_d0", bits), hashed("_d1", bits)]
-    indexed = with_index(named, dims, bits).select("doc_id", "size", "crc", "mark", "_curve")
-    placed = indexed.repartitionByRange("_curve", "crc", "mark", "doc_id").sortWithinPartitions("_curve", "crc", "mark", "doc_id")
+    dims = [half_octave("size", bits), hashed("_d0", bits), hashed("_d1", bits)]
+    order = ["_curve", "crc", "mark", "doc_id", "_row"]
+    indexed = with_index(named, dims, bits).select("size", *order)
+    placed = indexed.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     placed = space.save(placed.withColumn("_at", at), "placed")
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per partition
-    before, total = {}, 0
+    before, total = [], 0
     for r in counts:
-        before[r["part"]] = total
+        before.append((r["part"], total))
         total += r["n"]
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), part) if before else F.lit(0).cast("long")
-    rank = start + place
+    starts = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))  # one row per partition
     # shard s holds the ranks from floor(s * total / shards) on
     which = F.expr(f"cast(((_rank + 1) * {shards} - 1) div {max(total, 1)} as int)")
     first = F.expr(f"(shard * cast({total} as bigint)) div {shards}")
-    out = placed.withColumn("_rank", rank).withColumn("shard", which).withColumn("slot", F.col("_rank") - first)
+    out = placed.withColumn("_part", part).join(starts, "_part").withColumn("_rank", F.col("_before") + place).withColumn("shard", which).withColumn("slot", F.col("_rank") - first)
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_curve").alias("curve"))

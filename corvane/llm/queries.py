@@ -31,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.features(audio.encode(documents(spark, sf_dir)))
+    return audio.features(audio.kept(documents(spark, sf_dir)))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +99,46 @@ g AS (SELECT doc_id, {counts}, string_agg({line}, ',' ORDER BY start, rank) FILT
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql()}
+def crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, byte by byte over a table made from the polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        table.append(f"{n}::UBIGINT")
+    of_bytes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
+    step = f"xor(list_extract([{', '.join(table)}], (xor(c, x) & 255)::BIGINT + 1), c >> 8)"
+    return f"xor(list_reduce({of_bytes}, lambda c, x: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT"
+
+
+def shard_sql(shards: int = 8, bits: int = 5) -> str:
+    """Cells of size, language and source, their place on the Hilbert curve, equal runs of the order."""
+    steps: list[str] = []
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        p = q - 1
+        for i in "abc":
+            other = f"xor({i}, xor(a, {i}) & {p})" if i != "a" else "a"
+            mine = f", CASE WHEN {i} & {q} <> 0 THEN {i} ELSE {other} END AS {i}" if i != "a" else ""
+            swapped = f"xor(a, xor(a, {i}) & {p})" if i != "a" else "a"
+            steps.append(f"CASE WHEN {i} & {q} <> 0 THEN xor(a, {p}) ELSE {swapped} END AS a{mine}")
+    steps += ["xor(b, a) AS b", "xor(c, b) AS c"]
+    t = "0"
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        t = f"xor({t}, CASE WHEN c & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    steps.append(", ".join(f"xor({i}, {t}) AS {i}" for i in "abc"))
+    chain = ", ".join(f"s{n + 1} AS (SELECT * REPLACE ({step}) FROM s{n})" for n, step in enumerate(steps))
+    curve = " + ".join(f"(({i} >> {b}) & 1) * {1 << (3 * b + 2 - k)}" for b in range(bits) for k, i in enumerate("abc"))
+    top = (1 << bits) - 1
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS mark, lang, source FROM documents),
+g AS (SELECT mark, min(lang) AS lang, min(source) AS source FROM t GROUP BY 1),
+n AS (SELECT doc_id, text, size, mark, coalesce(g.lang, t.lang, '?') AS lang, coalesce(g.source, t.source, '?') AS source FROM t JOIN g USING (mark)),
+l AS (SELECT x, {crc_sql("x")} % {1 << bits} AS cell FROM (SELECT lang AS x FROM n UNION SELECT source FROM n)),
+s0 AS (SELECT n.*, {crc_sql("text")} AS crc, greatest(0, least(2 * (length(bin(size)) - 1) + CASE WHEN substr(bin(size), 2, 1) = '1' THEN 1 ELSE 0 END - 8, {top}))::BIGINT AS a, p.cell AS b, q.cell AS c FROM n JOIN l p ON p.x = lang JOIN l q ON q.x = source),
+{chain},
+o AS (SELECT *, {curve} AS curve FROM s{len(steps)}),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, crc, mark, doc_id) - 1 AS place, count(*) OVER () AS total FROM o),
+d AS (SELECT *, (((place + 1) * {shards} - 1) // total)::INT AS shard FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, place - (shard * total) // {shards} AS slot, NULL::INT AS grown_shard, curve FROM d"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql(), "op10_sharding": shard_sql()}

@@ -8,6 +8,7 @@ import shutil
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,18 @@ def test_groups_are_those_of_all_pairs(spark, docs, n, num):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_rows_without_ids_are_met_by_their_sets(spark, monkeypatch):
+    base = some(1, 90)
+    texts = [base, base, base.replace("river", "rivers", 1), some(2, 90), None]
+    few = spark.createDataFrame([(None, t) for t in texts] + [(5, base)], "doc_id long, text string")
+    for sent in (neardup.SENT, 0):
+        monkeypatch.setattr(neardup, "SENT", sent)
+        got = rows(neardup.group(few))
+        assert sorted(str(r["component_id"]) for r in got) == ["5", "5", "5", "5", "None", "None"]
+    with pytest.raises(ValueError):
+        neardup.group(few, threshold=(79, 100))
+
+
 def test_groups_of_odd_rows(odd, none):
     got = rows(neardup.group(odd, 3, (85, 100)))
     by = defaultdict(list)
@@ -292,6 +305,47 @@ def test_companding_tables_and_adpcm():
         assert got.tolist() == want
 
 
+def test_encoded_forms_are_near_their_samples():
+    x = (8000 * np.sin(np.arange(5000) / 9) + 300 * np.cos(np.arange(5000))).astype(np.int16)
+    for kind, most in ((audio.PCM, 0), (audio.MULAW, 260), (audio.ALAW, 260), (audio.ADPCM, 2500)):
+        y, rate = audio.samples(audio.stored(x, kind))
+        gap = np.abs(y[: len(x)].astype(int) - x)
+        assert rate == audio.RATE and len(y) >= len(x) and gap.max() <= most and gap.mean() <= most / 4
+    assert audio.companded(audio.mulaw(), audio.mulaw()).tolist()[1:127] == list(range(1, 127)) and len(audio.adpcm_blocks(x[:0])) == 0
+    assert (audio.alaw()[audio.companded(audio.alaw(), audio.alaw())] == audio.alaw()).all()
+
+
+def test_features_are_those_of_plain_sums(spark):
+    few = [(1, "short"), (2, None), (3, some(4, 300) + " é中"), (4, "x" * 1153)]
+    for r in rows(audio.features(audio.encode(spark.createDataFrame(few, "doc_id long, text string")))):
+        data = (dict(few)[r["doc_id"]] or "").encode()
+        data += b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        u, a, decoded = [], [], []
+        for byte in data:
+            code = 255 - byte
+            size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33 << 2
+            u.append(-size if code & 128 else size)
+            code = byte ^ 0x55
+            size = (code & 15) * 16 + 8 if code >> 4 & 7 == 0 else ((code & 15) * 16 + 264) << ((code >> 4 & 7) - 1)
+            a.append(size if code & 128 else -size)
+        for at in range(0, len(data), 576):
+            block = data[at : at + 576]
+            now, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            decoded.append(now)
+            for byte in block[4:]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(audio.STEPS[index])
+                    size = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                    now = max(-32768, min(32767, now - size if code & 8 else now + size))
+                    index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+                    decoded.append(now)
+        pcm = b"".join(x.to_bytes(2, "little", signed=True) for here, ahead in zip(u, [*u[1:], u[-1]]) for x in (here, (here + ahead) // 2))
+        crossings = sum((p < 0) != (q < 0) for p, q in zip(u, u[1:]))
+        want = f"seconds={len(data) / 8000:.3f};mulaw_power={sum(x * x for x in u) // len(u)};alaw_power={sum(x * x for x in a) // len(a)};crossings={crossings};adpcm_mean={sum(map(abs, decoded)) // len(decoded)};adpcm_peak={max(map(abs, decoded))};pcm_crc32={zlib.crc32(pcm)}"
+        form = audio.store_pcm(audio.riff(audio.MULAW, data))
+        assert r["feature"] == want and (r["pcm_bytes"], r["pcm_sha256"]) == (len(form), hashlib.sha256(form).hexdigest()) and form.endswith(pcm)
+
+
 def test_stored_forms_are_read_back(spark):
     data = bytes(range(256)) * 9
     for kind in (audio.MULAW, audio.ALAW, audio.ADPCM, audio.PCM):
@@ -604,6 +658,16 @@ def test_shards_hold_the_law(odd, docs, none):
     assert rows(hilbert.shard(none)) == []
 
 
+def test_shards_are_those_of_the_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op10_sharding"]).fetchdf()
+    got = queries.op10_sharding(spark, "/root/testdata/sf0.001").toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    key = ["doc_id", "size", "text_crc32", "shard", "slot", "curve"]
+    assert sorted(map(tuple, want[key].to_numpy().tolist())) == sorted(map(tuple, got[key].to_numpy().tolist()))
+
+
 def test_the_curve_visits_neighbours(spark):
     cells = spark.range(512).select((F.col("id") % 8).cast("int").alias("x"), (F.floor(F.col("id") / 8) % 8).cast("int").alias("y"), F.floor(F.col("id") / 64).cast("int").alias("z"))
     got = sorted((r["_curve"], r["x"], r["y"], r["z"]) for r in hilbert.with_index(cells, [F.col("x"), F.col("y"), F.col("z")], 3).collect())
