@@ -49,6 +49,13 @@ def character_ngrams(text: Column, size: int = 2) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(grams)
 
 
+def word_ngrams(text: Column, size: int = 3) -> Column:
+    """Character n-grams within words that a space pads on both sides; a shorter padded word is its own only one."""
+    padded = F.transform(words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    grams = lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substr(w, i, F.lit(size))))
+    return F.flatten(F.transform(padded, grams))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements; 0 for two empty sets."""
     both = F.size(F.array_union(a, b))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
@@ -36,7 +36,7 @@ def features(text: str, min_df: float = 2.0, max_df: float = float(1 << 62), ngr
 
 
 def classifier(df: DataFrame, text: str, label: str, kind: str = "logistic", **options: object) -> PipelineModel:
-    model = {"logistic": LogisticRegression, "bayes": NaiveBayes}[kind](labelCol=label, featuresCol="features")
+    model = {"logistic": LogisticRegression, "bayes": NaiveBayes, "svm": LinearSVC}[kind](labelCol=label, featuresCol="features")
     return Pipeline(stages=[*features(text, **options).getStages(), model]).fit(df)
 
 

@@ -86,24 +86,64 @@ def binarised(df: DataFrame, sample: str, label: str, probability: str, threshol
     return df.withColumn("predicted", F.when(some, hit).otherwise(best == 1).cast("int"))
 
 
+def joint(df: DataFrame, intent: str, guess: str, gold: str, found: str, gate: float) -> DataFrame:
+    """One row: intent accuracy, precision, recall and F1 of atoms (1 where there are none), both right at once, passed."""
+    same = F.col(intent) == F.col(guess)
+    s = df.agg(
+        F.avg(same.cast("int")).alias("i"),
+        F.sum(F.size(F.array_intersect(gold, found))).alias("hit"),
+        F.sum(F.size(found)).alias("f"),
+        F.sum(F.size(gold)).alias("g"),
+        F.avg((same & (F.array_sort(gold) == F.array_sort(found))).cast("int")).alias("j"),
+    )
+    s = s.withColumn("p", F.when(F.col("f") == 0, 1.0).otherwise(F.col("hit") / F.col("f"))).withColumn("r", F.when(F.col("g") == 0, 1.0).otherwise(F.col("hit") / F.col("g")))
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return s.select(F.round("i", 6).alias("intent_accuracy"), F.round("p", 6).alias("atom_precision"), F.round("r", 6).alias("atom_recall"), F.round(f1, 6).alias("atom_f1"), F.round("j", 6).alias("joint_accuracy"), ((F.col("i") > gate) & (F.col("j") > gate)).alias("passed"))
+
+
+def markdown_row(*cells: Column) -> Column:
+    """``| a | b |``."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
+
+
 def percentiles(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """group, linear, nearest_rank, rounded_index: three conventions for one quantile."""
-    over = Window.partitionBy(group).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"), F.row_number().over(over).alias("_r"), F.count("*").over(Window.partitionBy(group)).alias("_n"))
-    picked = lambda at: F.max(F.when(F.col("_r") == at, F.col("_v")))
-    return ranked.groupBy(group).agg(
-        F.round(F.percentile("_v", q), 6).alias("linear"),
-        picked(F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n")))).alias("nearest_rank"),
-        picked(F.bround((F.col("_n") - 1) * q) + 1).alias("rounded_index"),
+    """group, linear, nearest_rank, rounded_index: three conventions for one quantile.
+
+    Equal values are counted first, so a group's task sees its distinct values once each, whatever its rows;
+    ranks are sums of counts over them.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    total = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
+    upto = Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_r", F.sum("_c").over(upto)).join(total, group)
+    at = lambda rank: F.min(F.when(F.col("_r") >= rank, F.col("_v")))
+    place = F.lit(q) * (F.col("_n") - 1)
+    found = ranked.groupBy(group).agg(
+        at(F.floor(place) + 1).alias("_low"),
+        at(F.ceil(place) + 1).alias("_high"),
+        at(F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n")))).alias("nearest_rank"),
+        at(F.bround(place) + 1).alias("rounded_index"),
+        F.first(place - F.floor(place)).alias("_share"),
     )
+    return found.select(group, F.round(F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low")), 6).alias("linear"), "nearest_rank", "rounded_index")
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Adds valid: the first max(1, round(n * share)) rows in a seeded hash order."""
+    """Adds valid: the first max(1, round(n * share)) rows in a seeded hash order. Keys are unique.
+
+    Rows are counted by the first digits of their draw; a running sum over those counts names the digits that are
+    taken whole, and only the rows of the one bin on the border are ordered.
+    """
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    total = df.agg(F.greatest(F.lit(1), F.round(F.count("*") * share)).cast("long").alias("_want"))
-    ordered = df.select(F.col(key).alias("_k"), draw.alias("_d"))
-    # the threshold hash comes from the smallest draws, which each task cuts to what it may need
-    want = total.first()["_want"]
-    chosen = ordered.orderBy("_d", "_k").limit(want).select(F.col("_k"), F.lit(True).alias("_v"))
-    return df.join(chosen, df[key] == chosen["_k"], "left").withColumn("valid", F.coalesce("_v", F.lit(False))).drop("_k", "_v")
+    drawn = df.withColumn("_d", draw).withColumn("_bin", F.substring("_d", 1, 4))
+    want = df.agg(F.greatest(F.lit(1), F.round(F.count("*") * share)).cast("long").alias("n")).first()["n"]
+    held, border = 0, None
+    for r in drawn.groupBy("_bin").agg(F.count("*").alias("n")).orderBy("_bin").collect():  # 65,536 bins at most
+        if held + r["n"] > want:
+            border = r["_bin"]
+            break
+        held += r["n"]
+    if border is None:
+        return drawn.withColumn("valid", F.lit(True)).drop("_d", "_bin")
+    near = drawn.where(F.col("_bin") == border).select(F.col(key).alias("_k"), "_d").orderBy("_d", "_k").limit(want - held).select(F.col("_k"), F.lit(True).alias("_v"))
+    return drawn.join(near, drawn[key] == near["_k"], "left").withColumn("valid", (F.col("_bin") < border) | F.coalesce("_v", F.lit(False))).drop("_k", "_v", "_d", "_bin")

@@ -35,7 +35,7 @@ def sorted_by(mode: str):
 
 
 def path_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).where(catalog.matches(category_prefix=["standard", "polished"])).select("id", "kind")
+    return products(spark, sf_dir).where(catalog.matches(category_prefix=["standard", "ring"])).select("id", "kind")
 
 
 def category_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def facet_sql(depth: int, where: str) -> str:
 ORACLE_SQL = {
     "product_filter": f"WITH {RATED} SELECT id, brand, price FROM rated WHERE {MATCH} AND in_stock AND (lower(name) LIKE '%a%' OR lower(name) LIKE '%e%') AND (lower(name) LIKE '%i%' OR lower(name) LIKE '%o%')",
     **{f"sort_{m}": f"WITH {RATED} SELECT brand, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY {h}, lower(name), id) AS rank FROM rated WHERE {MATCH}) WHERE rank <= 5" for m, h in HEADS.items()},
-    "path_prefix": f"WITH {PRODUCTS} SELECT id, kind FROM products WHERE lower(path[1]) = 'standard' AND lower(path[2]) = 'polished'",
+    "path_prefix": f"WITH {PRODUCTS} SELECT id, kind FROM products WHERE lower(path[1]) = 'standard' AND lower(path[2]) = 'ring'",
     "category_facets": facet_sql(1, "lower(path[1]) = 'standard'"),
     "root_facets": facet_sql(0, "TRUE"),
     "brand_list": f"WITH {PRODUCTS} SELECT arg_min(brand, id) AS value FROM products WHERE trim(brand) <> '' GROUP BY lower(brand)",

@@ -48,7 +48,8 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.isolated(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", ["o_custkey"]).select("c_custkey", "c_name")
+    """Customers without an urgent order."""
+    return graph.isolated(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), "c_custkey", ["o_custkey"]).select("c_custkey", "c_name")
 
 
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +103,10 @@ def reachability_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the same text, or the same first and last words in the same source, are one entity."""
+    """Documents with the same text, or in the same source the same words whatever their case and white space, are one entity."""
     docs = table(spark, sf_dir, "documents")
-    words = F.split(F.lower("text"), "[ \n]+")
-    keyed = docs.select(F.col("doc_id").alias("r"), F.md5("text").alias("url"), F.concat_ws("|", "source", F.array_join(F.slice(words, 1, 6), " ")).alias("sku"))
+    words = F.regexp_replace(F.lower("text"), "[ \n]+", " ")
+    keyed = docs.select(F.col("doc_id").alias("r"), F.md5("text").alias("url"), F.concat_ws("|", "source", F.md5(words)).alias("sku"))
     return graph.resolved(keyed, "r", ["url", "sku"])
 
 
@@ -191,14 +192,14 @@ ORACLE_SQL = {
     "skip_reasons": "SELECT CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN c_custkey IS NULL THEN 'no customer' WHEN c_acctbal < 0 THEN 'in debt' WHEN o_orderpriority LIKE '5%' THEN 'low' ELSE 'kept' END AS reason, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "semi_edges": "SELECT l_suppkey, count(*) AS edges FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
     "dangling_edges": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)",
-    "isolated_nodes": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "isolated_nodes": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "two_hop": "SELECT n_name, suppliers, customers, suppliers * customers AS paths FROM nation JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey JOIN (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1) ON c_nationkey = n_nationkey",
     "optional_hop": "SELECT c_custkey, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS spent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "shared_entity": "SELECT l_partkey, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1",
     "comention_expand": "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT a.o AS seed, b.o, count(DISTINCT p) AS parts FROM l a JOIN l b USING (p) WHERE a.o % 100 = 0 AND a.o <> b.o GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY parts DESC, o) AS rank FROM s) WHERE rank <= 5",
     "components": f"WITH {SQL_EDGES}, n AS (SELECT src AS node, dst FROM e UNION ALL SELECT dst, dst FROM e) SELECT DISTINCT node, least(m, dst) AS component FROM n JOIN (SELECT dst, min(src) AS m FROM e GROUP BY 1) USING (dst)",
     "reachability_n": "WITH s AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 100 = 0) SELECT c * 2 + 1 AS seed, c * 2 + 1 AS node, 0 AS hops FROM s UNION ALL SELECT c * 2 + 1, o_orderkey * 2, 1 FROM s JOIN orders ON o_custkey = c",
-    "entity_resolution": """WITH RECURSIVE k AS (SELECT doc_id AS r, md5(text) AS url, concat_ws('|', source, array_to_string(string_split_regex(lower(text), '[ \\n]+')[1:6], ' ')) AS sku FROM documents),
+    "entity_resolution": """WITH RECURSIVE k AS (SELECT doc_id AS r, md5(text) AS url, concat_ws('|', source, md5(regexp_replace(lower(text), '[ \\n]+', ' ', 'g'))) AS sku FROM documents),
 e AS (SELECT DISTINCT r, f FROM (SELECT r, min(r) OVER (PARTITION BY url) AS f FROM k UNION ALL SELECT r, min(r) OVER (PARTITION BY sku) FROM k)), b AS (SELECT r, f FROM e UNION SELECT f, r FROM e),
 reach(r, f) AS (SELECT r, f FROM b UNION SELECT reach.r, b.f FROM reach JOIN b ON b.r = reach.f) SELECT r AS node, min(f) AS component FROM reach GROUP BY 1""",
     "hole_fill_merge": "SELECT l_partkey, l_suppkey, arg_min(flag, n) FILTER (flag IS NOT NULL) AS flag, arg_min(cut, n) FILTER (cut IS NOT NULL) AS cut, arg_min(l_quantity, n) AS l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_discount > 0 THEN l_discount END AS cut FROM lineitem) GROUP BY 1, 2",

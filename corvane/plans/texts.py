@@ -177,10 +177,6 @@ def price_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", udfs.price_range(asked).alias("r")).select("p_partkey", "r.*")
 
 
-def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.catalogue(table(spark, sf_dir, "pages"), "page_id", "html")
-
-
 LINES = "lines AS (SELECT doc_id, source, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
 REPEATED = f"""{LINES}, counted AS (SELECT DISTINCT source, doc_id, trim(line) AS line FROM lines WHERE trim(line) <> '' AND length(line) <= 100),
 pages_of AS (SELECT source, count(DISTINCT doc_id) AS n FROM lines GROUP BY 1),
@@ -229,4 +225,4 @@ UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(lower(text), 'https?:/
     "first_seen": f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY {CLEAN} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "path_leaves": f"WITH p AS ({PREFIXES}) SELECT array_to_string(path, ' ') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE len(q.path) > len(p.path) AND q.path[1:len(p.path)] = p.path)",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "parent_blocks", "fuzzy_ratio", "recursive_split", "price_spans", "html_records"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "parent_blocks", "fuzzy_ratio", "recursive_split", "price_spans"]}
