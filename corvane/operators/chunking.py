@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from .folds import folded
 
 
 def windows(docs: DataFrame, text: str, size: int, overlap: int, least: int = 0, redundant_tail: bool = False) -> DataFrame:
@@ -67,17 +70,17 @@ def joined_lines(listed: DataFrame, key: str, breaks: Column) -> DataFrame:
 
 
 def parent_blocks(units: DataFrame, key: str, order: str, section: str, size: str, most: int) -> DataFrame:
-    """Parents of neighbouring units: a new one at a section change or where ``most`` would be exceeded.
+    """Parents of neighbouring units: a new one at a section change or where ``most`` would be exceeded."""
+    rows = units.select(key, order, F.col(section).cast("string").alias("_s"), F.col(size).cast("long").alias("_n"))
 
-    The fold is sequential within a key, so it runs over an ordered array of that key's units.
-    """
-    grouped = units.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(section).alias("s"), F.col(size).cast("long").alias("n")))).alias("_u"))
-    zero = F.struct(F.lit(-1).alias("parent"), F.lit(0).cast("long").alias("used"), F.lit(None).cast("string").alias("s"), F.array().cast(f"array<struct<o:{dict(units.dtypes)[order]},parent:int>>").alias("out"))
+    def step(state: tuple | None, s: str | None, n: int | None) -> tuple[tuple, int]:
+        n = n or 0
+        if state is None:
+            return (0, n, s), 0
+        parent, used, own = state
+        if own != s or used + n > most:
+            return (parent + 1, n, s), parent + 1
+        return (parent, used + n, s), parent
 
-    def step(acc: Column, u: Column) -> Column:
-        new = (acc["parent"] < 0) | ~acc["s"].eqNullSafe(u["s"].cast("string")) | (acc["used"] + u["n"] > most)
-        parent = acc["parent"] + F.when(new, 1).otherwise(0)
-        return F.struct(parent.alias("parent"), F.when(new, u["n"]).otherwise(acc["used"] + u["n"]).alias("used"), u["s"].cast("string").alias("s"), F.concat(acc["out"], F.array(F.struct(u["o"].alias("o"), parent.alias("parent")))).alias("out"))
+    return folded(rows, [key], [order, "_s", "_n"], ["_s", "_n"], step, None, "parent", IntegerType()).select(key, order, "parent")
 
-    placed = grouped.select(key, F.explode(F.aggregate("_u", zero, step, lambda acc: acc["out"])).alias("p"))
-    return placed.select(key, F.col("p.o").alias(order), F.col("p.parent").alias("parent"))

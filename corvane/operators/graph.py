@@ -68,6 +68,12 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def removed(spark, folder: str) -> None:
+    """Delete a table that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     """(node, component): the least node of each undirected component.
 
@@ -87,6 +93,8 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFr
         small = small.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
         small.write.parquet(f"{base}/{turn}")
         links = spark.read.schema(small.schema).parquet(f"{base}/{turn}")
+        if turn:
+            removed(spark, f"{base}/{turn - 1}")
         turn += 1
         now = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == seen or now[0] == 0:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from corvane.functions import text as t
 from corvane.functions import udfs
 
+from .folds import folded
+
 
 def alias_matches(queries: DataFrame, aliases: DataFrame, query: str = "query_id", text: str = "text", fuzzy: float | None = None) -> DataFrame:
     """query, canonical, alias, score: the longest alias of each canonical name that a text mentions.
@@ -61,37 +64,28 @@ def numbered_sections(lines: DataFrame, key: str, order: str, line: str) -> Data
     Whether a heading counts depends on the last that did, so it is a fold over a key's ordered lines.
     """
     numbers = F.regexp_extract(line, r"^\s*([0-9]+\.[0-9]+)\s+\S", 1)
-    parts = F.struct(F.col(order).alias("o"), F.split_part(numbers, F.lit("."), F.lit(1)).try_cast("int").alias("n"), F.split_part(numbers, F.lit("."), F.lit(2)).try_cast("int").alias("m"))
-    grouped = lines.select(key, order, parts.alias("_p")).groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_l"))
-    kind = dict(lines.dtypes)[order]
-    zero = F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("m"), F.array().cast(f"array<struct<o:{kind},section:string>>").alias("out"))
+    part = lambda i: F.split_part(numbers, F.lit("."), F.lit(i)).try_cast("int")
+    rows = lines.select(key, order, part(1).alias("_a"), part(2).alias("_b"))
 
-    def step(acc: Column, x: Column) -> Column:
-        next_one = acc["n"].isNull() | ((x["n"] == acc["n"]) & (x["m"] == acc["m"] + 1)) | ((x["n"] == acc["n"] + 1) & (x["m"] == 1))
-        take = F.coalesce(x["n"].isNotNull() & x["m"].isNotNull() & next_one, F.lit(False))
-        n, m = F.when(take, x["n"]).otherwise(acc["n"]), F.when(take, x["m"]).otherwise(acc["m"])
-        name = F.when(n.isNotNull(), F.concat_ws(".", n.cast("string"), m.cast("string")))
-        return F.struct(n.alias("n"), m.alias("m"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), name.alias("section")))).alias("out"))
+    def step(last: tuple | None, a: int | None, b: int | None) -> tuple[tuple | None, str | None]:
+        if a is not None and b is not None and (last is None or (a, b) in ((last[0], last[1] + 1), (last[0] + 1, 1))):
+            last = (a, b)
+        return last, None if last is None else f"{last[0]}.{last[1]}"
 
-    placed = grouped.select(key, F.explode(F.aggregate("_l", zero, step, lambda acc: acc["out"])).alias("s"))
-    return placed.select(key, F.col("s.o").alias(order), F.col("s.section").alias("section"))
+    return folded(rows, [key], [order, "_a", "_b"], ["_a", "_b"], step, None, "section", StringType()).select(key, order, "section")
 
 
 def shared_budget(rows: DataFrame, group: list[str], order: str, size: str, budget: int, header: int) -> DataFrame:
     """Adds allowed: each row in turn gets an equal share of what is left, less its header, and leaves the rest to the next."""
-    entry = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
-    grouped = rows.groupBy(*group).agg(F.sort_array(F.collect_list(entry)).alias("_r"))
-    zero = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<struct<o:{dict(rows.dtypes)[order]},allowed:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        turns = F.size("_r") - F.size(acc["out"])
-        share = F.greatest(F.lit(0).cast("long"), F.floor(acc["left"] / turns).cast("long") - header)
-        used = F.least(share, x["n"])
-        cost = F.when(used > 0, used + header).otherwise(F.lit(0).cast("long"))
-        return F.struct((acc["left"] - cost).alias("left"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), used.alias("allowed")))).alias("out"))
-
-    given = grouped.select(*group, F.explode(F.aggregate("_r", zero, step, lambda acc: acc["out"])).alias("g"))
-    return given.select(*group, F.col("g.o").alias(order), F.col("g.allowed").alias("allowed"))
+    total = rows.groupBy(*group).agg(F.count("*").alias("_total"))
+    sized = rows.select(*group, order, F.col(size).cast("long").alias("_n")).join(total, group)
+
+    def step(state: tuple | None, n: int | None, turns: int) -> tuple[tuple, int]:
+        left, done = state or (budget, 0)
+        used = min(max(0, left // (turns - done) - header), n or 0)
+        return (left - (used + header if used > 0 else 0), done + 1), used
+
+    return folded(sized, group, [order, "_n"], ["_n", "_total"], step, None, "allowed", LongType()).select(*group, order, "allowed")
 
 
 def named_product(products: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", query: str = "query_id", text: str = "text") -> DataFrame:

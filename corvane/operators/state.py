@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from .folds import folded
 
 
 def seconds(at: str) -> Column:
@@ -29,15 +32,13 @@ def claims(events: DataFrame, key: list[str], at: str, ttl: int, order: str) ->
 
     Acceptance depends on the last accepted event, so it is a fold over a key's ordered times.
     """
-    grouped = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(seconds(at).alias("t"), F.col(order).alias("o")))).alias("_e"))
-    element = "array<struct<o:" + dict(events.dtypes)[order] + ",claimed:boolean>>"
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(element).alias("out"))
+    rows = events.select(*key, F.col(order), seconds(at).alias("_t"))
 
-    def step(acc: Column, e: Column) -> Column:
-        free = acc["last"].isNull() | (e["t"] - acc["last"] >= ttl)
-        return F.struct(F.when(free, e["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), free.alias("claimed")))).alias("out"))
+    def step(last: float | None, t: float | None) -> tuple[float | None, bool]:
+        free = last is None or t is None or t - last >= ttl
+        return (t if free else last), free
 
-    return grouped.select(*key, F.explode(F.aggregate("_e", zero, step, lambda acc: acc["out"])).alias("c")).select(*key, F.col("c.o").alias(order), F.col("c.claimed").alias("claimed"))
+    return folded(rows, key, ["_t", order], ["_t"], step, None, "claimed", BooleanType()).drop("_t")
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: int, order: str) -> DataFrame:

@@ -196,6 +196,11 @@ CLEAN = f"trim(regexp_replace(replace(text, chr(160), ' '), '{SPACE}', ' ', 'g')
 PREFIXES = "SELECT DISTINCT path FROM (SELECT string_split(p_type, ' ') AS path FROM part UNION ALL SELECT string_split(p_type, ' ')[1:2] FROM part)"
 
 ORACLE_SQL = {
+    "parent_blocks": f"""WITH RECURSIVE {LINES}, u AS (SELECT doc_id, line_no, length(line) AS n FROM lines),
+f AS (SELECT doc_id, line_no, n AS used, 0 AS parent FROM u WHERE line_no = 0
+UNION ALL SELECT u.doc_id, u.line_no, CASE WHEN f.used + u.n > 1500 THEN u.n ELSE f.used + u.n END, f.parent + CASE WHEN f.used + u.n > 1500 THEN 1 ELSE 0 END FROM f JOIN u ON u.doc_id = f.doc_id AND u.line_no = f.line_no + 1)
+SELECT doc_id, line_no, parent FROM f""",
+    "price_spans": "SELECT p_partkey, least(floor(p_retailprice), 2000.0) AS low, greatest(floor(p_retailprice), 2000.0) AS high, TRUE AS low_inclusive, TRUE AS high_inclusive FROM part",
     "chunk_fixed_overlap": f"WITH {windows(500, 50, False)} SELECT doc_id, chunk_index, start, md5(chunk) AS chunk FROM cut",
     "chunk_stride_min": f"WITH {windows(1300, 250, True)} SELECT doc_id, start, length(chunk) AS long FROM cut WHERE length(trim(chunk, ' ')) >= 30",
     "chunk_blocks": f"WITH {windows(350, 0, False)} SELECT doc_id, chunk_index, md5(chunk) AS chunk FROM cut",
@@ -225,4 +230,4 @@ UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(lower(text), 'https?:/
     "first_seen": f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY {CLEAN} ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "path_leaves": f"WITH p AS ({PREFIXES}) SELECT array_to_string(path, ' ') AS path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE len(q.path) > len(p.path) AND q.path[1:len(p.path)] = p.path)",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "parent_blocks", "fuzzy_ratio", "recursive_split", "price_spans"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "fuzzy_ratio", "recursive_split"]}
