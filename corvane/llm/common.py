@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,11 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written in the shared folder; they cut lineage and outlive executors."""
+    """Tables written in the shared folder; they cut lineage and outlive executors, and go when the driver's program ends.
+
+    Results are lazy and read them until then; ``drop`` deletes earlier what nothing reads again.
+    """
+
+    made: list[tuple] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.made.append((path, path.getFileSystem(spark._jsc.hadoopConfiguration())))
 
     def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` once and read it again."""
@@ -48,6 +56,17 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def cleared() -> None:
+    """Delete all workspaces of this program; where the JVM is gone already, they stay."""
+    while Workspace.made:
+        path, system = Workspace.made.pop()
+        try:
+            system.delete(path, True)
+        except Exception:  # noqa: BLE001 the gateway may be closed
+            return
+
+
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds

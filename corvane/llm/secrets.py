@@ -82,7 +82,7 @@ def ledgered(docs: DataFrame, ledger: str | None = None, version: str = RULES_VE
     """(paths: _id, blob; findings: blob, base, spans of every blob with any), after the scan of unseen blobs.
 
     ledger: folder of earlier runs' tables ``seen`` and ``findings``; new parts are appended there.
-    None: a new one in the shared folder.
+    None: a new one in the shared folder, which goes when the program ends.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "ledger")
