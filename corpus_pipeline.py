@@ -67,6 +67,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
     space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = space.save(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
