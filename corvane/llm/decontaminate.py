@@ -6,7 +6,8 @@ so one threshold, a share of that score, serves all items. Postings carry the im
 items the largest impact of a term (block-max). Terms are essential or not: the non-essential ones,
 the most frequent, can never lift an item over the threshold alone. A passage reaches a block only
 where the block-max sum of its essential terms and the block's largest non-essential rest is at least
-the threshold; the items of that block are then scored in full, and all above the threshold are kept.
+the threshold; a passage that reaches none is left, the postings of any other are summed in full once
+for all the blocks it reaches, and all items above the threshold are kept.
 Each is verified by the share of the item's word trigrams found in the passage, for the question (all
 sentences but the last) and for the answer (the last) apart. A part of fewer than SHORT words has so few
 trigrams that one edit can take them all, so the share of its words that stand there in order counts too.
@@ -27,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +195,7 @@ def verified(index: Index, n: int, grams: frozenset, present: frozenset, run: li
 
 def search(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, float]]:
     """item_id -> (score, question overlap, answer overlap) of the best verified passage of a text."""
-    ids = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     if not len(ids):
         return {}
     stride, terms, blocks = index.longest, len(index.essential), len(index.rest)
@@ -208,22 +210,21 @@ def search(index: Index, words: list[bytes]) -> dict[int, tuple[float, float, fl
     bounds = np.bincount(np.unique(cells := (pairs // terms)[of] * blocks + index.block[where], return_inverse=True)[1], index.block_max[where])
     cells = np.unique(cells)
     found: dict[int, tuple[float, float, float]] = {}
-    for cell in cells[bounds + index.rest[cells % blocks] >= THRESHOLD]:
-        passage, block = divmod(int(cell), blocks)
+    reached = cells[bounds + index.rest[cells % blocks] >= THRESHOLD] // blocks
+    for passage in np.unique(reached).tolist():
+        # all postings of a passage that reaches any block are summed at once; no item of another block can reach the threshold
         run = ids[passage * stride : (passage + 2) * stride]
         there = np.unique(run[run >= 0])
         postings, _ = ranges(index.starts, there)
-        item = index.item[postings]
-        own = (item >= block * BLOCK) & (item < (block + 1) * BLOCK)
-        scores = np.bincount(item[own] - block * BLOCK, index.impact[postings][own], BLOCK)
+        scores = np.bincount(index.item[postings], index.impact[postings])
         hits = np.flatnonzero(scores >= THRESHOLD)
         if len(hits):
-            grams, present = trigrams(run), frozenset(there.tolist())
+            grams, present, words_ = trigrams(run), frozenset(there.tolist()), run.tolist()
         for n in hits.tolist():
-            shares = verified(index, block * BLOCK + n, grams, present, run.tolist())
+            shares = verified(index, n, grams, present, words_)
             if shares:
                 got = (float(scores[n]), *shares)
-                found[index.items[block * BLOCK + n]] = max(got, found.get(index.items[block * BLOCK + n], got))
+                found[index.items[n]] = max(got, found.get(index.items[n], got))
     return found
 
 
