@@ -2,9 +2,12 @@
 
 A page is cut into words and tags. Words score positive and tags negative; the weights are log-odds
 of the token's kind (a tag's name, or a word with the innermost open tag) inside against outside the
-content region, learned from labelled pages, and held to the sign of their class. One linear scan
-finds the best contiguous run. Boilerplate elements weigh nothing and give no text, so that one inside
-the article doesn't end it: those of a fixed list of names, and those with a class, id, role or
+content region, learned from labelled pages. To these come the log-odds, learned likewise, of the words
+in an element's class, id, role and aria-label: to its own two tags where they are negative, and to the words of
+which it is the innermost open element with such names. Names never seen, and words of place or form, say nothing. Weights are held to
+the sign of their class. One linear scan finds the best contiguous run.
+
+Boilerplate elements weigh nothing and give no text, so that one inside the article doesn't end it: those of a fixed list of names, and those with a class, id, role or
 aria-label all of whose words are marks of boilerplate or say only a place or form. If only some of its
 words are marks, the words inside weigh LOWER as much and the run decides. An element that holds the
 largest article or main element, or on pages without these more than half of the words, is neither
@@ -44,23 +47,31 @@ LABEL = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^'
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "select", "button", "canvas", "head"}
 #: Words of a class, id or role that mark boilerplate.
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments reply replies disqus cookie cookies consent gdpr banner notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations menu navigation nav navbar breadcrumb breadcrumbs footer header masthead widget toolbar pagination pager copyright complementary contentinfo search".split())
-#: Words that say only where such an element is or what it is made of.
+#: Words that say only where an element is or what it is made of.
 PLAIN = set("left right top bottom upper lower inner outer box bar block area panel list item items row col column wrap wrapper container slot unit zone group site global primary secondary posts articles links link buttons icons".split())
 LOWER = 0.25
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "param", "track"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-CAP = 8.0
+#: The largest weight, the smallest of a word, and that of one whose names speak against it.
+CAP, LEAST, AGAINST = 8.0, 0.05, 0.001
 
 
-def marked(attributes: str) -> float:
-    """What the words inside weigh: 0 for boilerplate, LOWER if only some words of a name are marks, else 1."""
-    share = 1.0
+def named(attributes: str) -> list[set[str]]:
+    """The words of each name in class, id, role and aria-label."""
+    found = []
     for label, value in LABEL.findall(attributes):
         value = value.strip("\"'")
         for name in [value] if label.lower() == "aria-label" else value.split():
-            own = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
-            if own & MARKS:
-                share = min(share, LOWER if own - MARKS - PLAIN else 0.0)
+            found.append(set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""})
+    return found
+
+
+def marked(attributes: str) -> float:
+    """What the words inside weigh: 0 for boilerplate, LOWER if only some words of a name are marks, else 1."""
+    share = 1.0
+    for own in named(attributes):
+        if own & MARKS:
+            share = min(share, LOWER if own - MARKS - PLAIN else 0.0)
     return share
 
 
@@ -71,6 +82,7 @@ class Token:
     block: bool  # a block ends here
     count: int = 1
     share: float = 1.0
+    names: tuple[str, ...] = ()  # a tag's own; of words, those of the innermost open element that has any
 
 
 def spans(cut: list[tuple]) -> dict[int, int]:
@@ -90,6 +102,8 @@ def tokens(page: str) -> list[Token]:
     cut = [(m.group(2), (m.group(3) or "").lower(), m.group(4) or "", m.group(1), m.group(0)) for m in TOKEN.finditer(page)]
     out: list[Token] = []
     opened: list[str] = []
+    names: list[tuple[str, ...]] = [()]  # in force outside all elements, then in each open one
+    owned: list[tuple[str, ...]] = []  # of each open element itself
     ends = spans(cut)
     before = [0, *accumulate(0 if name or raw is not None or whole.startswith(("<!", "<?")) else len(whole.split()) for _, name, _, raw, whole in cut)]
     regions = []
@@ -111,7 +125,7 @@ def tokens(page: str) -> list[Token]:
             continue
         if not name:
             words = len(whole.split())
-            out.append(Token(f"word:{opened[-1] if opened else ''}" if words else "", whole, False, words, LOWER if i < lowered else 1.0))
+            out.append(Token(f"word:{opened[-1] if opened else ''}" if words else "", whole, False, words, LOWER if i < lowered else 1.0, names[-1]))
             continue
         if i in ends:
             share = 0.0 if name in DROPPED else 1.0 if name in ("html", "body", "article", "main") else marked(attributes)
@@ -121,15 +135,22 @@ def tokens(page: str) -> list[Token]:
                     out.append(Token("", None, True))
                     continue
                 lowered = max(lowered, ends[i])
+        own: tuple[str, ...] = ()
         if slash:
-            if name in opened:
-                while opened.pop() != name:
-                    pass
+            closed = "" if name in opened else name
+            while closed != name:
+                closed, own = opened.pop(), owned.pop()
+                names.pop()
         elif name not in VOID and name not in INLINE - {"a"}:
             if name in ("p", "li", "tr", "td", "option") and opened and opened[-1] == name:
                 opened.pop()
+                names.pop()
+                owned.pop()
+            own = tuple(sorted({f".{x}" for words in named(attributes) for x in words - PLAIN})) if attributes else ()
             opened.append(name)
-        out.append(Token(name if not slash else f"/{name}", None, name not in INLINE))
+            names.append(own or names[-1])
+            owned.append(own)
+        out.append(Token(name if not slash else f"/{name}", None, name not in INLINE, names=own))
     return out
 
 
@@ -140,9 +161,10 @@ class Model:
     def weight(self, t: Token) -> float:
         if not t.kind:
             return 0.0
+        said = float(np.clip(sum(self.weights.get(x, 0.0) for x in t.names), -CAP, CAP)) if t.names else 0.0
         if t.text is None:
-            return self.weights.get(t.kind, -1.0)
-        return self.weights.get(t.kind, 1.0) * t.count * t.share
+            return self.weights.get(t.kind, -1.0) + min(said, 0.0)
+        return max(self.weights.get(t.kind, 1.0) + said, LEAST if said >= 0 else AGAINST) * t.count * t.share
 
 
 def learn(pages: list[str]) -> Model:
@@ -156,12 +178,16 @@ def learn(pages: list[str]) -> Model:
             continue
         for i, t in enumerate(cut):
             if t.kind:
-                (inside if begin[0] < i < end[0] else outside)[t.kind] += t.count
+                for kind in (t.kind, *t.names) if t.text is not None else (t.kind,):
+                    (inside if begin[0] < i < end[0] else outside)[kind] += t.count
     weights = {}
+    every = [sum(n for kind, n in side.items() if kind.startswith("word:")) for side in (inside, outside)]
     for kind in inside | outside:
         odds = float(np.clip(np.log((inside[kind] + 0.5) / (outside[kind] + 0.5)), -CAP, CAP))
-        # words stay positive, or nearly nothing; tags stay negative, or nearly nothing
-        weights[kind] = max(odds, 0.05) if kind.startswith("word:") else min(odds, -0.05)
+        if kind.startswith("."):  # what a name adds to what is known of all words
+            weights[kind] = float(np.clip(odds - np.log((every[0] + 0.5) / (every[1] + 0.5)), -CAP, CAP))
+        else:  # words stay positive, or nearly nothing; tags stay negative, or nearly nothing
+            weights[kind] = max(odds, LEAST) if kind.startswith("word:") else min(odds, -LEAST)
     for name in ("article", "main"):  # the bounds of a labelled region are outside it
         for kind in (name, f"/{name}"):
             weights[kind] = min(weights.get(kind, -CAP), -CAP) * 100

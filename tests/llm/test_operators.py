@@ -199,6 +199,55 @@ def test_rows_without_ids_are_met_by_their_sets(spark, monkeypatch):
         neardup.group(few, threshold=(79, 100))
 
 
+def exact_components(texts: list[tuple], n: int, num: int, den: int) -> dict:
+    """doc_id -> smallest linked doc_id, by lists of each set's rarest values: no pair at the threshold can miss all of those."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    number, sets, root, first, index = {}, {}, {}, {}, defaultdict(list)
+    for i, text in texts:
+        found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        grams = {tuple(found[k : k + n]) for k in range(max(len(found) - n + 1, 1))} if found else set()
+        sets[i], root[i] = frozenset(number.setdefault(g, len(number)) for g in grams), i
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def link(i, j):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+
+    for i, held in sets.items():
+        if held and first.setdefault(held, i) != i:
+            link(i, first[held])
+    held_by = Counter(v for held in first for v in held)
+    for held, i in sorted(first.items(), key=lambda x: len(x[0])):
+        rare = sorted(held, key=lambda v: (held_by[v], v))[: len(held) - -(-len(held) * num // den) + 1]
+        for j in {j for v in rare for j in index[v]}:
+            if find(i) != find(j) and len(held & sets[j]) * den >= len(held | sets[j]) * num:
+                link(i, j)
+        for v in rare:
+            index[v].append(i)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 85), (5, 80)])
+def test_groups_of_ten_thousand_documents(spark, n, num):
+    rng = np.random.default_rng(n)
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    near = []
+    for at in range(0, len(texts), 5):  # near copies on both sides of the threshold
+        found = (texts[at][1] or "").split()
+        for k in rng.integers(0, max(len(found), 1), max(len(found) * int(rng.integers(1, 9)) // 200, 1)):
+            if found:
+                found[k] = f"changed{k}"
+        near.append((1_000_000 + at, " ".join(found)))
+    both = texts + near
+    got = rows(neardup.group(spark.createDataFrame(both, "doc_id long, text string").repartition(16), n, (num, 100)))
+    want = exact_components(both, n, num, 100)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < len(want) - 500
+
+
 def test_groups_of_odd_rows(odd, none):
     got = rows(neardup.group(odd, 3, (85, 100)))
     by = defaultdict(list)
@@ -489,6 +538,23 @@ def test_wrappers_with_marks_keep_the_content(wrapper, region):
     assert htmltext.extract(page, weights) == want
 
 
+def test_names_are_learned_from_labelled_pages():
+    body = "".join(f"<p>Paragraph {i} of the long text, with more words here.</p>" for i in range(9))
+    junk = "<div class='teaser-strip'><p>" + "Seen elsewhere in this place today. " * 12 + "</p></div>"
+    taught = [f"<html><body>{junk}<article><div class='prose'>{body}</div></article>{junk}</body></html>"] * 30
+    model = htmltext.learn(taught)
+    want = " ".join(f"Paragraph {i} of the long text, with more words here." for i in range(9))
+    # no article element, no name of the list, and more words in the teasers than in the content
+    page = f"<html><body>{junk}<div class='prose'>{body}</div>{junk}</body></html>"
+    assert htmltext.extract(page, model) == want
+    # without what the names say, the run goes on through the teasers
+    plain = htmltext.Model({k: w for k, w in model.weights.items() if not k.startswith(".")})
+    assert "Seen elsewhere" in htmltext.extract(page, plain)
+    # names never seen say nothing, and attributes that only end in these names are none
+    other = page.replace("teaser-strip", "unknown").replace("prose", "also-unknown").replace("class=", "data-class=")
+    assert htmltext.extract(other, model) == htmltext.extract(other, plain)
+
+
 def test_words_in_partly_marked_elements_weigh_less():
     short, long = "few words of content here", "a list of more words than the content"
     page = f"<p>{short}</p><hr><p>five other words stand here</p><hr><div class='sidebar-notes'><p>{long}</p></div>"
