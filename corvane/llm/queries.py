@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, hilbert, hmm, htmltext, langid, neardup, packing, quality, secrets
+from . import audio, decontaminate, hilbert, hmm, htmltext, langid, neardup, packing, prefixtrie, quality, secrets, simhash
 from .common import documents, fold
 
 #: Names of public vocabularies; tasks find their paths.
@@ -58,6 +58,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(documents(spark, sf_dir), shingle=3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixtrie.build(prefixtrie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return nodes.drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
@@ -69,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: A-Z in lower case, words of the text, distinct shingles, links by counted shared shingles, smallest id reachable.
@@ -141,4 +152,20 @@ d AS (SELECT *, (((place + 1) * {shards} - 1) // total)::INT AS shard FROM r)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, place - (shard * total) // {shards} AS slot, NULL::INT AS grown_shard, curve FROM d"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql(), "op10_sharding": shard_sql()}
+def trie_sql() -> str:
+    """Rebuilt conversations, every first part of each, and sums over all nodes below each."""
+    mark = "md5(length(role) || ':' || role || text)"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, {mark} AS mark, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {mark}) AS place FROM t),
+o AS (SELECT conv_id, list(mark ORDER BY place) AS marks, list(words ORDER BY place) AS words, {crc_sql("conv_id::VARCHAR")} % 4 AS h FROM p GROUP BY 1),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.marks, [])[1:o.h], o.marks[o.h + 1:]) AS marks, list_concat(coalesce(b.words, [])[1:o.h], o.words[o.h + 1:]) AS words FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+d AS (SELECT *, unnest(range(len(marks) + 1)) AS depth FROM r),
+k AS (SELECT conv_id, depth, md5(array_to_string(marks[1:depth], ',')) AS node, CASE WHEN depth > 0 THEN md5(array_to_string(marks[1:depth - 1], ',')) END AS above, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words, len(marks) = depth AS ends FROM d),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended FROM k GROUP BY ALL),
+c AS (SELECT above, count(*) AS n_children FROM n GROUP BY 1),
+s AS (SELECT k.node, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (c.above IS NULL) AS n_leaves FROM n JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth LEFT JOIN c ON c.above = n.node GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ended) AS ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN n u ON u.node = n.above LEFT JOIN c ON c.above = n.node"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql(), "op10_sharding": shard_sql(), "op13_prefix_trie": trie_sql()}
