@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, hilbert, hmm, htmltext, langid, neardup, packing, prefixtrie, quality, secrets, simhash
+from . import audio, decontaminate, hilbert, hmm, htmltext, langid, leaderboard, neardup, packing, prefixtrie, quality, secrets, simhash
 from .common import documents, fold
 
 #: Names of public vocabularies; tasks find their paths.
@@ -58,6 +58,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
+def op11_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sale_lines, vendors, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "vendors", "items"))
+    return leaderboard.feed(leaderboard.lines(sale_lines, vendors, items))
+
+
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(documents(spark, sf_dir), shingle=3)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_change_feed": op11_change_feed,
     "op12_simhash_dedup": op12_simhash_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -152,6 +158,24 @@ d AS (SELECT *, (((place + 1) * {shards} - 1) // total)::INT AS shard FROM r)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, place - (shard * total) // {shards} AS slot, NULL::INT AS grown_shard, curve FROM d"""
 
 
+def feed_sql() -> str:
+    """Running revenues and their rank on every arrival day of a nation, against the day before."""
+    return f"""WITH x AS (SELECT l.*, {crc_sql("concat(coalesce(sale_id::VARCHAR, ''), ',', coalesce(l.item_id::VARCHAR, ''), ',', coalesce(l.vendor_id::VARCHAR, ''), ',', coalesce(line_no::VARCHAR, ''))")} AS h FROM sale_lines l),
+d AS (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150) AS s FROM x),
+a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM d),
+b AS (SELECT *, least(10, greatest(1, 1 + floor((a - 19723) * 10 / 180)))::INT AS batch FROM a),
+m AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM b GROUP BY batch),
+v AS (SELECT vendor_id, min(nation_id) AS nation FROM vendors GROUP BY 1), i AS (SELECT item_id, min(price) AS price FROM items GROUP BY 1),
+r AS (SELECT nation, b.item_id AS item, a, batch, sum(CASE WHEN flag = 'swapped' THEN -1.0 ELSE 1.0 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0.0)) AS cents
+  FROM b JOIN m USING (batch) JOIN v USING (vendor_id) JOIN i ON i.item_id = b.item_id WHERE nation IS NOT NULL AND (late IS NULL OR s + 3 >= late) GROUP BY ALL),
+c AS (SELECT nation, item, a, sum(cents) OVER (PARTITION BY nation, item ORDER BY a) AS revenue, lead(a) OVER (PARTITION BY nation, item ORDER BY a) AS until FROM r),
+n AS (SELECT nation, a, min(batch) AS batch, row_number() OVER (PARTITION BY nation ORDER BY a) AS step FROM r GROUP BY nation, a),
+k AS (SELECT n.nation, n.step, c.item, c.revenue, row_number() OVER (PARTITION BY n.nation, n.step ORDER BY c.revenue DESC, c.item) AS place FROM n JOIN c ON c.nation = n.nation AND c.a <= n.a AND (c.until IS NULL OR c.until > n.a) WHERE c.revenue > 0 QUALIFY place <= 10),
+e AS (SELECT coalesce(o.nation, p.nation) AS nation, coalesce(o.item, p.item) AS item, coalesce(o.step, p.step + 1) AS step, p.place AS old_rank, o.place AS new_rank FROM k o FULL JOIN k p ON p.nation = o.nation AND p.item = o.item AND p.step = o.step - 1 WHERE o.place IS DISTINCT FROM p.place)
+SELECT e.nation AS nation_id, n.a AS arrival_day, e.item AS item_id, n.batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank::INT AS old_rank, new_rank::INT AS new_rank, c.revenue::BIGINT AS revenue
+FROM e JOIN n ON n.nation = e.nation AND n.step = e.step JOIN c ON c.nation = e.nation AND c.item = e.item AND c.a <= n.a AND (c.until IS NULL OR c.until > n.a)"""
+
+
 def trie_sql() -> str:
     """Rebuilt conversations, every first part of each, and sums over all nodes below each."""
     mark = "md5(length(role) || ':' || role || text)"
@@ -168,4 +192,4 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_
 FROM n JOIN s USING (node) LEFT JOIN n u ON u.node = n.above LEFT JOIN c ON c.above = n.node"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql(), "op10_sharding": shard_sql(), "op13_prefix_trie": trie_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scans": secret_sql(), "op10_sharding": shard_sql(), "op11_change_feed": feed_sql(), "op13_prefix_trie": trie_sql()}
