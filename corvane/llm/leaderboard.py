@@ -54,15 +54,18 @@ def lines(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFr
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")]
     h = F.crc32(F.concat(*[x for t in text for x in (t, F.lit(","))][:-1]))
     day = F.coalesce(F.unix_date(F.to_date("shipped_at")), (F.lit(FIRST_DAY) + h % 150).cast("int"))
-    rows = sale_lines.select("item_id", "vendor_id", F.col("quantity").cast("double").alias("quantity"), F.floor(F.col("amount") * 100 + 0.5).cast("double").alias("cents"), (F.col("flag") == "swapped").alias("back"), day.alias("day"), h.alias("h"))
+    sign = F.when(F.col("flag") == "swapped", -1.0).otherwise(1.0)
+    cents = sign * F.floor(F.col("amount") * 100 + 0.5)
+    units = F.when(F.col("amount").isNull(), sign * F.col("quantity"))
+    rows = sale_lines.select("item_id", "vendor_id", cents.alias("cents"), units.alias("units"), day.alias("day"), h.alias("h"))
     arrival = F.col("day") + (F.col("h") % 7).cast("int") + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
     rows = rows.withColumn("arrival", arrival).drop("h")
-    nations = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation"))
-    prices = items.groupBy(F.col("item_id").alias("item")).agg(F.floor(F.min("price") * 100 + 0.5).cast("double").alias("price"))
-    known = rows.join(nations, "vendor_id", "left").join(prices, rows["item_id"] == prices["item"], "left")
-    cents = F.coalesce("cents", F.col("quantity") * F.col("price"), F.lit(0.0))
+    # both tables grow with the lines: joined by key at every size, with skewed keys left to the adaptive plan
+    nations = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation")).hint("merge")
+    prices = items.groupBy(F.col("item_id").alias("item")).agg(F.floor(F.min("price") * 100 + 0.5).cast("double").alias("price")).hint("merge")
+    known = rows.join(nations, "vendor_id", "left").drop("vendor_id").join(prices, rows["item_id"] == prices["item"], "left")
     batch = F.least(F.lit(BATCHES), F.greatest(F.lit(1), 1 + F.floor((F.col("arrival") - FIRST_DAY) * BATCHES / SPAN))).cast("int")
-    return known.select("nation", "item", F.when(F.col("back"), -cents).otherwise(cents).alias("cents"), "day", "arrival", batch.alias("batch"))
+    return known.select("nation", "item", F.coalesce("cents", F.col("units") * F.col("price"), F.lit(0.0)).alias("cents"), "day", "arrival", batch.alias("batch"))
 
 
 PARTIAL = "nation int, item long, arrival int, batch int, cents double"
