@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import first_reason
+from .graph import first_reason, within_hops
 
 
 def squeezed(c: Column) -> Column:
@@ -68,14 +68,9 @@ def neighbour_repair(rows: DataFrame, lines: DataFrame, key: str, page: str, at:
 
 def ancestors(hierarchy: DataFrame, depth: int) -> DataFrame:
     """(node, ancestor, steps): all ancestors of each node up to a depth, itself at 0, least steps."""
-    base = hierarchy.select("node", "parent").distinct()
-    reached = base.select("node").unionAll(base.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
-    front = reached
-    for step in range(1, depth + 1):
-        above = front.join(base.select(F.col("node").alias("_n"), "parent"), F.col("ancestor") == F.col("_n")).select("node", F.col("parent").alias("ancestor")).distinct()
-        front = above.join(reached, ["node", "ancestor"], "left_anti").withColumn("steps", F.lit(step))
-        reached = reached.unionByName(front)
-    return reached
+    base = hierarchy.select(F.col("node").alias("src"), F.col("parent").alias("dst")).where("dst is not null")
+    nodes = hierarchy.select("node").unionAll(hierarchy.select("parent")).where("node is not null").select(F.col("node").alias("seed")).distinct()
+    return within_hops(base, nodes, depth, directed=True).select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("steps"))
 
 
 def path_similarity(hierarchy: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:

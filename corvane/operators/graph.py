@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset and all tasks run on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from .stored import Tables
 
 
 def latest(df: DataFrame, key: list[str], version: list[Column], order: Column) -> DataFrame:
@@ -53,25 +41,63 @@ def isolated(nodes: DataFrame, edges: DataFrame, node: str, ends: list[str]) ->
     return nodes.join(touched, nodes[node] == touched["_end"], "left_anti")
 
 
-def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def undirected(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def within_hops(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(seed, node, hops): nodes reached from each seed by at most ``hops`` edges in any direction, at the least count.
 
-    edges: src, dst; seeds: seed. The frontier of each turn is what no earlier turn has reached.
+    edges: src, dst; seeds: seed. The frontier of each turn is what no earlier turn has reached; it is written in the
+    shared folder, so a turn's plan holds that turn alone. It ends early when nothing new is reached.
     """
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hops", F.lit(0))
-    frontier = reached
+    space = Tables(edges.sparkSession, "hops")
+    both = space.save(edges.select("src", "dst").distinct() if directed else undirected(edges), "edges")
+    start = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hops", F.lit(0))
+    frontier = reached = space.save(start, "0")
     for hop in range(1, hops + 1):
         ahead = frontier.join(both, frontier["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = ahead.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = space.save(ahead.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)), str(hop))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
 
-def removed(spark, folder: str) -> None:
-    """Delete a table that nothing will read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def paths(edges: DataFrame, seeds: DataFrame, low: int, high: int, limit: int, direction: str = "both", end: Column | None = None, rel: str = "id") -> DataFrame:
+    """The first ``limit`` paths of each ask: ask, seed, node (its end), hops, nodes, rels, place, truncated.
+
+    edges: the relationship's id, src, dst; seeds: ask, seed. A path has ``low`` to ``high`` relationships, none of them twice
+    (nodes may be), followed forwards (out), backwards (in) or either way (both). Paths are ordered by their list of relationship
+    ids, then by seed and nodes; a list comes before those that it begins. truncated: whether the ask has more than ``limit``. end: a condition on
+    the path's end, ``node``. Seeds that repeat count once; null ends and ids make no step.
+
+    Each turn extends the last turn's frontier and writes it. Without a condition every path of ``low`` steps or more counts, and those that
+    begin with it come right after it: what isn't among the first limit + 1 of its length can be left out with all that follows from it, so
+    a frontier holds limit + 1 paths an ask however many there are. With ``end`` all paths up to ``high`` steps are followed.
+    """
+    space = Tables(edges.sparkSession, "paths")
+    known = edges.where(f"{rel} is not null and src is not null and dst is not null")
+    out = known.select(F.col(rel).alias("_rel"), F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    back = known.where("src != dst" if direction == "both" else "true").select(F.col(rel).alias("_rel"), F.col("dst").alias("_from"), F.col("src").alias("_to"))
+    steps = space.save({"out": out, "in": back, "both": out.unionAll(back)}[direction].distinct(), "steps")
+    empty = F.array().cast(f"array<{dict(steps.dtypes)['_rel']}>")
+    own = seeds.select("ask", "seed").distinct()
+    frontier = space.save(own.select("ask", "seed", F.col("seed").alias("node"), F.array("seed").alias("nodes"), empty.alias("rels")), "0")
+    order = Window.partitionBy("ask").orderBy("rels", "seed", "nodes")
+    found = [frontier] if low == 0 else []
+    for hop in range(1, high + 1):
+        ahead = frontier.join(steps, frontier["node"] == steps["_from"]).where(~F.array_contains("rels", F.col("_rel")))
+        ahead = ahead.select("ask", "seed", F.col("_to").alias("node"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("rels", F.array("_rel")).alias("rels"))
+        if end is None and hop >= low:
+            ahead = ahead.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit + 1).drop("_n")
+        frontier = space.save(ahead, str(hop))
+        if hop >= low:
+            found.append(frontier)
+    every = reduce(DataFrame.unionAll, found)
+    placed = (every if end is None else every.where(end)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
+    marked = placed.withColumn("truncated", F.max("place").over(Window.partitionBy("ask")) > limit)
+    return marked.where(F.col("place") <= limit).select("ask", "seed", "node", F.size("rels").alias("hops"), "nodes", "rels", "place", "truncated")
 
 
 def components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
@@ -80,8 +106,7 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFr
     Alternating large-star and small-star steps; each is written in the shared folder, so lineage stays
     short and a lost executor loses nothing. Only a count and a checksum reach the driver.
     """
-    spark = edges.sparkSession
-    base, turn, seen = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0, None
+    space, turn, seen = Tables(edges.sparkSession, "components"), 0, None
     links = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a != b").distinct()
     while True:
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -91,10 +116,9 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFr
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a != b")
         small = small.unionAll(low.select("a", F.col("m").alias("b"))).distinct()
-        small.write.parquet(f"{base}/{turn}")
-        links = spark.read.schema(small.schema).parquet(f"{base}/{turn}")
+        links = space.save(small, str(turn))
         if turn:
-            removed(spark, f"{base}/{turn - 1}")
+            space.drop(str(turn - 1))
         turn += 1
         now = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == seen or now[0] == 0:

@@ -12,6 +12,8 @@ from corvane.operators import facts, graph, jobs, learning, ranking
 from corvane.sources import files, html
 
 from .rules import rendered, shared
+from corvane.operators.stored import shared_folder
+
 from .tables import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -28,7 +30,7 @@ def registered(sql: str):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- sources

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import state
-from corvane.operators.graph import shared_folder
+from corvane.operators.stored import shared_folder
 from corvane.streaming import live
 
 from .tables import table
