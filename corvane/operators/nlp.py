@@ -4,35 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from corvane.functions import text as t
 from corvane.functions import udfs
 
+from . import dictionary
 from .folds import folded
+from .similar import similar
 
 
 def alias_matches(queries: DataFrame, aliases: DataFrame, query: str = "query_id", text: str = "text", fuzzy: float | None = None) -> DataFrame:
     """query, canonical, alias, score: the longest alias of each canonical name that a text mentions.
 
-    aliases: alias, canonical; a dictionary that is counted before it is sent. Latin aliases need word
-    bounds, others are found anywhere. With ``fuzzy``, texts without any exact match take the best one
-    at least that similar.
+    aliases: alias, canonical. Latin aliases need word bounds, others are found anywhere; an automaton finds all of them in one pass.
+    With ``fuzzy``, texts without any exact match take the best one at least that similar to a part of the text.
     """
     from .ranking import sent
 
-    pairs = queries.select(query, F.lower(text).alias("_t")).crossJoin(sent(aliases.select(F.lower("alias").alias("alias"), "canonical")))
-    latin = F.regexp_like("alias", F.lit("^[a-z0-9 .&-]+$"))
-    hit = F.when(latin, t.mentions(F.col("_t"), F.col("alias"))).otherwise(F.col("_t").contains(F.col("alias")))
-    exact = pairs.where(hit).withColumn("score", F.lit(1.0))
+    lowered = queries.select(query, F.lower(text).alias("_t"))
+    names = aliases.select(F.lower("alias").alias("alias"), "canonical").distinct()
+    exact = dictionary.found(lowered, names, query, "_t", "alias").join(names, F.col("term") == F.col("alias")).select(query, "alias", "canonical", F.lit(1.0).alias("score"))
     if fuzzy is not None:
-        rest = pairs.join(exact.select(query).distinct(), query, "left_anti").withColumn("score", udfs.fragment_ratio("alias", "_t"))
+        rest = lowered.join(exact.select(query).distinct(), query, "left_anti").crossJoin(sent(names)).withColumn("score", udfs.fragment_ratio("alias", "_t"))
         best = Window.partitionBy(query).orderBy(F.desc("score"), F.desc(F.length("alias")), "alias")
-        exact = exact.unionByName(rest.where(F.col("score") >= fuzzy).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n"))
+        exact = exact.unionByName(rest.where(F.col("score") >= fuzzy).withColumn("_n", F.row_number().over(best)).where("_n = 1").select(query, "alias", "canonical", "score"))
     longest = Window.partitionBy(query, "canonical").orderBy(F.desc("score"), F.desc(F.length("alias")), "alias")
     return exact.withColumn("_n", F.row_number().over(longest)).where("_n = 1").select(query, "canonical", "alias", "score")
 
 
+def typo_matches(queries: DataFrame, aliases: DataFrame, least: float = 0.84, query: str = "query_id", text: str = "text") -> DataFrame:
+    """query, canonical, alias, word, start, score: aliases that words of a text nearly are, besides those it mentions as they are.
+
+    aliases: alias, canonical and ``place``, their order. A word of four letters or more that isn't a number takes the most similar one-word alias
+    with the same first letter, at most two letters longer or shorter, and a ratio of ``least`` or more; of equal ones the first by place. A canonical name is
+    taken once: not if the text mentions it, nor after an earlier word has taken it.
+    """
+    lowered = queries.select(query, F.lower(text).alias("_t"))
+    names = aliases.select(F.lower("alias").alias("alias"), "canonical", "place")
+    exact = dictionary.found(lowered, names, query, "_t", "alias").join(names, F.col("term") == F.col("alias")).select(query, "canonical").distinct()
+    words = lowered.select(query, F.posexplode(F.regexp_extract_all("_t", F.lit(r"([a-z0-9\u0E01-\u0E59]+)"))).alias("start", "word"))
+    words = words.where(~F.regexp_like("word", F.lit("^[0-9]+$")) & (F.length("word") >= 4))
+    short = names.where((F.length("alias") >= 4) & ~F.contains(F.col("alias"), F.lit(" ")))
+    near = similar(words.select(F.col("word").alias("text")), short.select(F.col("alias").alias("text")), least)
+    near = near.where((F.abs(F.length("a") - F.length("b")) <= 2) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)))
+    met = words.join(near, F.col("word") == F.col("a")).join(short, F.col("b") == F.col("alias")).join(exact, [query, "canonical"], "left_anti")
+    # what a word may take, best first; as few as there are aliases that near
+    offers = met.groupBy(query, "start", "word").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("far"), "place", "canonical", "alias"))).alias("offers"))
+
+    def take(seen: set | None, given: list) -> tuple[set, dict | None]:
+        seen = seen or set()
+        for offer in given:
+            if offer["canonical"] not in seen:
+                seen.add(offer["canonical"])
+                return seen, {"canonical": offer["canonical"], "alias": offer["alias"], "score": -offer["far"]}
+        return seen, None
+
+    kind = StructType([StructField("canonical", StringType()), StructField("alias", StringType()), StructField("score", DoubleType())])
+    return folded(offers, [query], ["start"], ["offers"], take, None, "_taken", kind).where("_taken is not null").select(query, "_taken.canonical", "_taken.alias", "word", "start", "_taken.score")
+
+
 def expanded(question: Column, triggers: dict[str, list[str]]) -> Column:
     """The question with the terms of every trigger it contains, once each."""
     parts = [F.when(F.lower(question).contains(k.lower()), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in triggers.items()]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, identity, state
+from corvane.operators import graph, identity, nlp, similar, state, vectorindex
 from corvane.operators.stored import Tables
 from corvane.streaming import live
 
+from . import retrieval
 from .tables import table
 
 #: Seconds that a claim holds, and the claims that a scope holds.
@@ -76,6 +77,27 @@ def supplier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ask", "node", F.array_join(F.col("rels").cast("array<string>"), ">").alias("rels"), F.col("place").cast("long").alias("place"), "truncated")
 
 
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clients' names of a sequence ratio of 0.84 or more, each pair of different spellings once."""
+    found = similar.similar(table(spark, sf_dir, "clients").select(F.lower("name").alias("text")), None, 0.84)
+    return found.select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+def typo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vendors' family names that a word of a client's name nearly is, the vendors in order of their number."""
+    vendors = table(spark, sf_dir, "vendors").select(F.lower(F.element_at(F.split("name", " "), -1)).alias("alias"), "vendor_id").groupBy("alias").agg(F.min("vendor_id").alias("place"))
+    names = table(spark, sf_dir, "clients").select(F.col("client_id").alias("query_id"), F.col("name").alias("text"))
+    found = nlp.typo_matches(names, vendors.select("alias", F.initcap("alias").alias("canonical"), "place"), 0.7)
+    return found.select("query_id", "canonical", "word", F.col("start").cast("long").alias("start"), F.round("score", 6).alias("score"))
+
+
+def index_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 to V3: the ten nearest of every hundredth vector by an inverted file with exact bounds."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    queries = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "embedding")
+    return vectorindex.Index(items, 32).search(queries, 10)
+
+
 CLAIMS_SQL = f"""WITH RECURSIVE n AS (SELECT coalesce(kind, 'none') AS kind, click_id, client_id::VARCHAR AS id, coalesce(epoch_us(ts) / 1e6, 0.0) AS t, coalesce(value < 2, FALSE) AS gone, row_number() OVER (PARTITION BY coalesce(kind, 'none') ORDER BY coalesce(epoch_us(ts), 0), click_id) AS i FROM clicks),
 p AS (SELECT kind, 0::BIGINT AS i, NULL::BIGINT AS click_id, NULL::BOOLEAN AS claimed, []::STRUCT(id VARCHAR, ends DOUBLE)[] AS held FROM (SELECT DISTINCT kind FROM n)
 UNION ALL SELECT kind, i, click_id, CASE WHEN gone THEN NULL WHEN coalesce(id, '') = '' THEN TRUE ELSE NOT there END AS claimed,
@@ -99,4 +121,6 @@ SELECT ask, node, len(rels) AS hops, array_to_string(nodes, '>') AS nodes, array
 r AS (SELECT x.id AS ask, 'o' || y.id AS node, x.id || '>' || y.id AS rels, row_number() OVER (PARTITION BY x.id ORDER BY y.id) AS place, count(*) OVER (PARTITION BY x.id) > {PATHS} AS truncated FROM e x JOIN e y ON y.s = x.s AND y.id <> x.id WHERE x.id % 100 = 0)
 SELECT * FROM r WHERE place <= {PATHS}""",
 }
-QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+ORACLE_SQL["index_l2_topk"] = retrieval.ORACLE_SQL["knn_l2_topk"]
+#: Sequence ratios aren't in SQL; tests/test_search.py holds these against all pairs.
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "similar_names", "typo_names"]}
