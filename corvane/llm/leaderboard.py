@@ -60,9 +60,10 @@ def lines(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFr
     rows = sale_lines.select("item_id", "vendor_id", cents.alias("cents"), units.alias("units"), day.alias("day"), h.alias("h"))
     arrival = F.col("day") + (F.col("h") % 7).cast("int") + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
     rows = rows.withColumn("arrival", arrival).drop("h")
-    # both tables grow with the lines: joined by key at every size, with skewed keys left to the adaptive plan
-    nations = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation")).hint("merge")
-    prices = items.groupBy(F.col("item_id").alias("item")).agg(F.floor(F.min("price") * 100 + 0.5).cast("double").alias("price")).hint("merge")
+    # both tables grow with the lines: joined by key at every size; written first, so that a skewed key's lines can be split at the join
+    space = Workspace(sale_lines.sparkSession, "shop")
+    nations = space.save(vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation")), "nations").hint("merge")
+    prices = space.save(items.groupBy(F.col("item_id").alias("item")).agg(F.floor(F.min("price") * 100 + 0.5).cast("double").alias("price")), "prices").hint("merge")
     known = rows.join(nations, "vendor_id", "left").drop("vendor_id").join(prices, rows["item_id"] == prices["item"], "left")
     batch = F.least(F.lit(BATCHES), F.greatest(F.lit(1), 1 + F.floor((F.col("arrival") - FIRST_DAY) * BATCHES / SPAN))).cast("int")
     return known.select("nation", "item", F.coalesce("cents", F.col("units") * F.col("price"), F.lit(0.0)).alias("cents"), "day", "arrival", batch.alias("batch"))
