@@ -36,11 +36,21 @@ def compact(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, Thai digits as ASCII, unified dashes and comparisons, no thousands commas, letters repeated at most twice."""
-    out = F.translate(F.lower(text), "๐๑๒๓๔๕๖๗๘๙–—−≥≤", "0123456789---><")
-    out = F.regexp_replace(out, r"([0-9]),([0-9]{3})", "$1$2")
-    out = F.regexp_replace(out, r"(\p{L})\1{2,}", "$1$1")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Composed form in lower case; Thai digits as ASCII, no commas between digits, unified dashes, comparisons in two signs.
+
+    A letter that repeats three times or more stays once, digits as they are; signs other than .-฿<>= become spaces. White space is one space,
+    and spaces, points and dashes go from the ends.
+    """
+    from .udfs import nfc
+
+    # composed form matters only where there is more than ASCII
+    out = F.lower(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), nfc(text)).otherwise(text))
+    out = F.translate(F.translate(out, "๐๑๒๓๔๕๖๗๘๙–—−\u00a0", "0123456789--- "), "\u200b\ufeff", "")
+    out = F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", "")
+    out = F.replace(F.replace(out, F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<="))
+    out = F.regexp_replace(out, r"(\p{L})\1{2,}", "$1")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}_ก-๙\s.\-฿<>=]", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[ .\-]+|[ .\-]+$", "")
 
 
 def character_ngrams(text: Column, size: int = 2) -> Column:

@@ -76,30 +76,59 @@ def recursive_split(size: int, overlap: int = 0):
 
 
 PRICES = StructType([StructField(n, t) for n, t in (("low", DoubleType()), ("high", DoubleType()), ("low_inclusive", BooleanType()), ("high_inclusive", BooleanType()))])
-#: Patterns in order of precedence: a claimed part of the text is not read again.
-BETWEEN = re.compile(r"(?:between\s+)?(\d[\d,]*(?:\.\d+)?)\s*(k?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)\s*(k?)", re.I)
-BOUND = re.compile(r"(under|below|less than|over|above|more than|at least|at most|up to|from)\s*(\d[\d,]*(?:\.\d+)?)\s*(k?)", re.I)
+#: An amount with its unit; words of ranges, bounds and money; units of sizes, which are no money.
+AMOUNT = r"฿?\s*(\d[\d,]*(?:\.\d+)?)\s*(k\b|เค|พัน|หมื่น)?\s*(?:บาท|฿|baht\b)?"
+TIMES = {"k": 1000, "เค": 1000, "พัน": 1000, "หมื่น": 10_000}
+SIZE = r"(?:นิ้ว|inch|inches|dpi|mah|hz|khz|mhz|ghz)"
+#: Rules by precedence; a part of the text that one has claimed is read by none after it. Numbers without a word of price, a unit or a sign of
+#: money are names of models. kind: range, or bounds (low or high) with whether they are inclusive.
+PRICE_RULES = [
+    ("range", None, rf"(?:\bbetween|\bfrom|ระหว่าง|ช่วง|ตั้งแต่)\s*{AMOUNT}\s*(?:-|\bto\b|\band\b|ถึง|จนถึง)\s*{AMOUNT}"),
+    ("range", None, rf"(?:\bprice|\bbudget|ราคา|งบ)\s*{AMOUNT}\s*(?:-|\bto\b|ถึง|จนถึง)\s*{AMOUNT}"),
+    ("range", None, rf"(?<!\S){AMOUNT}\s*-\s*{AMOUNT}(?!\S)(?!\s*{SIZE})"),
+    ("range", None, r"฿?\s*(\d[\d,]*(?:\.\d+)?)\s*(k\b|เค|พัน|หมื่น)?\s*(?:บาท)?\s*(?:-|\bto\b|ถึง)\s*(\d[\d,]*(?:\.\d+)?)\s*(k\b|เค|พัน|หมื่น)?\s*(?:บาท|฿|baht\b)"),
+    ("low", True, rf"(?:>=|=>|\bat least\b|\bminimum\b|\bfrom\b|อย่างน้อย|ขั้นต่ำ|ตั้งแต่|เริ่มต้น)\s*{AMOUNT}"),
+    ("low", False, rf"(?:>|\bover\b|\babove\b|\bmore than\b|มากกว่า|แพงกว่า)\s*{AMOUNT}"),
+    ("low", True, rf"{AMOUNT}\s*(?:\bor more\b|ขึ้นไป|หรือมากกว่า)"),
+    ("high", True, rf"(?:<=|=<|\bat most\b|\bup to\b|\bmaximum\b|\bmax\b|\bbudget\b|ไม่เกิน|งบ)\s*{AMOUNT}"),
+    ("high", False, rf"(?:<|\bunder\b|\bbelow\b|\bless than\b|ต่ำกว่า|ถูกกว่า)\s*{AMOUNT}"),
+    ("high", True, rf"{AMOUNT}\s*(?:\bor less\b|ลงมา|หรือต่ำกว่า)"),
+    ("money", True, r"(\d[\d,]*(?:\.\d+)?)\s*(k\b|เค|พัน|หมื่น)?\s*(?:บาท|฿|baht\b)"),
+]
+PRICE_RULES = [(kind, inclusive, re.compile(pattern, re.I)) for kind, inclusive, pattern in PRICE_RULES]
+SIZED = re.compile(rf"(?:^|\s){SIZE}\s*$", re.I)
 
 
 def price_bounds(text: str | None) -> tuple:
+    """low, high and whether each is inclusive. A range counts both ends in; a lone sum of money is the most that may be paid."""
     low = high = low_in = high_in = None
 
-    def value(digits: str, unit: str) -> float:
-        return float(digits.replace(",", "")) * (1000 if unit.lower() == "k" else 1)
+    def value(digits: str, unit: str | None) -> float:
+        return float(digits.replace(",", "")) * TIMES.get((unit or "").lower(), 1)
 
     text = text or ""
-    if m := BETWEEN.search(text):
-        # "1-2k" shares its unit, "1,000-2k" doesn't
-        unit = m[2] or (m[4] if value(m[1], "") <= value(m[3], "") else "")
-        a, b = value(m[1], unit), value(m[3], m[4])
-        low, high, low_in, high_in = min(a, b), max(a, b), True, True
-        text = text[: m.start()] + " " * (m.end() - m.start()) + text[m.end() :]
-    for m in BOUND.finditer(text):
-        word, v = m[1].lower(), value(m[2], m[3])
-        if word in ("under", "below", "less than", "at most", "up to") and high is None:
-            high, high_in = v, word in ("at most", "up to")
-        elif word in ("over", "above", "more than", "at least", "from") and low is None:
-            low, low_in = v, word in ("at least", "from")
+    for kind, inclusive, pattern in PRICE_RULES:
+        if kind == "range" and high is not None or kind == "money" and high is not None:
+            continue
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            if kind == "range" and SIZED.search(text[: m.start()]):
+                continue
+            if kind == "range":
+                # "1-2k" shares its unit, "1,000-2k" doesn't
+                shared = m[2] or (m[4] if value(m[1], None) <= value(m[3], None) else None)
+                a, b = value(m[1], shared), value(m[3], m[4])
+                low, high, low_in, high_in = min(a, b), max(a, b), True, True
+            elif kind == "low" and low is None:
+                low, low_in = value(m[1], m[2]), inclusive
+            elif kind in ("high", "money") and high is None:
+                high, high_in = value(m[1], m[2]), inclusive
+            else:
+                continue
+            text = text[: m.start()] + "\u0000" * (m.end() - m.start()) + text[m.end() :]
+            if kind in ("range", "money"):
+                break
     return low, high, low_in, high_in
 
 

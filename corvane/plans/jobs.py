@@ -119,7 +119,8 @@ def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     offer = F.struct("price", F.when(F.col("stock"), "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"))
     linked = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Product").alias("@type"), "name", own.alias("url"), offer.alias("offers"))), F.lit("</script>"))
     card = F.concat(F.lit('<div class="product"><h2>'), "name", F.lit('</h2><a href="/p/'), F.col("id").cast("string"), F.lit('">see</a><span class="price">'), F.col("price").cast("string"), F.lit("</span></div>"))
-    page = F.when(F.col("id") % 5 == 0, "<p>No products found</p>").when(F.col("kind") == 0, app).when(F.col("kind") == 1, linked).otherwise(card)
+    nothing = f'<script id="{html.LIST_SCRIPT}" type="application/json">{{"props": {{"pageProps": {{"pageProps": {{"productPageProps": {{"products": []}}}}}}}}}}</script><p>No products <b>found</b></p>'
+    page = F.when(F.col("id") % 5 == 0, nothing).when(F.col("kind") == 0, app).when(F.col("kind") == 1, linked).otherwise(card)
     pages = rows.select("id", page.alias("html"))
     kept = pages.where(~html.explicitly_empty(F.col("html")))
     return html.catalogue(kept, "id", "html").select("id", "n", "name", "price", "url", "in_stock", "kind")

@@ -50,7 +50,7 @@ def registered(sql: str):
 
 # -- texts
 
-DIRTY = "SELECT p_partkey AS id, concat('  ', upper(p_name), chr(160), chr(9), p_brand, '   1,', CAST(p_size + 100 AS STRING), chr(10), chr(10), chr(10), chr(10), ' ๑๒ looong ', chr(8203), 'https://x.example/a?b=1 end  ') AS text FROM {part}"
+DIRTY = "SELECT p_partkey AS id, concat('  ', upper(p_name), chr(160), chr(9), p_brand, '   1,', CAST(p_size + 100 AS STRING), ',000', chr(10), chr(10), chr(10), chr(10), ' ๑๒ looong ', chr(8203), 'https://x.example/a?b=1 end  ') AS text FROM {part}"
 #: chr(8203) is a byte in Spark, so the zero-width space is joined here as text.
 DIRTY = DIRTY.replace("chr(8203)", "'​'").replace("chr(160)", "' '")
 
@@ -58,7 +58,7 @@ DIRTY = DIRTY.replace("chr(8203)", "'​'").replace("chr(160)", "' '")
 @registered(f"""WITH d AS ({shared(DIRTY)}) SELECT id,
 substr(trim(regexp_replace(replace(text, ' ', ' '), '[ \\t\\r\\n\\f]+', ' ', 'g')), 1, 30) AS cleaned,
 trim(regexp_replace(regexp_replace(regexp_replace(replace(text, '​', ''), 'https?://[^ \\t\\r\\n]+', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ') AS scrubbed,
-trim(regexp_replace(replace(translate(regexp_replace(lower(text), '([0-9]),([0-9][0-9][0-9])', '\\1\\2', 'g'), '๐๑๒๓๔๕๖๗๘๙', '0123456789'), 'looong', 'loong'), '[\\s]+', ' ', 'g')) AS normal,
+trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(translate(lower(text), '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '​', ''), ' ', ' '), '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), 'looong', 'long'), '[^a-z0-9_ก-๙\\s.<>=-]', ' ', 'g'), '[\\s]+', ' ', 'g'), ' .-') AS normal,
 regexp_replace(lower(text), '[^a-z0-9ก-๙]', '', 'g') AS squeezed FROM d""")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned with a cap, scrubbed, normalised, compact."""

@@ -172,8 +172,14 @@ def recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices asked for in seven ways beside names of models, sizes and other numbers; some have none."""
     part = table(spark, sf_dir, "part")
-    asked = F.concat(F.lit("between "), F.floor("p_retailprice").cast("string"), F.lit(" and 2k"))
+    p, n = F.floor("p_retailprice").cast("string"), F.col("p_size").cast("string")
+    ways = [
+        F.concat(F.lit("phone "), n, F.lit(" and "), n, F.lit(" between "), p, F.lit(" and 2k")), F.concat(F.lit("model "), n, F.lit(" and 16 under "), p), F.concat(F.lit("screen inch 24-27 "), n),
+        F.concat(F.lit("keyboard 1k-"), p, F.lit("0 red")), F.concat(F.lit("at least "), p, F.lit(" but below 20k")), F.concat(F.lit("wh-1000xm5 "), p, F.lit(",500 บาท")), F.concat(F.lit("over "), n, F.lit("พัน, max 99,000 for "), n),
+    ]
+    asked = F.element_at(F.array(*ways), (F.col("p_partkey") % 7 + 1).cast("int"))
     return part.select("p_partkey", udfs.price_range(asked).alias("r")).select("p_partkey", "r.*")
 
 
@@ -200,7 +206,10 @@ ORACLE_SQL = {
 f AS (SELECT doc_id, line_no, n AS used, 0 AS parent FROM u WHERE line_no = 0
 UNION ALL SELECT u.doc_id, u.line_no, CASE WHEN f.used + u.n > 1500 THEN u.n ELSE f.used + u.n END, f.parent + CASE WHEN f.used + u.n > 1500 THEN 1 ELSE 0 END FROM f JOIN u ON u.doc_id = f.doc_id AND u.line_no = f.line_no + 1)
 SELECT doc_id, line_no, parent FROM f""",
-    "price_spans": "SELECT p_partkey, least(floor(p_retailprice), 2000.0) AS low, greatest(floor(p_retailprice), 2000.0) AS high, TRUE AS low_inclusive, TRUE AS high_inclusive FROM part",
+    "price_spans": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS way, floor(p_retailprice) AS p, p_size::DOUBLE AS n FROM part)
+SELECT p_partkey, CASE way WHEN 0 THEN least(p, 2000.0) WHEN 3 THEN least(1000.0, p * 10) WHEN 4 THEN p WHEN 6 THEN n * 1000 END AS low,
+CASE way WHEN 0 THEN greatest(p, 2000.0) WHEN 1 THEN p WHEN 3 THEN greatest(1000.0, p * 10) WHEN 4 THEN 20000.0 WHEN 5 THEN p * 1000 + 500 WHEN 6 THEN 99000.0 END AS high,
+CASE way WHEN 0 THEN TRUE WHEN 3 THEN TRUE WHEN 4 THEN TRUE WHEN 6 THEN FALSE END AS low_inclusive, CASE way WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN FALSE WHEN 5 THEN TRUE WHEN 6 THEN TRUE END AS high_inclusive FROM p""",
     "chunk_fixed_overlap": f"WITH {windows(500, 50, False)} SELECT doc_id, chunk_index, start, md5(chunk) AS chunk FROM cut",
     "chunk_stride_min": f"WITH {windows(1300, 250, True)} SELECT doc_id, start, length(chunk) AS long FROM cut WHERE length(trim(chunk, ' ')) >= 30",
     "chunk_blocks": f"WITH {windows(350, 0, False)} SELECT doc_id, chunk_index, md5(chunk) AS chunk FROM cut",

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.S | re.I)
-RECORD = "name string, price double, url string, image string, in_stock boolean"
+RECORD = "name string, price double, regular double, url string, image string, in_stock boolean"
+#: Where a category page keeps its list of products, and what it shows when that is empty.
+LIST_SCRIPT, LIST_PATH = "__NEXT_DATA__", "$.props.pageProps.pageProps.productPageProps.products"
+EMPTY_PHRASES = ["ไม่พบสินค้า", "ไม่มีสินค้า", "no products found"]
 
 
 def first(record: dict, *names: str) -> object:
@@ -41,13 +43,25 @@ def product(record: dict) -> tuple | None:
         return None
     offers = record.get("offers")
     offer = offers[0] if isinstance(offers, list) and offers else offers if isinstance(offers, dict) else {}
-    price = price_of(first(record, "sale_price", "special_price", "price", "final_price")) if not offer else price_of(first(offer, "price", "lowPrice"))
-    stock = first(offer, "availability") or first(record, "in_stock", "is_in_stock", "availability")
-    sold_out = record.get("sold_out")
-    known = None if stock is None and sold_out is None else not sold_out if sold_out is not None else stock is True or "instock" in str(stock).lower().replace("_", "").replace(" ", "")
-    image = first(record, "image", "image_url", "thumbnail")
+    if offer:
+        price, regular = price_of(first(offer, "price", "lowPrice", "salePrice")), price_of(first(record, "originalPrice", "highPrice") or first(offer, "highPrice"))
+    else:
+        # a sale price of nothing is none
+        sale = price_of(first(record, "discount", "salePrice", "sale_price", "special_price", "currentPrice"))
+        regular = price_of(first(record, "price", "normalPrice", "originalPrice", "final_price"))
+        price = sale if sale else regular
+    sold_out = first(record, "sold_out", "soldout", "soldOut", "isSoldOut")
+    stock = first(offer, "availability") if offer else first(record, "in_stock", "is_in_stock", "inStock", "available", "isAvailable", "availability")
+    if sold_out is not None:
+        known = str(sold_out).lower() in ("false", "0", "no")
+    elif stock is None:
+        known = None
+    else:
+        said = str(stock)
+        known = False if SOLD_OUT.search(said) else bool(IN_STOCK.search(said)) or said.lower() in ("true", "1", "yes")
+    image = first(record, "mainImg", "mainImage", "image", "imageUrl", "image_url", "thumbnail")
     image = image[0] if isinstance(image, list) else first(image, "url") if isinstance(image, dict) else image
-    return " ".join(name.split()), price, first(record, "url", "product_url", "link"), image if isinstance(image, str) else None, known
+    return " ".join(name.split()), price, regular, first(record, "url", "productUrl", "product_url", "href", "link"), image if isinstance(image, str) else None, known
 
 
 def walk(node: object, kinds: set[str]) -> Iterator[dict]:
@@ -66,30 +80,163 @@ def walk(node: object, kinds: set[str]) -> Iterator[dict]:
             stack += reversed(top)
 
 
-CARD = re.compile(r'<(article|li|div)\b[^>]*class="[^"]*\b(?:card|product|item)\b[^"]*"[^>]*>(.*?)</\1>', re.S | re.I)
+#: Elements that have no end tag, and those whose text isn't shown.
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+HIDDEN = frozenset({"script", "style", "template", "noscript"})
+CARD = re.compile(r"(?:[a-z0-9]+[-_])*card|product(?:[-_]item)?|item")
+SOLD_OUT = re.compile(r"out[ _-]?of[ _-]?stock|sold[ _-]?out|สินค้าหมด", re.I)
+IN_STOCK = re.compile(r"in[ _-]?stock|มีสินค้า", re.I)
+CURRENCY = re.compile(r"฿|\bTHB\b|บาท|[$€£]", re.I)
+
+
+class Element:
+    """An element of a page with its children: elements and texts in order."""
+
+    __slots__ = ("name", "given", "children")
+
+    def __init__(self, name: str, given: dict[str, str]):
+        self.name, self.given, self.children = name, given, []
+
+    def elements(self) -> Iterator[Element]:
+        """All elements below, in page order."""
+        stack = list(reversed(self.children))
+        while stack:
+            top = stack.pop()
+            if isinstance(top, Element):
+                yield top
+                stack += reversed(top.children)
+
+    def text(self) -> str:
+        stack, out = [self], []
+        while stack:
+            top = stack.pop()
+            if isinstance(top, str):
+                out.append(top)
+            elif top.name not in HIDDEN:
+                stack += reversed(top.children)
+        return " ".join(" ".join(out).split())
+
+    def words(self) -> list[str]:
+        return self.given.get("class", "").lower().split()
+
+    def first(self, *names: str) -> str:
+        """The first attribute of these names that isn't empty."""
+        return next((v for n in names if (v := " ".join(self.given.get(n, "").split()))), "")
+
+
+class Tree(HTMLParser):
+    """The elements of a page. An end tag closes the nearest open element of its name; others that are open in it end with it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Element("", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        element = Element(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].children.append(element)
+        if tag not in VOID:
+            self.open.append(element)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
+
+    def handle_endtag(self, tag: str) -> None:
+        place = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].name == tag), 0)
+        if place:
+            del self.open[place:]
+
+    def handle_data(self, data: str) -> None:
+        self.open[-1].children.append(data)
+
+
+def parsed(page: str) -> Element:
+    tree = Tree()
+    tree.feed(page)
+    tree.close()
+    return tree.root
+
+
+def is_card(e: Element) -> bool:
+    return e.name in ("article", "li", "div", "section", "a") and any(CARD.fullmatch(w) for w in e.words()) or e.given.get("itemtype", "").lower().endswith("/product") or "data-product-id" in e.given
+
+
+def shown(card: Element, *rules: Callable[[Element], bool]) -> str:
+    """The content or text of the first element that the earliest rule takes and that has any."""
+    inside = list(card.elements())
+    for rule in rules:
+        for e in inside:
+            if rule(e) and (text := e.first("content") or e.text()):
+                return text
+    return ""
+
+
+def marked(word: str) -> Callable[[Element], bool]:
+    return lambda e: any(word in w for w in e.words())
+
+
+def property_is(name: str) -> Callable[[Element], bool]:
+    return lambda e: e.given.get("itemprop") == name
+
+
+def card_record(card: Element) -> tuple | None:
+    """name, price, regular price, url, image and stock of one card; None without a name and a link.
+
+    A number without a currency isn't taken for a price unless an element is marked as one.
+    """
+    inside = list(card.elements())
+    link = card if card.name == "a" and card.given.get("href") else next((e for e in inside if e.name == "a" and e.given.get("href")), None)
+    url = card.first("data-url", "data-href") or (link.first("href") if link else "")
+    picture = next((e for e in inside if e.name == "img"), None)
+    name = card.first("data-product-name", "data-name") or shown(card, property_is("name"), marked("product-title"), marked("product-name"), lambda e: "title" in e.words(), *[lambda e, h=h: e.name == h for h in ("h1", "h2", "h3", "h4")])
+    name = name or (picture.first("alt", "title") if picture else "")
+    if not name or not url:
+        return None
+    price = price_of(card.first("data-price", "data-sale-price") or shown(card, property_is("price"), marked("sale-price"), marked("current-price"), lambda e: "price" in e.words()) or None)
+    regular = price_of(card.first("data-original-price") or shown(card, marked("original-price"), lambda e: e.name == "del", lambda e: e.name == "s") or None)
+    text = card.text()
+    if price is None and CURRENCY.search(text):
+        price = price_of(text)
+    image = picture.first("src", "data-src", "data-lazy-src") or picture.first("srcset").split(",")[0].split(" ")[0] if picture else ""
+    state = " ".join([*card.words(), card.first("data-stock"), card.first("data-availability"), text])
+    stock = False if SOLD_OUT.search(state) else True if IN_STOCK.search(state) else None
+    return name, price, regular, url, image or None, stock
+
+
+def cards(root: Element) -> list[tuple]:
+    """Records of cards. A card that holds cards with records is their frame; one whose inner ones have none is a record itself."""
+    out: list[tuple] = []
+    # elements whose inside is done come after it
+    stack: list[tuple[Element, int]] = [(root, -1)]
+    while stack:
+        e, begun = stack.pop()
+        if begun < 0:
+            stack.append((e, len(out)))
+            stack += [(c, -1) for c in reversed(e.children) if isinstance(c, Element)]
+        elif begun == len(out) and is_card(e) and (found := card_record(e)):
+            out.append(found)
+    return out
 
 
 def records(page: str | None) -> list[tuple]:
     """Records of the first kind of source that has any, each with that kind."""
+    root = parsed(page or "")
     app, linked = [], []
-    for attributes, body in SCRIPT.findall(page or ""):
+    for script in root.elements():
+        kind = script.given.get("type", "").lower()
+        if script.name != "script" or "json" not in kind:
+            continue
         try:
-            if "ld+json" in attributes:
-                linked += [p for x in walk(json.loads(body), {"Product"}) if (p := product(x))]
-            elif "json" in attributes:
-                app += [p for x in walk(json.loads(body), set()) if (p := product(x))]
+            body = json.loads("".join(c for c in script.children if isinstance(c, str)))
         except ValueError:
             continue
+        if "ld+json" in kind:
+            linked += [p for x in walk(body, {"Product"}) if (p := product(x))]
+        else:
+            app += [p for x in walk(body, set()) if (p := product(x))]
     if app or linked:
         return [(*p, "app") for p in app] or [(*p, "json-ld") for p in linked]
-    found = []
-    for _, body in CARD.findall(page or ""):
-        name = re.search(r"<h\d[^>]*>(.*?)</h\d>", body, re.S)
-        link, image = re.search(r'href="([^"]+)"', body), re.search(r'src="([^"]+)"', body)
-        price = re.search(r'class="[^"]*price[^"]*"[^>]*>(.*?)<', body, re.S)
-        if name and (text := " ".join(html.unescape(re.sub(r"<[^>]+>", " ", name[1])).split())):
-            found.append((text, price_of(html.unescape(price[1])) if price else None, link and link[1], image and image[1], None, "card"))
-    return found
+    return [(*p, "card") for p in cards(root)]
 
 
 def catalogue(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -98,7 +245,7 @@ def catalogue(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(i, n, *r) for i, page in zip(part["id"], part["page"]) for n, r in enumerate(records(page))]
-            yield pd.DataFrame(rows, columns=["id", "n", "name", "price", "url", "image", "in_stock", "kind"])
+            yield pd.DataFrame(rows, columns=["id", "n", "name", "price", "regular", "url", "image", "in_stock", "kind"])
 
     chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("page"))
     return chosen.mapInPandas(run, f"id {dict(pages.dtypes)[id_col]}, n int, {RECORD}, kind string")
@@ -115,8 +262,15 @@ def title(page: Column) -> Column:
 
 
 def explicitly_empty(page: Column) -> Column:
-    """Whether a page says itself that it has no records."""
-    return F.regexp_like(F.lower(page), F.lit(r'(no products found|no results|"products" *: *\[ *\])'))
+    """Whether a page says itself that it has no records: its own list is there and empty, and it shows a phrase that says so.
+
+    Either sign alone isn't enough: another list may be empty, and a phrase may be about something else.
+    """
+    script = F.regexp_extract(page, rf"""(?is)<script[^>]*\bid=["']?{LIST_SCRIPT}\b[^>]*>(.*?)</script""", 1)
+    own = F.get_json_object(script, LIST_PATH)
+    text = F.lower(F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " "))
+    said = F.exists(F.array(*map(F.lit, EMPTY_PHRASES)), lambda p: F.contains(F.regexp_replace(text, r"\s+", " "), p))
+    return F.coalesce(F.regexp_like(own, F.lit(r"^\[\s*\]$")) & said, F.lit(False))
 
 
 def sitemap(files: DataFrame, column: str = "value") -> DataFrame:

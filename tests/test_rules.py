@@ -58,6 +58,7 @@ def test_recursive_parts_join_to_the_text_and_cut_coarsely(size):
 
 def test_prices_of_texts():
     cases = {"between 1k and 2,500": (1000, 2500, True, True), "1-2k": (1000, 2000, True, True), "1,000-2k": (1000, 2000, True, True), "under 300": (None, 300, None, False), "at least 5 up to 9": (5, 9, True, True), "over 7.5k": (7500, None, False, None), "no price": (None,) * 4, "": (None,) * 4}
+    cases |= {"iphone 15 and 16 under 20k": (None, 20000, None, False), "iphone 15": (None,) * 4, "inch 24-27": (None,) * 4, "24-27 inch": (None,) * 4, "mouse 500-1500": (500, 1500, True, True), "ตั้งแต่ 2พัน ถึง 3หมื่น": (2000, 30000, True, True), "900 บาท": (None, 900, None, True), "5000 บาทขึ้นไป": (5000, None, True, None), "budget 3,000 over 1k": (1000, 3000, False, True)}
     assert {k: udfs.price_bounds(k) for k in cases} == cases
 
 
