@@ -147,3 +147,44 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
         return drawn.withColumn("valid", F.lit(True)).drop("_d", "_bin")
     near = drawn.where(F.col("_bin") == border).select(F.col(key).alias("_k"), "_d").orderBy("_d", "_k").limit(want - held).select(F.col("_k"), F.lit(True).alias("_v"))
     return drawn.join(near, drawn[key] == near["_k"], "left").withColumn("valid", (F.col("_bin") < border) | F.coalesce("_v", F.lit(False))).drop("_k", "_v", "_d", "_bin")
+
+
+def full_ranks(scored: DataFrame, query: str, item: str, score: str) -> DataFrame:
+    """Adds rank: the place of every item of each query by score, ties to the larger item; a null score comes last."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), F.col(item).desc())))
+
+
+def section_scores(ranked: DataFrame, targets: DataFrame, k: int, query: str = "query_id", section: str = "section", rank: str = "rank") -> DataFrame:
+    """query, precision, recall, f1, mrr, hit_at_1, sections of each target's query, over the first k different sections of its ranking.
+
+    ranked: (query, section, rank); a section counts where it comes first. targets: (query, section), one a query. Null sections are none.
+    A query without a ranking scores zero.
+    """
+    firsts = ranked.where(F.col(section).isNotNull()).groupBy(query, section).agg(F.min(rank).alias("_first"))
+    placed = firsts.withColumn("_place", F.row_number().over(Window.partitionBy(query).orderBy("_first", section))).where(F.col("_place") <= k)
+    wanted = targets.select(query, F.col(section).alias("_target"))
+    met = wanted.join(placed, query, "left").groupBy(query).agg(F.count("_place").alias("sections"), F.min(F.when(F.col(section) == F.col("_target"), F.col("_place"))).alias("_at"))
+    hit = F.col("_at").isNotNull().cast("double")
+    precision = F.when(F.col("sections") > 0, hit / F.col("sections")).otherwise(0.0)
+    return met.select(
+        query, F.round(precision, 6).alias("precision"), hit.alias("recall"), F.round(F.when(hit > 0, 2 * precision / (precision + 1)).otherwise(0.0), 6).alias("f1"),
+        F.round(F.coalesce(1.0 / F.col("_at"), F.lit(0.0)), 6).alias("mrr"), F.coalesce(F.col("_at") == 1, F.lit(False)).cast("double").alias("hit_at_1"), "sections",
+    )
+
+
+def recall_of_codes(ranked: DataFrame, expected: DataFrame, k: int, query: str = "query_id", code: str = "code", rank: str = "rank") -> DataFrame:
+    """query, recall: the share of a query's distinct expected codes among the first k of its ranking; without any expected code the query has no row."""
+    near = ranked.where(F.col(rank) <= k).select(query, code).distinct().withColumn("_found", F.lit(1))
+    return expected.select(query, code).where(F.col(code).isNotNull()).distinct().join(near, [query, code], "left").groupBy(query).agg(F.round(F.avg(F.coalesce("_found", F.lit(0))), 6).alias("recall"))
+
+
+def faithfulness(answer: Column, evidence: Column, source_mark: str = "s") -> Column:
+    """Share of an answer's distinct tokens (arrays) that the evidence has; tokens that begin with the mark of sources don't count. 0 without any."""
+    own = F.filter(F.array_distinct(answer), lambda t: ~F.startswith(t, F.lit(source_mark)))
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, evidence)) / F.size(own)).otherwise(0.0)
+
+
+def containing_rate(rows: DataFrame, by: list[str], answer: Column, expected: Column) -> DataFrame:
+    """by, rate, n: how often an answer contains what is expected, whatever the case; an empty expectation is in none."""
+    held = (F.coalesce(expected, F.lit("")) != "") & F.contains(F.lower(answer), F.lower(expected))
+    return rows.groupBy(*by).agg(F.round(F.avg(F.coalesce(held, F.lit(False)).cast("double")), 6).alias("rate"), F.count("*").alias("n"))

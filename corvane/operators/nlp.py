@@ -154,3 +154,28 @@ def localised(values: Column, language: str) -> Column:
 def minor_price(values: Column) -> Column:
     """The first positive amount of an array in minor units, as major ones."""
     return F.try_element_at(F.filter(values, lambda v: v > 0), F.lit(1)) / 100.0
+
+
+def looked_up(asked: DataFrame, catalogue: DataFrame, query: str = "query_id", text: str = "text", key: str = "id", name: str = "name", aliases: str | None = None) -> DataFrame:
+    """query, id, by: the item that a text names by its id, else by a normalised or compact name or alias; no row where none does.
+
+    An id goes before a name, and of several items of a name the smallest id is taken. Names and texts meet by equal keys, so nothing is compared in pairs.
+    """
+    label = F.explode(F.concat(F.array(name), F.coalesce(F.col(aliases), F.array().cast("array<string>"))) if aliases else F.array(name))
+    names = catalogue.select(F.col(key).alias("_id"), label.alias("_l")).where("_l is not null")
+    ways = lambda c: F.array(F.struct(F.lit("name").alias("by"), t.normalised(c).alias("k")), F.struct(F.lit("compact").alias("by"), F.replace(t.normalised(c), F.lit(" "), F.lit("")).alias("k")))
+    keys = names.select("_id", F.explode(ways(F.col("_l"))).alias("w")).select("_id", "w.by", "w.k").where("k != ''")
+    keys = keys.unionAll(catalogue.select(F.col(key).alias("_id"), F.lit("id"), F.trim(F.col(key).cast("string")))).groupBy("by", "k").agg(F.min("_id").alias("_id"))
+    wanted = asked.where(F.col(text).isNotNull()).select(query, F.explode(F.concat(F.array(F.struct(F.lit("id").alias("by"), F.trim(text).alias("k"))), ways(F.col(text)))).alias("w"))
+    found = wanted.select(query, "w.by", "w.k").where("k != ''").join(keys, ["by", "k"])
+    # name and compact are one step: the smaller id of either
+    order = F.struct((F.col("by") != "id").alias("later"), "_id", (F.col("by") == "compact").alias("loose"), "by")
+    return found.groupBy(query).agg(F.min(order).alias("_m")).select(query, F.col("_m._id").alias(key), F.col("_m.by").alias("by"))
+
+
+def conversation_key(parts: list[Column]) -> Column:
+    """A hash of the parts that scope a conversation; null where one is missing or empty."""
+    whole = F.lit(True)
+    for part in parts:
+        whole &= F.coalesce(F.trim(part.cast("string")) != "", F.lit(False))
+    return F.when(whole, F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256))
