@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import Tables
+
+#: Brackets that are broadcast at most; beyond that they are joined by key.
+MANY = 100_000
+#: Bins of a histogram of a group, and the accuracy of its ends.
+BINS, ACCURACY = 500, 5000
+
 
 def target_ranks(ranked: DataFrame, gold: DataFrame, query: str = "query_id", item: str = "item_id") -> DataFrame:
     """(query, rank): the best rank of a gold item of each query; null where none was found."""
@@ -106,26 +115,90 @@ def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
 
 
-def percentiles(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """group, linear, nearest_rank, rounded_index: three conventions for one quantile.
+def _met(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Values inside the brackets of their group (_g, open interval _lo to _hi, null for no end), with the bracket's columns."""
+    near = F.broadcast(brackets) if brackets.count() <= MANY else brackets
+    inside = (F.col("b._lo").isNull() | (F.col("_v") > F.col("b._lo"))) & (F.col("b._hi").isNull() | (F.col("_v") < F.col("b._hi")))
+    return values.alias("v").join(near.alias("b"), F.col("v._g").eqNullSafe(F.col("b._g")) & inside).select("_v", *[F.col(f"b.{c}").alias(c) for c in brackets.columns])
 
-    Equal values are counted first, so a group's task sees its distinct values once each, whatever its rows;
-    ranks are sums of counts over them.
+
+def _narrowed(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The ranks with their bracket cut by a histogram of about equal bins, or with the value they have (_found).
+
+    The histogram only proposes two ends around the ranks; values before, at, between and after them are counted, so a rank's new bracket
+    is right whatever the histogram's error, and each round leaves out at least the two ends.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    total = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
-    upto = Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_r", F.sum("_c").over(upto)).join(total, group)
-    at = lambda rank: F.min(F.when(F.col("_r") >= rank, F.col("_v")))
-    place = F.lit(q) * (F.col("_n") - 1)
-    found = ranked.groupBy(group).agg(
-        at(F.floor(place) + 1).alias("_low"),
-        at(F.ceil(place) + 1).alias("_high"),
-        at(F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n")))).alias("nearest_rank"),
-        at(F.bround(place) + 1).alias("rounded_index"),
-        F.first(place - F.floor(place)).alias("_share"),
+    brackets = ranks.groupBy("_g", "_lo", "_hi", "_under", "_n").agg(F.min("_rank").alias("_from"), F.max("_rank").alias("_to"))
+    key = brackets.columns
+    parts = _met(values, brackets).groupBy(*key).agg(F.percentile_approx("_v", [i / BINS for i in range(BINS + 1)], ACCURACY).alias("_s"))
+    place = lambda rank, step: F.least(F.lit(BINS), F.greatest(F.lit(0), (F.floor((F.col(rank) - F.col("_under")) * BINS / F.col("_n")) + step))).cast("int")
+    ends = parts.select(*key, F.get("_s", place("_from", -1)).alias("_a"), F.get("_s", place("_to", 2)).alias("_b"))
+    v, a, b = F.col("_v"), F.col("_a"), F.col("_b")
+    counted = _met(values, ends).groupBy(*ends.columns).agg(F.count_if(v < a).alias("_n0"), F.count_if(v == a).alias("_n1"), F.count_if((v > a) & (v < b)).alias("_n2"), F.count_if((v == b) & (v > a)).alias("_n3"), F.count_if(v > b).alias("_n4"))
+    same = F.col("r._g").eqNullSafe(F.col("c._g")) & F.col("r._lo").eqNullSafe(F.col("c._lo")) & F.col("r._hi").eqNullSafe(F.col("c._hi"))
+    both = ranks.alias("r").join(counted.alias("c"), same).select("r.*", *[F.col(f"c.{c}").alias(c) for c in ("_a", "_b", "_n0", "_n1", "_n2", "_n3", "_n4")])
+    upto = [F.col("_under")]
+    for i in range(4):
+        upto.append(upto[-1] + F.col(f"_n{i}"))
+    none = F.lit(None).cast("double")
+    place = lambda lo, hi, under, n, found: F.struct(lo.alias("_lo"), hi.alias("_hi"), under.alias("_under"), n.alias("_n"), found.alias("_found"))
+    nothing = F.lit(0).cast("long")
+    cut = (
+        F.when(F.col("_rank") <= upto[1], place(F.col("_lo"), a, upto[0], F.col("_n0"), none))
+        .when(F.col("_rank") <= upto[2], place(none, none, nothing, nothing, a))
+        .when(F.col("_rank") <= upto[3], place(a, b, upto[2], F.col("_n2"), none))
+        .when(F.col("_rank") <= upto[4], place(none, none, nothing, nothing, b))
+        .otherwise(place(b, F.col("_hi"), upto[4], F.col("_n4"), none))
     )
-    return found.select(group, F.round(F.col("_low") + F.col("_share") * (F.col("_high") - F.col("_low")), 6).alias("linear"), "nearest_rank", "rounded_index")
+    return both.select("_g", "_rank", cut.alias("_c")).select("_g", "_rank", "_c.*")
+
+
+def selected(values: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
+    """_g, _rank, _found: the value of each wanted rank (from 1) of each group, exactly. values: (_g, _v); ranks: (_g, _rank, _n), _n the group's size.
+
+    Groups of more than ``most`` values are narrowed by rounds of histograms, whose rows aren't shuffled, until no bracket holds more; so no
+    task orders more than ``most`` values of a group. Equal values are counted before they are ordered.
+    """
+    space = Tables(values.sparkSession, "ranks")
+    none = F.lit(None).cast("double")
+    state = space.save(ranks.select("_g", F.col("_rank").cast("long").alias("_rank"), none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_under"), "_n", none.alias("_found")), "ranks0")
+    found, turn = [], 0
+    while True:
+        small = state.where(F.col("_found").isNull() & (F.col("_n") <= most))
+        found += [state.where(F.col("_found").isNotNull()).select("_g", "_rank", "_found"), _ranked(values, small)]
+        wide = state.where(F.col("_found").isNull() & (F.col("_n") > most))
+        if wide.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        turn += 1
+        state = space.save(_narrowed(values, wide), f"ranks{turn}")
+        left = state.where(F.col("_found").isNull()).groupBy("_g").agg(F.min(F.struct(F.col("_lo").isNotNull(), "_lo"))["_lo"].alias("_lo"), F.max(F.struct(F.col("_hi").isNull(), "_hi"))["_hi"].alias("_hi"))
+        values = space.save(_met(values, left).select("_g", "_v"), f"values{turn}")
+
+
+def _ranked(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """_g, _rank, _found by ordering the distinct values of each bracket."""
+    key = ["_g", "_lo", "_hi", "_under"]
+    counts = _met(values, ranks.select(*key).distinct()).groupBy(*key, "_v").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*key).orderBy("_v")
+    placed = counts.withColumn("_r", F.col("_under") + F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col("p._g").eqNullSafe(F.col("r._g")) & F.col("p._lo").eqNullSafe(F.col("r._lo")) & F.col("p._hi").eqNullSafe(F.col("r._hi"))
+    holds = (F.col("_rank") <= F.col("p._r")) & (F.col("_rank") > F.col("p._r") - F.col("p._c"))
+    return placed.alias("p").join(ranks.alias("r"), same & holds).select("r._g", "_rank", F.col("_v").alias("_found"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, q: float, most: int = 200_000) -> DataFrame:
+    """group, linear, nearest_rank, rounded_index: three conventions for one quantile, exact at every size. Null values don't count; null groups are one.
+
+    Few large groups are narrowed by histograms first (``selected``): no task orders more than ``most`` values of a group.
+    """
+    values = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    place = F.lit(q) * (F.col("_n") - 1)
+    sized = values.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", "_n", F.floor(place).alias("_low"), F.ceil(place).alias("_high"), (F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n"))) - 1).alias("_near"), F.bround(place).cast("long").alias("_round"))
+    ranks = sized.select("_g", "_n", F.explode(F.array_distinct(F.array("_low", "_high", "_near", "_round"))).alias("_r")).select("_g", (F.col("_r") + 1).alias("_rank"), "_n")
+    found = selected(values, ranks, most)
+    at = lambda c: F.max(F.when(F.col("_rank") == F.col(c) + 1, F.col("_found")))
+    both = sized.alias("s").join(found.alias("f"), F.col("s._g").eqNullSafe(F.col("f._g"))).groupBy(F.col("s._g").alias(group), "_n").agg(at("_low").alias("_a"), at("_high").alias("_b"), at("_near").alias("nearest_rank"), at("_round").alias("rounded_index"))
+    return both.select(group, F.round(F.col("_a") + (place - F.floor(place)) * (F.col("_b") - F.col("_a")), 6).alias("linear"), "nearest_rank", "rounded_index")
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
