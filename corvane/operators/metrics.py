@@ -154,18 +154,19 @@ def _narrowed(values: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def selected(values: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
-    """_g, _rank, _found: the value of each wanted rank (from 1) of each group, exactly. values: (_g, _v); ranks: (_g, _rank, _n), _n the group's size.
+    """_g, _rank, _found: the value of each wanted rank (from 1) of each group, exactly. values: (_g, _v); ranks: (_g, _rank, _n), a stored table, _n the group's size.
 
     Groups of more than ``most`` values are narrowed by rounds of histograms, whose rows aren't shuffled, until no bracket holds more; so no
     task orders more than ``most`` values of a group. Equal values are counted before they are ordered.
     """
     space = Tables(values.sparkSession, "ranks")
     none = F.lit(None).cast("double")
-    state = space.save(ranks.select("_g", F.col("_rank").cast("long").alias("_rank"), none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_under"), "_n", none.alias("_found")), "ranks0")
+    state = ranks.select("_g", F.col("_rank").cast("long").alias("_rank"), none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_under"), "_n", none.alias("_found"))
     found, turn = [], 0
     while True:
-        small = state.where(F.col("_found").isNull() & (F.col("_n") <= most))
-        found += [state.where(F.col("_found").isNotNull()).select("_g", "_rank", "_found"), _ranked(values, small)]
+        found.append(_ranked(values, state.where(F.col("_found").isNull() & (F.col("_n") <= most))))
+        if turn:
+            found.append(state.where(F.col("_found").isNotNull()).select("_g", "_rank", "_found"))
         wide = state.where(F.col("_found").isNull() & (F.col("_n") > most))
         if wide.isEmpty():
             return reduce(DataFrame.unionAll, found)
@@ -194,6 +195,7 @@ def percentiles(df: DataFrame, group: str, value: str, q: float, most: int = 200
     values = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
     place = F.lit(q) * (F.col("_n") - 1)
     sized = values.groupBy("_g").agg(F.count("*").alias("_n")).select("_g", "_n", F.floor(place).alias("_low"), F.ceil(place).alias("_high"), (F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n"))) - 1).alias("_near"), F.bround(place).cast("long").alias("_round"))
+    sized = Tables(df.sparkSession, "sizes").save(sized, "sizes")
     ranks = sized.select("_g", "_n", F.explode(F.array_distinct(F.array("_low", "_high", "_near", "_round"))).alias("_r")).select("_g", (F.col("_r") + 1).alias("_rank"), "_n")
     found = selected(values, ranks, most)
     at = lambda c: F.max(F.when(F.col("_rank") == F.col(c) + 1, F.col("_found")))
