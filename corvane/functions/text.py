@@ -20,6 +20,17 @@ def scrub(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
+def broken(text: Column) -> Column:
+    """Composed form that keeps zero-width spaces, which part words: joiners become such spaces, marks of byte order go; spaces are squeezed,
+    those around line feeds go, and at most one line stays empty."""
+    from .udfs import nfc
+
+    out = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), nfc(text)).otherwise(text)
+    out = F.translate(out, "\u200c\u200d\ufeff", "\u200b\u200b")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\t\f\x0B ]+", " "), r" *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case Latin and digit runs and Thai runs."""
     return F.regexp_extract_all(F.lower(text), F.lit("([ก-๙]+|[a-z0-9]+)"), F.lit(1))

@@ -35,6 +35,13 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, node: str, end: str) -> D
     return edges.join(ids, edges[end] == ids["_node"], "left_anti")
 
 
+def crossing(edges: DataFrame, nodes: DataFrame, node: str, group: str, source: str, target: str) -> DataFrame:
+    """Edges whose ends are of different groups, with both groups: from_group, to_group. Ends without a group or a node cross nothing."""
+    own = nodes.where(F.col(group).isNotNull()).select(F.col(node).alias("_n"), F.col(group).alias("_g"))
+    out = edges.join(own.select(F.col("_n").alias(source), F.col("_g").alias("from_group")), source).join(own.select(F.col("_n").alias(target), F.col("_g").alias("to_group")), target)
+    return out.where("from_group != to_group").select(*edges.columns, "from_group", "to_group")
+
+
 def isolated(nodes: DataFrame, edges: DataFrame, node: str, ends: list[str]) -> DataFrame:
     """Nodes at neither end of any edge."""
     touched = reduce(DataFrame.unionAll, [edges.select(F.col(e).alias("_end")) for e in ends])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -179,3 +181,52 @@ def conversation_key(parts: list[Column]) -> Column:
     for part in parts:
         whole &= F.coalesce(F.trim(part.cast("string")) != "", F.lit(False))
     return F.when(whole, F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256))
+
+
+#: Names that stand for a class of things, not for one.
+GENERIC = ["malware", "tool", "tools", "technique", "techniques", "mitigation", "mitigations", "group", "groups", "threat actor"]
+CODE = re.compile(r"[a-z]\d{4}(?:\.\d{3})?")
+
+
+def spoken(text: str, begin: int, end: int) -> bool:
+    """Terms stand between other signs than letters, digits and underscores; a code is no part of a longer code."""
+    word = lambda c: c.isalnum() or c == "_"
+    before, after = text[begin - 1 : begin] if begin else "", text[end : end + 1]
+    if CODE.fullmatch(text, begin, end):
+        return not (before and (word(before) or before == ".")) and not (after and word(after)) and not (after == "." and text[end + 1 : end + 2].isdigit())
+    return not (before and word(before)) and not (after and word(after))
+
+
+def seeds(questions: DataFrame, catalogue: DataFrame, hits: DataFrame, query: str = "query_id", text: str = "text", key: str = "id", terms: str = "terms", explicit: str | None = None) -> DataFrame:
+    """query, id, source: the entities a question names ("mention"), or, where it names none, those its vector search found ("vector"), each once.
+
+    catalogue: (id, terms), terms an array of names, codes and aliases; hits: (query, id). Terms under three letters and generic ones aren't
+    looked for. ``explicit``: a column of the questions with the name asked for; where it is given only an equal term counts, and vector hits
+    don't stand in for it. Case never matters; null questions name nothing. Names are found by an automaton, so nothing is compared in pairs.
+    """
+    own = catalogue.select(F.col(key).alias("_id"), F.explode(terms).alias("_l")).select("_id", F.lower("_l").alias("term")).where("term is not null").distinct()
+    usable = own.where((F.length("term") >= 3) & ~F.col("term").isin(GENERIC))
+    given = F.lower(explicit) if explicit else F.lit(None).cast("string")
+    asked = questions.select(query, F.lower(text).alias("_t"), given.alias("_given"))
+    free = asked.where("_given is null")
+    met = dictionary.found(free.select(query, "_t"), usable, query, "_t", "term", spoken).join(usable, "term").select(query, "_id")
+    named = met.unionAll(asked.where("_given is not null").join(own, F.col("_given") == F.col("term")).select(query, "_id")).distinct()
+    rest = hits.select(query, F.col(key).alias("_id")).distinct().join(free.select(query).distinct(), query, "left_semi").join(named.select(query).distinct(), query, "left_anti")
+    return named.withColumn("source", F.lit("mention")).unionAll(rest.withColumn("source", F.lit("vector"))).select(query, F.col("_id").alias(key), "source")
+
+
+def label_matches(asked: DataFrame, catalogue: DataFrame, query: str = "query_id", text: str = "text", key: str = "id", labels: str = "labels", near: float | None = None) -> DataFrame:
+    """query, id, by: items one of whose labels contains the text, spacing, signs and case aside ("part"); texts under two signs match nothing.
+
+    labels: an array. With ``near`` (over 2/3), texts that no label contains take the items that have a label of at least that sequence ratio ("near").
+    Texts are the dictionary that each label is searched for, and both are compared once however often they repeat.
+    """
+    wanted = asked.select(query, t.compact(F.col(text)).alias("_q")).where(F.length("_q") >= 2)
+    owned = catalogue.select(F.col(key).alias("_id"), F.explode(labels).alias("_l")).select("_id", t.compact(F.col("_l")).alias("_l")).where("_l != ''").distinct()
+    met = dictionary.found(owned.select("_l").distinct().withColumn("_k", F.col("_l")), wanted, "_k", "_l", "_q", dictionary.anywhere)
+    texts = met.select(F.col("_k").alias("_l"), F.col("term").alias("_q"), F.lit("part").alias("by"))
+    if near is not None:
+        rest = wanted.select("_q").distinct().join(texts.select("_q").distinct(), "_q", "left_anti")
+        alike = similar(rest.select(F.col("_q").alias("text")), owned.select(F.col("_l").alias("text")), near)
+        texts = texts.unionAll(alike.select(F.col("b").alias("_l"), F.col("a").alias("_q"), F.lit("near").alias("by")))
+    return wanted.join(texts, "_q").join(owned, "_l").select(query, F.col("_id").alias(key), "by").distinct()

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import text as t
+from corvane.operators import graph, nlp, ranking
 from corvane.operators.stored import Tables
 from corvane.sources import cms
 from corvane.sources.feeds import Conflict, Feeds
 
+from . import retrieval
 from .tables import table
 
 #: Items known by another name: name and aliases.
@@ -90,3 +93,55 @@ def replaced_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["replaced_feeds"] = "SELECT source, count(*) AS n, round(sum(balance), 2) AS total FROM clients WHERE source IS DISTINCT FROM 'store' AND (source IS DISTINCT FROM 'web' OR balance > 0) GROUP BY 1"
 QUERIES["replaced_feeds"] = replaced_feeds
+
+
+def question_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that a question names, else those of its vector search. An entity is a vector, named by its document's first two words."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("name"), "text")
+    items = retrieval.items(spark, sf_dir)
+    catalogue = items.select(F.col("item_id").alias("id")).join(docs, "id").select("id", F.array("name", F.concat(F.lit("T"), F.format_string("%04d", "id"))).alias("terms"))
+    asked = retrieval.asked(spark, sf_dir)
+    way = F.col("query_id") % 300
+    told = F.when(way == 0, F.upper("text")).when(way == 100, F.concat(F.lit("What is (T"), F.format_string("%04d", F.col("query_id") + 1), F.lit("), not T"), F.format_string("%04d", F.col("query_id") + 2), F.lit(".001?"))).otherwise("what is there")
+    questions = asked.join(docs.withColumnRenamed("id", "query_id"), "query_id").select("query_id", told.alias("text"))
+    hits = ranking.nearest(asked, items, 10).select("query_id", F.col("item_id").alias("id"))
+    return nlp.seeds(questions, catalogue, hits)
+
+
+def crossing_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients whose master record is of another source."""
+    clients = table(spark, sf_dir, "clients")
+    return graph.crossing(clients.select("client_id", "master_id"), clients, "client_id", "source", "client_id", "master_id")
+
+
+def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clients whose name or e-mail holds the beginning of a vendor's family name."""
+    clients = table(spark, sf_dir, "clients").select(F.col("client_id").alias("id"), F.array("name", "email").alias("labels"))
+    asked = table(spark, sf_dir, "vendors").select(F.col("vendor_id").alias("query_id"), F.concat(F.lit(" "), F.substring(F.element_at(F.split("name", " "), -1), 1, 5), F.lit(".")).alias("text"))
+    return nlp.label_matches(asked, clients)
+
+
+def kept_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with joiners and tabs after commas, normalised without losing the parting of words."""
+    marked = F.concat(F.lit("\ufeff"), F.replace("text", F.lit(", "), F.lit(",\u200d\t ")), F.lit(" \n \n\n end\u00a0"))
+    made = table(spark, sf_dir, "documents").select("doc_id", t.broken(marked).alias("text"))
+    return made.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+ORACLE_SQL |= {
+    "question_seeds": f"""WITH d AS (SELECT doc_id AS id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS name, text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT d.* FROM d JOIN embeddings ON vec_id = id), n AS (SELECT id, name AS term FROM c WHERE length(name) >= 3 AND NOT list_contains({nlp.GENERIC}, name)),
+q AS (SELECT vec_id AS query_id, CASE vec_id % 300 WHEN 0 THEN lower(upper(text)) ELSE '' END AS text FROM embeddings JOIN d ON d.id = vec_id WHERE vec_id % 100 = 0),
+m AS (SELECT DISTINCT query_id, n.id FROM q JOIN n ON contains(q.text, term) AND regexp_matches(q.text, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(term) || '($|[^\\p{{L}}\\p{{N}}_])')
+  UNION SELECT query_id, c.id FROM q JOIN c ON c.id = query_id + 1 WHERE query_id % 300 = 100)
+SELECT query_id, id, 'mention' AS source FROM m UNION ALL SELECT query_id, item_id, 'vector' FROM ({retrieval.ORACLE_SQL["knn_ip_topk"]}) k WHERE query_id IN (SELECT query_id FROM q) AND query_id NOT IN (SELECT query_id FROM m)""",
+    "crossing_masters": "SELECT c.client_id, c.master_id, c.source AS from_group, m.source AS to_group FROM clients c JOIN clients m ON m.client_id = c.master_id WHERE c.source <> m.source",
+    "label_matches": """WITH q AS (SELECT vendor_id AS query_id, regexp_replace(lower(substr(string_split(name, ' ')[-1], 1, 5)), '[^a-z0-9ก-๙]', '', 'g') AS k FROM vendors),
+l AS (SELECT client_id AS id, regexp_replace(lower(unnest([name, email])), '[^a-z0-9ก-๙]', '', 'g') AS l FROM clients)
+SELECT DISTINCT query_id, id, 'part' AS "by" FROM q JOIN l ON contains(l, k) WHERE length(k) >= 2""",
+    "kept_breaks": r"""WITH m AS (SELECT doc_id, nfc_normalize(replace(text, ', ', ',' || chr(8203) || chr(9) || ' ') || ' ' || chr(10) || ' ' || chr(10) || chr(10) || ' end') AS s FROM documents),
+n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(s, chr(8204), chr(8203)), chr(8205), chr(8203)), chr(65279), ''), '[\t\f\x0B ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS s FROM m),
+e AS (SELECT doc_id, regexp_replace(s, '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') AS s FROM n)
+SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM e""",
+}
+QUERIES |= {name: globals()[name] for name in ("question_seeds", "crossing_masters", "label_matches", "kept_breaks")}
