@@ -101,6 +101,11 @@ SIZED = re.compile(rf"(?:^|\s){SIZE}\s*$", re.I)
 
 def price_bounds(text: str | None) -> tuple:
     """low, high and whether each is inclusive. A range counts both ends in; a lone sum of money is the most that may be paid."""
+    return claimed_prices(text)[:4]
+
+
+def claimed_prices(text: str | None) -> tuple:
+    """As ``price_bounds``, and the text with what the rules claimed as spaces."""
     low = high = low_in = high_in = None
 
     def value(digits: str, unit: str | None) -> float:
@@ -129,7 +134,7 @@ def price_bounds(text: str | None) -> tuple:
             text = text[: m.start()] + "\u0000" * (m.end() - m.start()) + text[m.end() :]
             if kind in ("range", "money"):
                 break
-    return low, high, low_in, high_in
+    return low, high, low_in, high_in, text.replace("\u0000", " ")
 
 
 @F.pandas_udf(PRICES)
@@ -137,6 +142,11 @@ def price_range(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([price_bounds(t) for t in text], columns=["low", "high", "low_inclusive", "high_inclusive"])
 
 
+@F.pandas_udf(StructType([*PRICES.fields, StructField("rest", StringType())]))
+def price_claims(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([claimed_prices(t) for t in text], columns=["low", "high", "low_inclusive", "high_inclusive", "rest"])
+
+
 @F.pandas_udf(StringType())
 def source_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     """The part of a text that equals a quote but for white space; null if there is none."""
