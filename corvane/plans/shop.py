@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, identity, nlp, similar, state, vectorindex
+from corvane.operators import commands, graph, identity, nlp, similar, state, vectorindex
 from corvane.operators.stored import Tables
 from corvane.streaming import live
 
@@ -98,6 +98,18 @@ def index_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorindex.Index(items, 32).search(queries, 10)
 
 
+def shop_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of eight forms about each item, read as commands; brands and kinds are those of the items."""
+    items = table(spark, sf_dir, "items")
+    known = lambda c: items.where(f"{c} is not null").groupBy(F.lower(c).alias("alias")).agg(F.min(c).alias("canonical"), F.min("item_id").alias("place"))
+    name, brand, kind = F.coalesce("name", F.lit("thing")), F.coalesce("brand", F.lit("")), F.coalesce("kind", F.lit(""))
+    low = F.coalesce(F.floor("price").cast("long"), F.lit(100))
+    forms = [("find me %s %s under %s baht in stock", name, brand, low), ("%s %s not %s cheapest please", kind, F.upper(name), brand), ("how to order %s %s", name, brand), ("thanks for the %s", name), ("%s between %s and %s baht sold out", kind, low, 2 * low), ("%s at least %s baht newest", name, low), ("%s", name), ("hello any promotion for %s", brand)]
+    message = F.element_at(F.array(*[F.format_string(form, *[a.cast("string") for a in args]) for form, *args in forms]), (F.col("item_id") % 8 + 1).cast("int"))
+    found = commands.parsed(items.select(F.col("item_id").alias("id"), message.alias("text")), known("brand"), known("kind"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("brands", "excluded")})
+
+
 CLAIMS_SQL = f"""WITH RECURSIVE n AS (SELECT coalesce(kind, 'none') AS kind, click_id, client_id::VARCHAR AS id, coalesce(epoch_us(ts) / 1e6, 0.0) AS t, coalesce(value < 2, FALSE) AS gone, row_number() OVER (PARTITION BY coalesce(kind, 'none') ORDER BY coalesce(epoch_us(ts), 0), click_id) AS i FROM clicks),
 p AS (SELECT kind, 0::BIGINT AS i, NULL::BIGINT AS click_id, NULL::BOOLEAN AS claimed, []::STRUCT(id VARCHAR, ends DOUBLE)[] AS held FROM (SELECT DISTINCT kind FROM n)
 UNION ALL SELECT kind, i, click_id, CASE WHEN gone THEN NULL WHEN coalesce(id, '') = '' THEN TRUE ELSE NOT there END AS claimed,
@@ -121,6 +133,11 @@ SELECT ask, node, len(rels) AS hops, array_to_string(nodes, '>') AS nodes, array
 r AS (SELECT x.id AS ask, 'o' || y.id AS node, x.id || '>' || y.id AS rels, row_number() OVER (PARTITION BY x.id ORDER BY y.id) AS place, count(*) OVER (PARTITION BY x.id) > {PATHS} AS truncated FROM e x JOIN e y ON y.s = x.s AND y.id <> x.id WHERE x.id % 100 = 0)
 SELECT * FROM r WHERE place <= {PATHS}""",
 }
+ORACLE_SQL["shop_commands"] = """WITH i AS (SELECT item_id AS id, item_id % 8 AS w, coalesce(lower(name), 'thing') AS name, brand, kind, coalesce(floor(price), 100)::BIGINT::DOUBLE AS p FROM items),
+e AS (SELECT *, CASE WHEN w IN (1, 4) THEN kind END AS category, CASE WHEN w = 0 THEN coalesce(brand, '') ELSE '' END AS brands, CASE WHEN w = 1 THEN coalesce(brand, '') ELSE '' END AS excluded, CASE WHEN w IN (4, 5) THEN p END AS low, CASE w WHEN 0 THEN p WHEN 4 THEN 2 * p END AS high,
+  CASE w WHEN 0 THEN TRUE WHEN 4 THEN FALSE END AS in_stock, CASE w WHEN 1 THEN 'price_asc' WHEN 5 THEN 'newest' END AS sort, CASE WHEN w IN (0, 1, 5) THEN name ELSE '' END AS query, CASE WHEN w IN (0, 1, 4, 5) THEN 'search' ELSE ['', '', 'order', 'thanks', '', '', 'unknown', 'promotion'][w + 1] END AS intent FROM i)
+SELECT id, intent, CASE intent WHEN 'search' THEN round(least(0.99, 0.72 + 0.045 * ((category IS NOT NULL)::INT + (brands <> '')::INT + (excluded <> '')::INT + (coalesce(low, high) IS NOT NULL)::INT + (in_stock IS NOT NULL)::INT + (sort IS NOT NULL)::INT + (w = 0)::INT + (query <> '')::INT)), 6) WHEN 'order' THEN 0.97 WHEN 'promotion' THEN 0.97 WHEN 'thanks' THEN 0.96 ELSE 0.2 END AS confidence,
+category, brands, excluded, low, high, CASE WHEN low IS NOT NULL THEN TRUE END AS low_inclusive, CASE w WHEN 0 THEN FALSE WHEN 4 THEN TRUE END AS high_inclusive, in_stock, sort, query FROM e"""
 ORACLE_SQL["index_l2_topk"] = retrieval.ORACLE_SQL["knn_l2_topk"]
 #: Sequence ratios aren't in SQL; tests/test_search.py holds these against all pairs.
 QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "similar_names", "typo_names"]}
