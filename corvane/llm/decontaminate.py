@@ -243,8 +243,8 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emitted(iter([(None, own.items, sum(len(q) + len(a) for q, a in cut), own.longest), *((w, n, 0, 0) for w, n in own.df.items())]), COUNTED)
 
 
-def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[Broadcast]]:
-    """Groups of indexes of parts of the items, sent to all tasks; one group at a time is in use."""
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[list[Broadcast], bool]]:
+    """Groups of indexes of parts of the items, sent to all tasks, and whether more may follow; the caller ends with one before it asks for the next."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].alias("words")).where("item is not null and words is not null")
     size = items.agg(F.sum(F.octet_length("words"))).first()[0]
     if not size:
@@ -268,17 +268,27 @@ def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
         if index is not None:
             group.append(benchmark.sparkSession.sparkContext.broadcast(index))
         if len(group) == GROUP:
-            yield group
+            yield group, part < count - 1
             group = []
     if group:
-        yield group
+        yield group, False
+
+
+def ended(group: list[Broadcast]) -> None:
+    """Give up the indexes of a group whose results are written."""
+    for shared in group:
+        shared.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each (document, item) met and verified: HITS."""
+    """One row for each (document, item) met and verified: HITS.
+
+    An index of more than one group is asked group by group: hits are written and the group is given up before the next one is built.
+    """
+    space = Workspace(docs.sparkSession, "hits")
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     found = None
-    for group in indexes(benchmark, item_col, item_text_col):
+    for turn, (group, more) in enumerate(indexes(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
@@ -291,6 +301,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield from emitted(rows(), HITS_ARROW)
 
         hits = chosen.mapInArrow(run, HITS)
+        if more:
+            hits = space.save(hits, f"hits{turn}")
+            ended(group)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], HITS)
@@ -298,8 +311,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose own text holds no item, whatever their ids."""
-    for group in indexes(benchmark, item_col, item_text_col):
+    """The rows of ``docs`` whose own text holds no item, whatever their ids. Groups of indexes go one by one, as in ``contaminated``."""
+    space = Workspace(docs.sparkSession, "clean")
+    for turn, (group, more) in enumerate(indexes(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -307,4 +321,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 yield batch.filter(pa.array([not any(search(shared.value, words) for shared in group) for words in own], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = space.save(docs, f"kept{turn}")
+            ended(group)
+            if turn:
+                space.drop(f"kept{turn - 1}")
     return docs
