@@ -13,6 +13,7 @@ from corvane.functions import udfs
 
 from . import dictionary
 from .nlp import typo_matches
+from .stored import Tables
 
 #: Phrases of each intent, in order of priority; those before "search" win over entities, those after yield to them.
 FIRST_INTENTS = {
@@ -124,7 +125,8 @@ def parsed(messages: DataFrame, brands: DataFrame, categories: DataFrame, key: s
     near alias, 0.99 at most. Null and empty messages are unknown with confidence 0. Python reads prices and typing errors only.
     """
     words = words or Words()
-    plain = messages.select(F.col(key).alias("_id"), F.coalesce(t.normalised(F.col(text)), F.lit("")).alias("_t"))
+    # read by each dictionary and by the join, so normalised once
+    plain = Tables(messages.sparkSession, "messages").save(messages.select(F.col(key).alias("_id"), F.coalesce(t.normalised(F.col(text)), F.lit("")).alias("_t")), "plain")
     met = plain
     for name, table in (("_brands", brands), ("_kinds", categories)):
         found = mentions(plain, table, fuzzy).select("_id", F.col("spans").alias(name))
