@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text, vectors
-from corvane.operators import ranking
+from corvane.operators import ranking, vectorindex
 
 from .tables import TOKENS, table
 
@@ -40,19 +40,17 @@ def knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """|d² - (2 - 2 cos)| of unit vectors, the largest over all pairs of a query and an item."""
-    q = ranking.sent(asked(spark, sf_dir).select("query_id", F.col("embedding").alias("q")))
-    pairs = items(spark, sf_dir).crossJoin(q)
-    error = F.abs(vectors.squared_distance(F.col("embedding"), F.col("q")) - (2 - 2 * vectors.cosine(F.col("embedding"), F.col("q"))))
-    return pairs.groupBy("query_id").agg((F.max(error) < 1e-5).alias("identical"), F.count("*").alias("pairs"))
+    error = vectorindex.largest(asked(spark, sf_dir), items(spark, sf_dir), vectorindex.gaps)
+    sizes = asked(spark, sf_dir).groupBy("query_id").agg((F.count("*") * F.lit(items(spark, sf_dir).count())).alias("pairs"))
+    return sizes.join(error, "query_id", "left").select("query_id", (F.col("best") < 1e-5).alias("identical"), "pairs")
 
 
 def intent_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best similarity per class of each query to all other rows; under 0.5 the class is null."""
-    q = ranking.sent(asked(spark, sf_dir).select("query_id", F.col("embedding").alias("q")))
-    pairs = items(spark, sf_dir).crossJoin(q).where("item_id != query_id")
-    best = pairs.groupBy("query_id", "label").agg(F.round(F.max(vectors.cosine(F.col("embedding"), F.col("q"))), 6).alias("score"))
-    top = ranking.top_k(best, ["query_id"], [F.desc("score"), F.asc("label")], 1).drop("rank")
-    return top.select("query_id", F.when(F.col("score") >= 0.5, F.col("label")).alias("intent"), "score")
+    best = vectorindex.largest(asked(spark, sf_dir), items(spark, sf_dir), vectorindex.cosines, "label", itself=False).withColumn("score", F.round("best", 6))
+    top = ranking.top_k(best, ["query_id"], [F.desc("score"), F.asc("label")], 1)
+    every = asked(spark, sf_dir).select("query_id").distinct().join(top, "query_id", "left")
+    return every.select("query_id", F.when(F.col("score") >= 0.5, F.col("label")).alias("intent"), "score")
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
