@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import text, vectors
-from corvane.operators import metrics, ranking
+from corvane.functions import text
+from corvane.operators import metrics, ranking, vectorindex
 
 from .retrieval import BM25, DOT, bm25_topk, items, knn
 from .tables import TOKENS, table
@@ -117,9 +117,9 @@ def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def support_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each class, the share of its queries whose best other vector is at least 0.52 near."""
-    q = ranking.sent(items(spark, sf_dir).where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own")))
-    pairs = items(spark, sf_dir).crossJoin(q).where("item_id != query_id")
-    best = pairs.groupBy("query_id", "own").agg(F.round(F.max(vectors.dot(F.col("embedding"), F.col("q"))), 6).alias("best"))
+    asked = items(spark, sf_dir).where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    found = vectorindex.largest(asked, items(spark, sf_dir), vectorindex.products, itself=False).select("query_id", F.round("best", 6).alias("best"))
+    best = asked.select("query_id", F.col("label").alias("own")).distinct().join(found, "query_id", "left")
     return best.groupBy("own").agg(F.round(F.avg(F.when(F.col("best") >= 0.52, 1.0).otherwise(0.0)), 6).alias("support"), F.count("*").alias("units"))
 
 
