@@ -46,6 +46,16 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9ก-๙]", "")
 
 
+def unstretched(text: Column) -> Column:
+    """A letter that repeats three times or more stays once."""
+    return F.regexp_replace(text, r"(\p{L})\1{2,}", "$1")
+
+
+def unspaced(text: Column) -> Column:
+    """The normalised form without spaces, the same however a text is spaced: letters that repeat across a space are one run too."""
+    return unstretched(F.replace(normalised(text), F.lit(" "), F.lit("")))
+
+
 def normalised(text: Column) -> Column:
     """Composed form in lower case; Thai digits as ASCII, no commas between digits, unified dashes, comparisons in two signs.
 
@@ -59,7 +69,7 @@ def normalised(text: Column) -> Column:
     out = F.translate(F.translate(out, "๐๑๒๓๔๕๖๗๘๙–—−\u00a0", "0123456789--- "), "\u200b\ufeff", "")
     out = F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", "")
     out = F.replace(F.replace(out, F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<="))
-    out = F.regexp_replace(out, r"(\p{L})\1{2,}", "$1")
+    out = unstretched(out)
     out = F.regexp_replace(out, r"[^\p{L}\p{N}_ก-๙\s.\-฿<>=]", " ")
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[ .\-]+|[ .\-]+$", "")
 

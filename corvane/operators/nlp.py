@@ -165,7 +165,7 @@ def looked_up(asked: DataFrame, catalogue: DataFrame, query: str = "query_id", t
     """
     label = F.explode(F.concat(F.array(name), F.coalesce(F.col(aliases), F.array().cast("array<string>"))) if aliases else F.array(name))
     names = catalogue.select(F.col(key).alias("_id"), label.alias("_l")).where("_l is not null")
-    ways = lambda c: F.array(F.struct(F.lit("name").alias("by"), t.normalised(c).alias("k")), F.struct(F.lit("compact").alias("by"), F.replace(t.normalised(c), F.lit(" "), F.lit("")).alias("k")))
+    ways = lambda c: F.array(F.struct(F.lit("name").alias("by"), t.normalised(c).alias("k")), F.struct(F.lit("compact").alias("by"), t.unspaced(c).alias("k")))
     keys = names.select("_id", F.explode(ways(F.col("_l"))).alias("w")).select("_id", "w.by", "w.k").where("k != ''")
     keys = keys.unionAll(catalogue.select(F.col(key).alias("_id"), F.lit("id"), F.trim(F.col(key).cast("string")))).groupBy("by", "k").agg(F.min("_id").alias("_id"))
     wanted = asked.where(F.col(text).isNotNull()).select(query, F.explode(F.concat(F.array(F.struct(F.lit("id").alias("by"), F.trim(text).alias("k"))), ways(F.col(text)))).alias("w"))

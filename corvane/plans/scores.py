@@ -96,6 +96,8 @@ KNN = retrieval.ORACLE_SQL["knn_ip_topk"]
 RANKED = f"r AS (SELECT k.query_id, k.rank, e.label AS section FROM ({KNN}) k JOIN embeddings e ON e.vec_id = k.item_id)"
 PAIRS = "p AS (SELECT a.conv_id, a.turn, a.role, a.text, u.text AS asked FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[ก-๙]+|[a-z0-9]+'))"
+#: A letter that repeats three times or more stays once.
+ONCE = "array_to_string(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN regexp_matches({0}[i], '^\\p{{L}}$') AND i > 1 AND {0}[i - 1] = {0}[i] AND ((i > 2 AND {0}[i - 2] = {0}[i]) OR {0}[i + 1] = {0}[i]) THEN '' ELSE {0}[i] END), '')"
 NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\w\\p{{L}}ก-๙\\s.฿<>=-]', ' ', 'g'), '\\s+', ' ', 'g'), ' .-')"
 ORACLE_SQL = {
     "section_scores": f"""WITH {RANKED}, f AS (SELECT query_id, section, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), section) AS place FROM r GROUP BY 1, 2),
@@ -110,9 +112,9 @@ SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, e))
 SELECT part, round(avg(CASE WHEN word <> '' AND contains(lower(text), lower(word)) THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM k GROUP BY 1""",
     "hit_pages": f"WITH {RANKED} SELECT query_id, array_to_string(list_sort(list_distinct(list(section))), ',') AS pages FROM r GROUP BY 1",
     "looked_up": f"""WITH a AS (SELECT client_id AS query_id, CASE client_id % 4 WHEN 0 THEN ' ' || client_id WHEN 1 THEN upper(name || ' .') WHEN 2 THEN replace(name, ' ', '') ELSE upper(email) END AS text FROM clients),
-l AS (SELECT client_id AS id, name AS label FROM clients UNION ALL SELECT client_id, email FROM clients), n AS (SELECT id, {NORMAL.format('label')} AS k FROM l WHERE label IS NOT NULL),
-q AS (SELECT query_id, trim(text) AS raw, {NORMAL.format('text')} AS k FROM a WHERE text IS NOT NULL),
-f AS (SELECT query_id, client_id AS id, 0 AS step, 'id' AS "by" FROM q JOIN clients ON client_id::VARCHAR = raw UNION ALL SELECT query_id, id, 1, 'name' FROM q JOIN n USING (k) WHERE k <> '' UNION ALL SELECT query_id, id, 2, 'compact' FROM q JOIN n ON replace(n.k, ' ', '') = replace(q.k, ' ', '') WHERE replace(q.k, ' ', '') <> '')
+l AS (SELECT client_id AS id, name AS label FROM clients UNION ALL SELECT client_id, email FROM clients), n0 AS (SELECT id, {NORMAL.format('label')} AS k FROM l WHERE label IS NOT NULL), n1 AS (SELECT id, {ONCE.format('k')} AS k, replace({ONCE.format('k')}, ' ', '') AS c FROM n0), n AS (SELECT id, k, {ONCE.format('c')} AS c FROM n1),
+q0 AS (SELECT query_id, trim(text) AS raw, {NORMAL.format('text')} AS k FROM a WHERE text IS NOT NULL), q1 AS (SELECT query_id, raw, {ONCE.format('k')} AS k, replace({ONCE.format('k')}, ' ', '') AS c FROM q0), q AS (SELECT query_id, raw, k, {ONCE.format('c')} AS c FROM q1),
+f AS (SELECT query_id, client_id AS id, 0 AS step, 'id' AS "by" FROM q JOIN clients ON client_id::VARCHAR = raw UNION ALL SELECT query_id, id, 1, 'name' FROM q JOIN n USING (k) WHERE k <> '' UNION ALL SELECT query_id, id, 2, 'compact' FROM q JOIN n ON n.c = q.c WHERE q.c <> '')
 SELECT query_id, id, "by" FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step > 0, id, step) = 1""",
     "nested_records": """WITH i AS (SELECT *, item_id % 5 AS way, floor(price) AS p, '/i/' || item_id || '.png' AS pic FROM items WHERE name IS NOT NULL)
 SELECT item_id AS id, 0 AS n, name, CASE way WHEN 0 THEN CASE WHEN size % 2 = 0 AND p <> 1 THEN p - 1 ELSE p END WHEN 2 THEN coalesce(p, 1999.0) WHEN 4 THEN NULL ELSE p END AS price, CASE way WHEN 0 THEN p WHEN 2 THEN 1999.0 END AS regular, ['/a/', '/l/', '/c/', '/m/', '/b/'][way + 1] || item_id AS url, CASE WHEN way <> 4 THEN pic END AS image,

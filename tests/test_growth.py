@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import ranking, vectorindex
+from corvane.operators import nlp, ranking, vectorindex
 from corvane.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,9 @@ def test_bm25_takes_rows_of_one_id_as_one_document(spark):
     queries = spark.createDataFrame([("a", "red rod")], "query_id string, q string")
     got = [x["doc_id"] for x in ranking.bm25(docs, queries, text.tokens(F.col("text")), text.tokens(F.col("q")), 5).collect()]
     assert sorted(got, key=str) == [1, 2, None]
+
+
+def test_compact_names_meet_however_they_are_spaced(spark):
+    catalogue = spark.createDataFrame([(1, "Tjoo Ortan"), (2, "Mo Oona"), (3, "Anna Lee")], "id long, name string")
+    asked = spark.createDataFrame([(7, "TjooOrtan"), (8, "MoOona"), (9, "annalee"), (10, "TJOO  ORTAN .")], "query_id long, text string")
+    assert sorted(tuple(x) for x in nlp.looked_up(asked, catalogue).collect()) == [(7, 1, "compact"), (8, 2, "compact"), (9, 3, "compact"), (10, 1, "name")]
