@@ -221,6 +221,8 @@ def label_matches(asked: DataFrame, catalogue: DataFrame, query: str = "query_id
     labels: an array. With ``near`` (over 2/3), texts that no label contains take the items that have a label of at least that sequence ratio ("near").
     Texts are the dictionary that each label is searched for, and both are compared once however often they repeat.
     """
+    from .ranking import TERMS_SENT, sent
+
     wanted = asked.select(query, t.compact(F.col(text)).alias("_q")).where(F.length("_q") >= 2)
     owned = catalogue.select(F.col(key).alias("_id"), F.explode(labels).alias("_l")).select("_id", t.compact(F.col("_l")).alias("_l")).where("_l != ''").distinct()
     met = dictionary.found(owned.select("_l").distinct().withColumn("_k", F.col("_l")), wanted, "_k", "_l", "_q", dictionary.anywhere)
@@ -229,4 +231,9 @@ def label_matches(asked: DataFrame, catalogue: DataFrame, query: str = "query_id
         rest = wanted.select("_q").distinct().join(texts.select("_q").distinct(), "_q", "left_anti")
         alike = similar(rest.select(F.col("_q").alias("text")), owned.select(F.col("_l").alias("text")), near)
         texts = texts.unionAll(alike.select(F.col("b").alias("_l"), F.col("a").alias("_q"), F.lit("near").alias("by")))
-    return wanted.join(texts, "_q").join(owned, "_l").select(query, F.col("_id").alias(key), "by").distinct()
+    # items and texts meet once; what is left are result rows, which no shuffle sees but those of queries of several texts
+    met = texts.join(owned, "_l").select("_q", F.col("_id").alias(key), "by").distinct()
+    once = wanted.distinct()
+    several = once.groupBy(query).agg(F.count("*").alias("_n")).where("_n > 1").select(query)
+    alone, more = once.join(several, query, "left_anti"), once.join(several, query, "left_semi")
+    return met.join(sent(alone, TERMS_SENT), "_q").select(query, key, "by").unionAll(met.join(sent(more, TERMS_SENT), "_q").select(query, key, "by").distinct())

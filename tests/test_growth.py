@@ -1,13 +1,14 @@
 """Steps that compared all pairs or held a whole side in one task: their plans, and their results against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import nlp, ranking, vectorindex
+from corvane.operators import metrics, nlp, ranking, shop, vectorindex
 from corvane.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,28 @@ def test_compact_names_meet_however_they_are_spaced(spark):
     catalogue = spark.createDataFrame([(1, "Tjoo Ortan"), (2, "Mo Oona"), (3, "Anna Lee")], "id long, name string")
     asked = spark.createDataFrame([(7, "TjooOrtan"), (8, "MoOona"), (9, "annalee"), (10, "TJOO  ORTAN .")], "query_id long, text string")
     assert sorted(tuple(x) for x in nlp.looked_up(asked, catalogue).collect()) == [(7, 1, "compact"), (8, 2, "compact"), (9, 3, "compact"), (10, 1, "name")]
+
+
+def test_result_pairs_of_labels_are_not_shuffled(spark):
+    asked = spark.createDataFrame([(1, "an"), (2, "an"), (3, "ring"), (4, "an"), (4, "ring"), (4, "ring")], "query_id long, text string")
+    catalogue = spark.createDataFrame([(7, ["Anna", "an ring"]), (8, ["Ring", None]), (9, ["x"])], "id long, labels array<string>")
+    found = nlp.label_matches(asked, catalogue)
+    assert sorted(tuple(x) for x in found.collect()) == [(1, 7, "part"), (2, 7, "part"), (3, 7, "part"), (3, 8, "part"), (4, 7, "part"), (4, 8, "part")]
+    plan = nlp.label_matches(asked.where("query_id < 4"), catalogue)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan.splitlines()[1:3]  # of the union: result rows straight from a join
+    assert "Project [query_id" in first[0] and "Join Inner, (_q" in first[1]
+
+
+def test_equal_texts_are_judged_once(spark):
+    rows = spark.createDataFrame([(i, ["ring", "rod", None][i % 3]) for i in range(30)], "id long, name string")
+    seen = []
+    got = shop.judged_once(rows, ["name"], lambda texts: (seen.append(texts.count()), texts.withColumn("long", F.length("name")))[1])
+    assert seen == [3] and {x["id"]: x["long"] for x in got.collect()} == {i: [4, 3, None][i % 3] for i in range(30)}
+
+
+def test_grams_of_rows_of_one_id_count_once(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (2, ["b"]), (3, None), (None, ["b"])], "id long, g array<string>")
+    found = metrics.gram_counts(rows, "id", F.col("g"))
+    assert sorted(tuple(x) for x in found.collect()) == [("a", 3, 1), ("b", 3, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[(gram#\d+L?, id|id#\d+L?, gram)", plan)
