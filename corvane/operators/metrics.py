@@ -224,6 +224,14 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return drawn.join(near, drawn[key] == near["_k"], "left").withColumn("valid", (F.col("_bin") < border) | F.coalesce("_v", F.lit(False))).drop("_k", "_v", "_d", "_bin")
 
 
+def gram_counts(texts: DataFrame, id_col: str, grams: Column) -> DataFrame:
+    """gram, n, df: how often each gram stands in all texts, and how many ids have it. Rows of one id are gathered first, so no task holds pairs of a gram and an id."""
+    whole = texts.select(F.col(id_col).alias("id"), grams.alias("g")).groupBy("id").agg(F.flatten(F.collect_list("g")).alias("g"))
+    each = whole.select("id", "g", F.explode(F.array_distinct("g")).alias("gram"))
+    times = F.size(F.filter("g", lambda x: x == F.col("gram")))
+    return each.select("id", "gram", times.cast("long").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count("id").alias("df"))
+
+
 def full_ranks(scored: DataFrame, query: str, item: str, score: str) -> DataFrame:
     """Adds rank: the place of every item of each query by score, ties to the larger item; a null score comes last."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), F.col(item).desc())))

@@ -5,6 +5,9 @@ Alias tables are parameters (kind -> aliases) and become expressions, so a row i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,18 @@ def base_identity(leaf: Column, name: Column, prefixes: list[str], denied: list[
     return starts & ~held(name, denied)
 
 
+def judged_once(rows: DataFrame, columns: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``judge`` of rows, where it looks at ``columns`` only: if there are few different values (QUERIES_SENT), each is judged once and joined back."""
+    from .ranking import QUERIES_SENT
+
+    texts = rows.select(*columns).distinct()
+    if texts.limit(QUERIES_SENT + 1).count() > QUERIES_SENT:
+        return judge(rows)
+    judged = judge(texts).withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return rows.join(F.broadcast(judged), same).drop(*[f"_{c}" for c in columns])
+
+
 def brand_matches(brand: Column, wanted: Column, aliases: dict[str, list[str]], fuzzy: float | None = 0.84, least: int = 5) -> Column:
     """Whether a brand is the wanted one or one of its aliases: equal, or one within the other, or alike if both have ``least`` letters.
 
