@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -121,22 +123,65 @@ def shared_budget(rows: DataFrame, group: list[str], order: str, size: str, budg
     return folded(sized, group, [order, "_n"], ["_n", "_total"], step, None, "allowed", LongType()).select(*group, order, "allowed")
 
 
+#: Names of more distinct tokens meet queries by their rarest tokens, one by one; those of fewer by classes of names that a query may hold.
+CLASSED = 8
+
+
+def parts_of(lengths: list[int]):
+    """(query, part): the distinct parts of each text that have one of the lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for n in lengths:
+                    found = list({text[i : i + n] for i in range(len(text) - n + 1)})
+                    for at in range(0, len(found), 10_000):
+                        own = found[at : at + 10_000]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(own))), batch.column(1).take(pa.array([row] * len(own))), pa.array(own, pa.string())], [*batch.schema.names, "part"])
+
+    return run
+
+
 def named_product(products: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", query: str = "query_id", text: str = "text") -> DataFrame:
     """query, id, score: the one product a query names; none where several tie with different names.
 
     A contained name scores 2 and its length's share of the query; else at least three quarters of its
     tokens must be there.
+
+    No product is compared with each query. Contained names are equal to a part of the query. The others meet by what a query may hold of
+    them: every choice of three quarters or more of a name's asked tokens, on which all names of as many tokens that leave the same choice are
+    one row (their number of names, one or more, and least id). Such a row meets the queries by its least asked token. Names of over CLASSED tokens, whose choices
+    are too many, meet by their least asked tokens, as many as can't all be missing.
     """
-    from .ranking import sent
+    from .ranking import TERMS_SENT, sent
 
-    q = sent(queries.select(query, F.lower(text).alias("_q"), t.tokens(F.col(text)).alias("_qt")))
-    p = products.where(F.col(name).isNotNull()).select(key, F.lower(name).alias("_n"), t.tokens(F.col(name)).alias("_nt"))
-    share = F.size(F.array_intersect("_nt", "_qt")) / F.greatest(F.size(F.array_distinct("_nt")), F.lit(1))
-    score = F.when(F.contains(F.col("_q"), F.col("_n")), 2 + F.length("_n") / F.length("_q")).when(share >= 0.75, share)
-    scored = p.crossJoin(q).withColumn("score", F.round(score, 6)).where("score is not null")
-    top = scored.withColumn("_r", F.rank().over(Window.partitionBy(query).orderBy(F.desc("score")))).where("_r = 1")
-    one = top.groupBy(query).agg(F.count_distinct("_n").alias("names"), F.min(key).alias(key), F.first("score").alias("score"))
-    return one.where("names = 1").select(query, key, "score")
+    asked = queries.select(query, F.lower(text).alias("_q"), F.array_distinct(t.tokens(F.col(text))).alias("_qt")).where("_q is not null")
+    names = products.where(F.col(name).isNotNull()).select(F.col(key).alias("_id"), F.lower(name).alias("_n"), t.tokens(F.col(name)).alias("_nt")).groupBy("_n").agg(F.min("_id").alias("_id"), F.array_distinct(F.first("_nt")).alias("_nt"))
+    lengths = [r[0] for r in names.select(F.length("_n")).distinct().collect()]  # a number a length
+    kind = StructType([*asked.select(query, "_q").schema.fields, StructField("part", StringType())])
+    cut = asked.select(query, "_q").where("_q != ''").mapInArrow(parts_of(sorted(lengths)), kind)
+    score = F.round(2 + F.length("_n") / F.length("_q"), 6)
+    held = cut.join(names, F.col("part") == F.col("_n")).select(query, score.alias("score"), F.col("_n").alias("low"), F.col("_n").alias("high"), "_id")
+    # how many queries have a token; names keep those that any has
+    tokens = asked.select(query, F.explode("_qt").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    wide = names.select("_n", "_id", F.size("_nt").alias("d"), F.explode("_nt").alias("token")).join(sent(often, TERMS_SENT), "token")
+    kept = wide.groupBy("_n", "_id", "d").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("k")).where(F.size("k") / F.col("d") >= 0.75)
+    chosen = F.expr("filter(sequence(1, shiftleft(1, size(k)) - 1), m -> bit_count(m) / d >= 0.75)")
+    some = kept.where(F.col("d") <= CLASSED).select("_n", "_id", "d", "k", F.explode(chosen).alias("m"))
+    classes = some.select("_n", "_id", "d", F.expr("transform(filter(k, (x, i) -> (shiftright(m, i) & 1) = 1), x -> x.token)").alias("c"))
+    classes = classes.groupBy("c", "d").agg(F.min("_n").alias("low"), F.max("_n").alias("high"), F.min("_id").alias("_id")).withColumn("token", F.col("c")[0])
+    # the least asked tokens of a long name: of those kept, all but the number needed less one
+    need = F.ceil(0.75 * F.col("d") - 1e-9)
+    first = F.slice("k", F.lit(1), (F.size("k") - need + 1).cast("int"))
+    long = kept.where(F.col("d") > CLASSED).select(F.col("k")["token"].alias("c"), "d", F.col("_n").alias("low"), F.col("_n").alias("high"), "_id", F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+    met = classes.select("c", "d", "low", "high", "_id", "token").unionAll(long).join(tokens.join(asked.select(query, "_qt"), query), "token")
+    share = F.size(F.array_intersect("c", "_qt")) / F.col("d")
+    whole = (F.size("c") == F.size(F.array_intersect("c", "_qt"))) | (F.col("d") > CLASSED)
+    shared = met.where(whole).select(query, F.round(share, 6).alias("score"), "low", "high", "_id", share.alias("_s")).where("_s >= 0.75").drop("_s")
+    best = held.unionAll(shared).groupBy(query, "score").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("_id").alias("_id"))
+    top = best.groupBy(query).agg(F.max(F.struct("score", "low", "high", "_id")).alias("m"))
+    return top.where("m.low = m.high").select(query, F.col("m._id").alias(key), F.col("m.score").alias("score"))
 
 
 def reconciled_brand(brand: Column, name: Column, url: Column, known: list[str]) -> Column:

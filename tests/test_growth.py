@@ -104,3 +104,29 @@ def test_grams_of_rows_of_one_id_count_once(spark):
     assert sorted(tuple(x) for x in found.collect()) == [("a", 3, 1), ("b", 3, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[(gram#\d+L?, id|id#\d+L?, gram)", plan)
+
+
+def test_named_products_are_those_of_all_pairs_without_comparing_all(spark):
+    r = random.Random(4)
+    words = ["old", "new", "ring", "rod", "gear", "mark", "x1", "x2", "x3", "hot", "red", "tin"]
+    names = [(i, " ".join(r.sample(words, r.choice([1, 2, 3, 4, 6, 10, 11])))) for i in range(120)] + [(200, ""), (201, None), (202, "..."), (203, "Old ring")]
+    asked = [(q, " ".join(r.sample(words, r.choice([1, 3, 5, 10, 11])))) for q in range(80)] + [(90, ""), (91, None), (92, "any... thing"), (93, "oldring"), (94, "an OLD ring")]
+    token = lambda s: set(re.findall("[a-z0-9]+", s.lower()))
+    want = set()
+    for q, text_ in asked:
+        found = []
+        for i, n in names:
+            if n is None or not text_:
+                continue
+            share = len(token(n) & token(text_)) / max(1, len(token(n)))
+            if n.lower() in text_.lower():
+                found.append((round(2 + len(n) / len(text_), 6), n.lower(), i))
+            elif share >= 0.75:
+                found.append((round(share, 6), n.lower(), i))
+        best = [x for x in found if x[0] == max(found)[0]]
+        if best and len({x[1] for x in best}) == 1:
+            want.add((q, min(x[2] for x in best), best[0][0]))
+    products, queries = spark.createDataFrame(names, "id long, name string"), spark.createDataFrame(asked, "query_id long, text string")
+    found = nlp.named_product(products, queries)
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 40
+    assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
