@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
-from corvane.functions import vectors
-from corvane.operators import metrics, nlp, ranking
+from corvane.operators import metrics, nlp, ranking, vectorindex
 from corvane.sources import html
 
 from . import retrieval
@@ -35,8 +34,8 @@ def code_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of every vector for every two-hundredth, by inner product to one digit, ties to the larger id."""
     items = retrieval.items(spark, sf_dir)
-    asked = ranking.sent(items.where("item_id % 200 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = items.crossJoin(asked).select("query_id", "item_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 1).alias("score"))
+    asked = items.where("item_id % 200 = 0").withColumnRenamed("item_id", "query_id")
+    scored = vectorindex.pairs(asked, items, vectorindex.products).withColumn("score", F.round("score", 1))
     return metrics.full_ranks(scored, "query_id", "item_id", "score").select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -18,7 +18,7 @@ def planned(df):
     return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["intent_maxsim", "knn_identity_check", "support_ratio"])
+@pytest.mark.parametrize("name", ["intent_maxsim", "knn_identity_check", "support_ratio", "all_ranks"])
 def test_vectors_meet_in_blocks(spark, name):
     plan = planned(registry.QUERIES[name](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
@@ -130,3 +130,11 @@ def test_named_products_are_those_of_all_pairs_without_comparing_all(spark):
     found = nlp.named_product(products, queries)
     assert {tuple(x) for x in found.collect()} == want and len(want) > 40
     assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
+
+
+def test_pairs_are_all_and_null_without_a_vector(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.5, 0.0]), (3, [1.0])]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    got = vectorindex.pairs(items.withColumnRenamed("item_id", "query_id"), items, vectorindex.products).collect()
+    ok = {0: [1.0, 2.0], 2: [0.5, 0.0]}
+    assert {(x[0], x[1]): x[2] for x in got} == {(q, i): float(np.dot(ok[q], ok[i])) if q in ok and i in ok else None for q in range(4) for i in range(4)} and len(got) == 16
