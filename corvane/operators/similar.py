@@ -1,4 +1,4 @@
-"""Similarity join of short texts by sequence ratio, without comparing all pairs."""
+"""Similarity join of short texts by sequence ratio: by rare letter pairs where texts have such, else in blocks of matrix products."""
 
 from __future__ import annotations
 
@@ -7,12 +7,23 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import Tables
+
 #: Rows that a Python operator returns at once.
 OUT_ROWS = 20_000
+#: Pairs that a block compares in the time of one pair that meets by a token.
+DEARER = 200
+#: Texts of a block's side at the most, and the blocks that small tables are cut into.
+SIDE, CELLS = 20_000, 128
+#: Buckets of tokens (a bucket's product is at least what two texts share in it) and of letters.
+TOKENS, LETTERS = 128, 64
+#: Pairs scored, and pairs aligned, at once.
+SCORED, ALIGNED = 1 << 22, 1 << 17
 
 
 def shared_pairs(n: int, least: float) -> int:
@@ -72,26 +83,165 @@ def verifier(least: float):
     return run
 
 
-def similar(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+def matched(a: int, b: int, least: float) -> int:
+    """Letters that texts of a and b letters match at the least."""
+    return math.ceil(least * (a + b) / 2 - 1e-9)
+
+
+class Side:
+    """Texts in order of initial (if asked) and length, with their letters, their letter pairs and what alignment needs."""
+
+    def __init__(self, texts: list[str], initial: bool):
+        self.texts = sorted(texts, key=lambda t: (t[0] if initial else "", len(t)))
+        self.n = np.array([len(t) for t in self.texts], np.int64)
+        self.points = np.frombuffer("".join(self.texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.texts)), self.n)
+        self.at = np.arange(len(self.row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        same = self.row[1:] == self.row[:-1]
+        self.pairs = self.buckets(self.row[1:][same], (self.points[:-1] << 21 | self.points[1:])[same])
+        self.letters = self.buckets(self.row, self.points)
+        self.runs: dict[str, list[tuple[int, int, int]]] = {}
+        marks = [(t[0] if initial else "", len(t)) for t in self.texts]
+        edges = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+        for begin, end in zip(edges, edges[1:]):
+            self.runs.setdefault(marks[begin][0], []).append((begin, end, marks[begin][1]))
+
+    def buckets(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """How many tokens of each text fall in each bucket; equal tokens of a text are numbered."""
+        order = np.lexsort((token, row))
+        row, token = row[order], token[order]
+        fresh = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (token[1:] != token[:-1])][: len(row)])
+        number = np.arange(len(row)) - np.repeat(fresh, np.diff(np.r_[fresh, len(row)]))
+        with np.errstate(over="ignore"):
+            mixed = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            place = (mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(57)
+        return np.bincount(row * TOKENS + place.astype(np.int64), minlength=len(self.texts) * TOKENS).reshape(-1, TOKENS).astype(np.float32)
+
+    def coded(self, alphabet: np.ndarray) -> np.ndarray:
+        """The bucket of each letter, text by place, at most 64 places; LETTERS where there is none."""
+        out = np.full((len(self.texts), 64), LETTERS, np.int64)
+        near = self.at < 64
+        out[self.row[near], self.at[near]] = np.searchsorted(alphabet, self.points[near]) % LETTERS
+        return out
+
+    def masks(self, coded: np.ndarray) -> np.ndarray:
+        """Text by bucket: the places of its letters as bits."""
+        out = np.zeros((len(self.texts), LETTERS + 1), np.uint64)
+        rows = np.arange(len(self.texts))
+        for place in range(min(64, int(self.n.max(initial=0)))):
+            out[rows, coded[:, place]] |= np.uint64(1 << place)
+        out[:, LETTERS] = 0
+        return out
+
+
+def common(masks: np.ndarray, coded: np.ndarray, i: np.ndarray, j: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Length of the longest common subsequence of buckets, of texts i of a letters and j of b: never less than that of letters."""
+    held = np.full(len(i), np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for place in range(b):
+            met = held & masks[i, coded[j, place]]
+            held = (held + met) | (held - met)
+    return np.bitwise_count(~held & np.uint64((1 << a) - 1))
+
+
+def compared(left: list[str], right: list[str] | None, ordered: bool, least: float, apart: int | None, initial: bool) -> Iterator[tuple[str, str, float]]:
+    """(a, b, ratio) of the pairs of a block. Without ``right`` those within ``left``; ``ordered``: a is the smaller text.
+
+    Shared letter pairs, or letters where few pairs need be shared, are bounded by matrix products, matched letters by the longest common subsequence.
+    """
+    x = Side(left, initial)
+    y = x if right is None else Side(right, initial)
+    alphabet = np.unique(np.concatenate([x.points, y.points]))
+    masks, coded = x.masks(x.coded(alphabet)), y.coded(alphabet)
+    judge = SequenceMatcher(None, "", "", autojunk=False)
+    for mark, runs in x.runs.items():
+        for (begin, end, a), (start, stop, b) in ((one, other) for one in runs for other in y.runs.get(mark, ())):
+            if (right is None and start < begin) or 2 * min(a, b) < least * (a + b) - 1e-9 or (apart is not None and abs(a - b) > apart):
+                continue
+            need = matched(a, b, least)
+            shared = 3 * need - a - b - 1
+            one, other, bound = (x.pairs, y.pairs, shared) if shared >= 4 else (x.letters, y.letters, need)
+            step = max(1, SCORED // (stop - start))
+            for at in range(begin, end, step):
+                i, j = np.nonzero(one[at : min(end, at + step)] @ other[start:stop].T >= bound - 0.5)
+                i, j = i + at, j + start
+                if right is None and start == begin:
+                    i, j = i[i < j], j[i < j]
+                if a <= 64 and b <= 64 and len(i):
+                    fits = np.concatenate([common(masks, coded, i[k : k + ALIGNED], j[k : k + ALIGNED], a, b) >= need for k in range(0, len(i), ALIGNED)])
+                    i, j = i[fits], j[fits]
+                pairs = ((x.texts[p], y.texts[q]) for p, q in zip(i.tolist(), j.tolist()))
+                last = None
+                for first, second in sorted(((p, q) if not ordered or p < q else (q, p) for p, q in pairs), key=lambda pair: pair[1]):
+                    if second != last:
+                        judge.set_seq2(second)
+                        last = second
+                    judge.set_seq1(first)
+                    ratio = judge.ratio()
+                    if ratio >= least:
+                        yield first, second, ratio
+
+
+def blocks(texts: DataFrame, sizes: list[int], within: bool, least: float, apart: int | None, initial: bool) -> DataFrame:
+    """All pairs of distinct texts, block by block: each text goes to the blocks of its row or column of a grid, and no task holds more than a block's sides."""
+    side = min(SIDE, max(1, math.isqrt(sizes[0] * sizes[-1] // CELLS)))
+    high, wide = (max(1, -(-n // side)) for n in (sizes[0], sizes[-1]))
+    high, wide = (min(g, max(1, n)) for g, n in ((high, sizes[0]), (wide, sizes[-1])))
+    own = F.pmod(F.xxhash64("text"), F.when(F.col("side") == 0, F.lit(high)).otherwise(F.lit(wide)))
+    if within:
+        dealt = texts.select("text", own.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("j"))
+        dealt = dealt.select((F.least("i", "j") * high + F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), "text")
+    else:
+        others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.lit(wide - 1)).otherwise(F.lit(high - 1)))).alias("j")
+        dealt = texts.select("text", "side", own.alias("i"), others)
+        dealt = dealt.select(F.when(F.col("side") == 0, F.col("i") * wide + F.col("j")).otherwise(F.col("j") * wide + F.col("i")).alias("cell"), (F.col("side") == 1).alias("second"), "text")
+
+    def run(cell: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        second = table.column("second").to_numpy()
+        whole = within and cell[0].as_py() // high == cell[0].as_py() % high
+        one, other = (table.filter(pa.array(m)).column("text").to_pylist() for m in (~second, second))
+        rows = list(compared(one, None if whole else other, within, least, apart, initial)) if one and (whole or other) else []
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.float64()))], ["a", "b", "ratio"])
+
+    tasks = min(2000, high * (high + 1) // 2 if within else high * wide)
+    return dealt.repartition(tasks, "cell").groupBy("cell").applyInArrow(run, "a string, b string, ratio double")
+
+
+def similar(left: DataFrame, right: DataFrame | None, least: float, apart: int | None = None, initial: bool = False) -> DataFrame:
     """(a, b, ratio): all texts of ``left`` and ``right`` (column text) whose sequence ratio is ``least`` or more, each pair of texts once.
 
     Without ``right`` the pairs a < b within ``left``. Repeated texts are one; null and empty ones pair with nothing. least is over 2/3.
-    The ratio is that of (a, b) in this order, without a rule for popular letters.
+    The ratio is that of (a, b) in this order, without a rule for popular letters. With ``apart`` lengths differ by so much at most; with
+    ``initial`` the first letters are equal.
 
     Exact: two such texts share a certain number of adjacent letter pairs, so if each keeps its rarest ones, all but that number less one,
-    they share a kept one. Texts meet by kept pairs only; lengths and letters in common are tested before the ratio is.
+    they share a kept one. Texts meet by kept pairs only; lengths and letters in common are tested before the ratio is. Where all texts are
+    made of few letter pairs (names of common syllables) so many would meet that all pairs are compared in blocks instead.
     """
     if not least > 2 / 3:
         raise ValueError("least must be over 2/3")
     texts = left.select(F.lit(0).alias("side"), "text")
     if right is not None:
         texts = texts.unionAll(right.select(F.lit(1).alias("side"), "text"))
-    listed = texts.where("text != ''").distinct().mapInArrow(lister(least), "side int, text string, n int, kept int, token string")
+    tables = Tables(left.sparkSession, "similar")
+    texts = tables.save(texts.where("text != ''").distinct(), "texts")
+    listed = texts.mapInArrow(lister(least), "side int, text string, n int, kept int, token string")
     rare = listed.groupBy("token").agg(F.count("*").alias("texts"))
     order = Window.partitionBy("side", "text").orderBy("texts", "token")
     kept = listed.join(rare, "token").withColumn("_n", F.row_number().over(order)).where("_n <= kept").select("side", "text", "n", "token")
+    kept = tables.save(kept, "kept")
+    sizes = {r["side"]: r["n"] for r in texts.groupBy("side").agg(F.count("*").alias("n")).collect()}  # one row of each side
+    counts = kept.groupBy("token").agg(*(F.count_if(F.col("side") == s).cast("double").alias(f"n{s}") for s in (0, 1)))
+    meet = counts.agg(F.sum(F.col("n0") * (F.col("n0") / 2 if right is None else F.col("n1")))).first()[0] or 0
+    ends = [sizes.get(0, 0), sizes.get(0 if right is None else 1, 0)]
+    if meet * DEARER > ends[0] * ends[1] / (2 if right is None else 1):
+        return blocks(texts, ends, right is None, least, apart, initial)
     a = kept.where("side = 0").select(F.col("text").alias("a"), F.col("n").alias("n_a"), "token")
     b = kept.where(F.lit(right is None) | (F.col("side") == 1)).select(F.col("text").alias("b"), F.col("n").alias("n_b"), "token")
     fits = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
+    if apart is not None:
+        fits &= F.abs(F.col("n_a") - F.col("n_b")) <= apart
+    if initial:
+        fits &= F.substring("a", 1, 1) == F.substring("b", 1, 1)
     met = a.join(b, "token").where(fits & (F.col("a") < F.col("b") if right is None else F.lit(True)))
     return met.select("a", "b").distinct().mapInArrow(verifier(least), "a string, b string, ratio double")

@@ -51,6 +51,31 @@ def test_shared_pairs_is_a_lower_bound():
             assert shared >= max(similar.shared_pairs(len(a), least), similar.shared_pairs(len(b), least))
 
 
+@pytest.mark.parametrize("dearer", [0, 10**9])
+def test_texts_that_meet_by_tokens_and_in_blocks_are_the_same(spark, monkeypatch, dearer):
+    monkeypatch.setattr(similar, "DEARER", dearer)
+    monkeypatch.setattr(similar, "SIDE", 40)
+    r = random.Random(7)
+    base = ["".join(r.choices("abcdefé1 😀", k=r.choice([1, 2, 5, 9, 14, 30, 70, 130]))) for _ in range(60)]
+    texts = sorted({*base, *(edited(r, t) for t in base for _ in range(2)), "aaa", "aaaaaaaa"} - {""})
+    some, rest = texts[::2], texts[::3]
+    for least in (0.7, 0.84):
+        left = spark.createDataFrame([(t,) for t in [*texts, *texts[:9], None, ""]], "text string")
+        got = [tuple(x) for x in similar.similar(left, None, least).collect()]
+        assert sorted(got) == [(a, b, v) for a in texts for b in texts if a < b and (v := ratio(a, b)) >= least]
+        both = similar.similar(spark.createDataFrame([(t,) for t in some], "text string"), spark.createDataFrame([(t,) for t in rest], "text string"), least, apart=2, initial=True)
+        assert sorted(tuple(x) for x in both.collect()) == [(a, b, v) for a in some for b in rest if a[0] == b[0] and abs(len(a) - len(b)) <= 2 and (v := ratio(a, b)) >= least]
+
+
+def test_names_of_common_syllables_are_not_joined_by_tokens(spark):
+    r = random.Random(3)
+    syllables = ["ber", "dal", "ez", "gu", "ham", "ko", "ley", "lo", "ma", "ni", "or", "ren", "son", "tan", "vic"]
+    names = sorted({"".join(r.choices(syllables, k=6)) for _ in range(400)})
+    found = similar.similar(spark.createDataFrame([(t,) for t in names], "text string"), None, 0.84)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(x) for x in found.collect()) == [(a, b, v) for a in names for b in names if a < b and (v := ratio(a, b)) >= 0.84]
+
+
 def test_joins_of_names_are_those_of_all_pairs(spark):
     d = "/root/testdata/sf0.001"
     clients = spark.read.parquet(f"{d}/clients.parquet").collect()
