@@ -44,15 +44,22 @@ def typo_matches(queries: DataFrame, aliases: DataFrame, least: float = 0.84, qu
     with the same first letter, at most two letters longer or shorter, and a ratio of ``least`` or more; of equal ones the first by place. A canonical name is
     taken once: not if the text mentions it, nor after an earlier word has taken it.
     """
+    from .ranking import top_k
+
     lowered = queries.select(query, F.lower(text).alias("_t"))
     names = aliases.select(F.lower("alias").alias("alias"), "canonical", "place")
     exact = dictionary.found(lowered, names, query, "_t", "alias").join(names, F.col("term") == F.col("alias")).select(query, "canonical").distinct()
     words = lowered.select(query, F.posexplode(F.regexp_extract_all("_t", F.lit(r"([a-z0-9\u0E01-\u0E59]+)"))).alias("start", "word"))
     words = words.where(~F.regexp_like("word", F.lit("^[0-9]+$")) & (F.length("word") >= 4))
     short = names.where((F.length("alias") >= 4) & ~F.contains(F.col("alias"), F.lit(" ")))
-    near = similar(words.select(F.col("word").alias("text")), short.select(F.col("alias").alias("text")), least)
-    near = near.where((F.abs(F.length("a") - F.length("b")) <= 2) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)))
-    met = words.join(near, F.col("word") == F.col("a")).join(short, F.col("b") == F.col("alias")).join(exact, [query, "canonical"], "left_anti")
+    near = similar(words.select(F.col("word").alias("text")), short.select(F.col("alias").alias("text")), least, apart=2, initial=True)
+    # of a word's near canonical names a text asks for one, besides those it mentions and those its other words take
+    best = top_k(near.join(short, F.col("b") == F.col("alias")), ["a", "canonical"], [F.desc("ratio"), F.asc("place"), F.asc("alias")], 1, "_n").drop("_n")
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), "place", "canonical", "alias")))
+    mentions = exact.groupBy(query).agg(F.count("*").alias("_mentions"))
+    asked = words.withColumn("_words", F.count("*").over(Window.partitionBy(query))).join(mentions, query, "left")
+    enough = F.col("_n") <= F.col("_words") + F.coalesce("_mentions", F.lit(0))
+    met = asked.join(best, (F.col("word") == F.col("a")) & enough).join(exact, [query, "canonical"], "left_anti")
     # what a word may take, best first; as few as there are aliases that near
     offers = met.groupBy(query, "start", "word").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("far"), "place", "canonical", "alias"))).alias("offers"))
 

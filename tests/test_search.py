@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import dictionary, nlp, similar, vectorindex
+from corvane.operators import dictionary, folds, nlp, similar, vectorindex
 from corvane.plans import shop
 
 
@@ -89,6 +89,21 @@ def test_joins_of_names_are_those_of_all_pairs(spark):
     assert sorted(tuple(x) for x in shop.typo_names(spark, d).collect()) == sorted(plain_typos([(c["client_id"], c["name"]) for c in clients], [(p, a, a.capitalize()) for a, p in place.items()], 0.7))
 
 
+@pytest.mark.parametrize("dearer", [0, 10**9])
+def test_a_word_is_offered_no_more_names_than_its_text_can_take(spark, monkeypatch, dearer):
+    monkeypatch.setattr(similar, "DEARER", dearer)
+    r = random.Random(5)
+    aliases = [(i, a, a[:5].capitalize()) for i, a in enumerate(sorted({"".join(r.choices(["ber", "dal", "gu", "ham"], k=3)) for _ in range(60)}))]
+    texts = [" ".join(edited(r, r.choice(aliases)[1]) if r.random() < 0.8 else r.choice(aliases)[1] for _ in range(r.randint(1, 5))) for _ in range(60)]
+    given = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), spark.createDataFrame(aliases, "place int, alias string, canonical string")
+    seen = []
+    monkeypatch.setattr(nlp, "folded", lambda rows, *rest: seen.append(rows) or folds.folded(rows, *rest))
+    got = [(x["query_id"], x["canonical"], x["word"], x["start"], round(x["score"], 6)) for x in nlp.typo_matches(*given, 0.7).collect()]
+    assert got and sorted(got) == sorted(plain_typos(list(enumerate(texts)), aliases, 0.7))
+    mentioned = lambda text: len({c for _, a, c in aliases if re.search(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])", text)})
+    assert all(len(x["offers"]) <= len(texts[x["query_id"]].split()) + len(re.findall("[^a-z0-9 ]", texts[x["query_id"]])) + mentioned(texts[x["query_id"]]) for x in seen[0].collect())
+
+
 def plain_typos(queries, aliases, least):
     """aliases: (place, alias, canonical)."""
     out = []
