@@ -6,7 +6,8 @@ blocks of a batch at once. Decoded samples are resampled by linear interpolation
 
 ``payload`` turns a text into bytes of whole blocks; mu-law samples keep any bytes as they are, so a
 stored payload is read back losslessly. Features come from the bytes read back: statistics of both
-companded readings, of the ADPCM reading and of the resampled PCM.
+companded readings and of the ADPCM reading from the media, checksum and digest from the resampled PCM,
+which is written beside them and read back in its turn.
 
 Null and empty texts give one block of filler. Equal bytes give equal values, and repeated rows one
 row each; an empty table gives none. Texts are worked through in runs of blocks, whatever their length.
@@ -18,11 +19,12 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import Workspace, texts
@@ -43,6 +45,8 @@ STEPS = np.array(
 )
 #: Blocks decoded at once.
 AT_ONCE = 4096
+#: Parts in which the PCM form is written, read back and given up: it takes twice the room of compressed media.
+PARTS = 3
 
 
 @cache
@@ -239,10 +243,13 @@ def decoded(media: DataFrame, to: int = 16_000) -> DataFrame:
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 FEATURES_ARROW = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in FEATURES.split(", ")])
+#: What the media alone give, and the PCM form made from them.
+MEASURED_ARROW = pa.schema([*list(FEATURES_ARROW)[:-2], ("pcm", pa.binary())])
+MEASURED = FEATURES.rsplit(", ", 2)[0] + ", pcm binary"
 
 
-def described(group: list[bytes]) -> list[tuple[str, int, str]]:
-    """(features, bytes and SHA-256 of the resampled PCM form) of stored forms; the blocks of all of them are decoded together."""
+def described(group: list[bytes]) -> list[tuple[str, bytes]]:
+    """(features, resampled PCM form) of stored forms; the blocks of all of them are decoded together."""
     data = [opened(m)[3] for m in group]
     blocks = [len(d) // BLOCK for d in data]
     every = np.frombuffer(b"".join(data), np.uint8).reshape(-1, BLOCK)
@@ -257,17 +264,16 @@ def described(group: list[bytes]) -> list[tuple[str, int, str]]:
     for i, m in enumerate(group):
         x, rate = samples(m)
         y = alaw()[np.frombuffer(data[i], np.uint8)]
-        counts, halves = np.bincount(np.frombuffer(data[i], np.uint8), minlength=256), resampled(x, rate, 2 * rate)
+        counts = np.bincount(np.frombuffer(data[i], np.uint8), minlength=256)
         u, a = mulaw().astype(np.int64), alaw().astype(np.int64)
         crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-        pcm = riff(PCM, halves.astype("<i2").tobytes(), 2 * rate)
-        feature = f"seconds={len(x) / rate:.3f};mulaw_power={int(counts @ (u * u)) // len(x)};alaw_power={int(counts @ (a * a)) // len(y)};crossings={crossings};adpcm_mean={total[i] // (blocks[i] * (2 * (BLOCK - 4) + 1))};adpcm_peak={peak[i]};pcm_crc32={zlib.crc32(pcm[44:])}"
-        out.append((feature, len(pcm), hashlib.sha256(pcm).hexdigest()))
+        feature = f"seconds={len(x) / rate:.3f};mulaw_power={int(counts @ (u * u)) // len(x)};alaw_power={int(counts @ (a * a)) // len(y)};crossings={crossings};adpcm_mean={total[i] // (blocks[i] * (2 * (BLOCK - 4) + 1))};adpcm_peak={peak[i]}"
+        out.append((feature, riff(PCM, resampled(x, rate, 2 * rate).astype("<i2").tobytes(), 2 * rate)))
     return out
 
 
-def features(media: DataFrame) -> DataFrame:
-    """FEATURES from the stored bytes read back, with digests of the PCM form that ``decoded`` stores."""
+def measured(media: DataFrame) -> DataFrame:
+    """MEASURED from stored media: what they give, and their resampled PCM form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +288,32 @@ def features(media: DataFrame) -> DataFrame:
                 data = [opened(m)[3] for m in group]
                 rows = [(len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-32:]), len(m), hashlib.sha256(m).hexdigest(), *f) for d, m, f in zip(data, group, described(group))]
                 part = batch.slice(begin, at - begin)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*rows), FEATURES_ARROW.types[2:]))], schema=FEATURES_ARROW)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*rows), MEASURED_ARROW.types[2:]))], schema=MEASURED_ARROW)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, MEASURED)
+
+
+def digested(stored_pcm: DataFrame) -> DataFrame:
+    """FEATURES from rows of MEASURED whose PCM form has been read back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for feature, form in zip(batch.column(7).to_pylist(), batch.column(8)):
+                pcm = form.as_py()
+                rows.append((f"{feature};pcm_crc32={zlib.crc32(opened(pcm)[3])}", len(pcm), hashlib.sha256(pcm).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], *(pa.array(list(c), t) for c, t in zip(zip(*rows), FEATURES_ARROW.types[7:]))], schema=FEATURES_ARROW)
+
+    return stored_pcm.mapInArrow(run, FEATURES)
+
+
+def features(media: DataFrame, parts: int = PARTS) -> DataFrame:
+    """FEATURES from the stored bytes read back. The PCM form of a part of the media is written, read back and given up before the next one's; ``decoded`` keeps it."""
+    space, out = Workspace(media.sparkSession, "pcm"), []
+    for part in range(parts):
+        own = media.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part)
+        pcm = space.save(measured(own), f"pcm{part}", "zstd")
+        out.append(space.save(digested(pcm), f"features{part}"))
+        space.drop(f"pcm{part}")
+    return reduce(DataFrame.unionAll, out)

@@ -332,6 +332,27 @@ def test_payload_survives_and_equal_texts_are_equal(odd, none):
     assert rows(audio.features(audio.encode(none))) == []
 
 
+def test_the_pcm_form_is_stored_and_read_back(spark, monkeypatch):
+    saved, given = {}, []
+    save, drop = audio.Workspace.save, audio.Workspace.drop
+
+    def kept(self, df, name, compression=None):
+        out = save(self, df, name, compression)
+        if "pcm" in out.columns:
+            saved.update({r["doc_id"]: bytes(r["pcm"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(audio.Workspace, "save", kept)
+    monkeypatch.setattr(audio.Workspace, "drop", lambda self, name: given.append(name) or drop(self, name))
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(40)] + [(None, "x"), (50, None), (3, "again")], "doc_id long, text string")
+    media = audio.kept(docs)
+    got = rows(audio.features(media))
+    assert len(got) == 43 and len(given) == audio.PARTS and {r["doc_id"] for r in got} == set(saved)
+    forms = {(r["doc_id"], audio.store_pcm(bytes(r["media"]))) for r in rows(media)}
+    assert all(f in forms for f in saved.items())
+    assert {(r["doc_id"], r["pcm_sha256"]) for r in got} == {(i, hashlib.sha256(f).hexdigest()) for i, f in forms}
+
+
 def test_companding_tables_and_adpcm():
     u, a = audio.mulaw(), audio.alaw()
     assert (u[0xFF], u[0x7F], u[0x00], u[0x80]) == (0, 0, -32124, 32124)
