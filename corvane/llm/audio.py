@@ -221,7 +221,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                raw = texts(part)
+                raw = list(texts(part))
                 media = [riff(MULAW, payload(t)) for t in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], schema=schema)
 

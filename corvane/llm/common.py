@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 #: Rows of a batch that a Python operator returns at once.
 OUT_ROWS = 20_000
 
+#: Texts of a batch that are copied at once.
+TEXTS = 500
+
+#: By operator, what empties the caches that a Python worker keeps between tasks.
+CACHES: dict[str, Callable[[], None]] = {}
+
 #: The white space that separates words, as code points.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
@@ -72,10 +78,19 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """UTF-8 bytes of a string column; null is empty."""
+def serving(operator: str) -> None:
+    """A worker serves one operator after another: as a task of one begins, the caches of the others are emptied."""
+    for name, clear in CACHES.items():
+        if name != operator:
+            clear()
+
+
+def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, TEXTS rows at a time; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))
-    return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
+    column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
+    for at in range(0, len(column), TEXTS):
+        yield from (x or b"" for x in column.slice(at, TEXTS).to_pylist())
 
 
 def words(text: bytes) -> list[bytes]:

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, emitted, texts
+from .common import Workspace, emitted, serving, texts
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, WHOLE = 0.55, 0.4, 0.4, 0.5
@@ -291,6 +291,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for turn, (group, more) in enumerate(indexes(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            serving("decontaminate")
+
             def rows() -> Iterator[tuple]:
                 for batch in batches:
                     for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
@@ -316,6 +318,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     for turn, (group, more) in enumerate(indexes(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
+            serving("decontaminate")
             for batch in batches:
                 own = (split(text) for text in texts(batch, text_col))
                 yield batch.filter(pa.array([not any(search(shared.value, words) for shared in group) for words in own], pa.bool_()))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import free, sampled, texts
+from .common import free, sampled, serving, texts
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("langid")
         for batch in batches:
             got = [predict(shared.value, t) for t in texts(batch, text_col)]
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]

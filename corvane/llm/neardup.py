@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, emitted, texts, words
+from .common import CACHES, Workspace, emitted, serving, texts, words
 
 #: Sets below SMALL are found by hash partitions (up to TINY by the exact prefix), the others by runs of RUN retained values.
 TINY, SMALL, RUN, K = 10, 48, 3, 40
@@ -48,7 +48,7 @@ DIFFER = 26
 BLOCK_ROWS, BLOCK_VALUES = 1500, 1_500_000
 #: Rows that may be sent to every task: ids and digests, about 10 MB; row numbers alone, about 25 MB.
 SENT, SENT_NUMBERS = 200_000, 1_000_000
-#: Cached words of a worker.
+#: Cached words of a task; a worker keeps none between tasks.
 CACHED = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -64,6 +64,14 @@ class Hashes(dict):
 KNOWN = Hashes()
 
 
+def forget() -> None:
+    """Called by name from tasks, which would else empty a copy of KNOWN."""
+    KNOWN.clear()
+
+
+CACHES["neardup"] = forget
+
+
 def scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX[3]
     h = (h ^ (h >> np.uint64(29))) * MIX[4]
@@ -125,6 +133,7 @@ SKETCHED_ARROW = pa.schema([(x, pa.int64()) for x in ("doc_id", "row", "n")] + [
 
 def sketcher(n: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("neardup")
         row = TaskContext.get().partitionId() << 40
 
         def rows() -> Iterator[tuple]:
@@ -138,6 +147,7 @@ def sketcher(n: int, threshold: tuple[int, int]):
                     yield doc_id, number, len(s), digest, *(signature(s) if len(s) else (0, 0)), s[:K].view(np.int64).tolist(), keys(s, threshold)
 
         yield from emitted(rows(), SKETCHED_ARROW, 2_000)
+        forget()
 
     return run
 
@@ -149,6 +159,8 @@ def setter(n: int):
     """Full sets of the rows whose set has the wanted digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("neardup")
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for digest, text in zip(batch.column(0).to_pylist(), texts(batch)):
@@ -157,6 +169,7 @@ def setter(n: int):
                         yield digest, s
 
         yield from emitted(rows(), SETS, 500)
+        forget()
 
     return run
 
@@ -165,6 +178,8 @@ def own_setter(n: int):
     """Full sets of all rows, with their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("neardup")
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for text in texts(batch):
@@ -172,6 +187,7 @@ def own_setter(n: int):
                         yield xxhash.xxh3_128_digest(s), s
 
         yield from emitted(rows(), SETS, 500)
+        forget()
 
     return run
 
@@ -220,6 +236,8 @@ def linker(threshold: tuple[int, int]):
     """Over rows sorted by unit (family, i, j): the spanning links of each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("neardup")
+
         def rows() -> Iterator[tuple]:
             unit, members = None, []
             for batch in batches:

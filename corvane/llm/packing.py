@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import emitted
+from .common import CACHES, emitted, serving
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -127,6 +127,9 @@ def tokenizer(vocabulary: str, ranks: str | None) -> Tokenizer:
     return Tokenizer(vocabulary, ranks)
 
 
+CACHES["packing"] = tokenizer.cache_clear
+
+
 def differencing(sizes: list[int], windows: int) -> list[tuple[int, tuple]]:
     """Karmarkar-Karp over ``windows`` parts: (sum, tree of indices) for each part that isn't empty."""
     heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
@@ -178,6 +181,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def packer(vocabulary: str, ranks: str | None, capacity: int, piece: int, pool: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serving("packing")
         encode = tokenizer(vocabulary, ranks).encode
         first = TaskContext.get().partitionId() << 32
         end = np.array([END_ID], "<u4").tobytes()

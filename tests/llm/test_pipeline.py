@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
-from corvane.llm import decontaminate, secrets
+from corvane.llm import decontaminate, neardup, packing, queries, secrets
 
 from .test_operators import brute_groups, rows, some
 
@@ -68,3 +70,18 @@ def test_rows_of_null_and_repeated_ids_are_told_apart(spark):
     few = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
     got = [(r["doc_id"], r["text"]) for r in rows(stages["decontamination"](spark, few, SF))]
     assert sorted(got, key=str) == sorted([(None, other), (7, third), (8, None), (8, None)], key=str)
+
+
+def test_a_worker_keeps_no_caches_of_stages_that_are_over(spark):
+    packing.tokenizer(queries.VOCABULARY, queries.RANKS).encode("words of a stage before")
+    texts = pa.array([f"{some(i, 60)} {i}" for i in range(1200)])
+    digests = pa.array([neardup.xxhash.xxh3_128_digest(neardup.shingles(t.as_py().encode(), 5).tobytes()) for t in texts], pa.binary())
+    sets = list(neardup.setter(5)(iter([pa.RecordBatch.from_arrays([digests, texts], ["digest", "text"])])))
+    assert sum(b.num_rows for b in sets) == 1200 and not neardup.KNOWN and not packing.tokenizer.cache_info().currsize
+
+    def held(batches):  # in the workers, after tasks of the operator
+        yield pa.RecordBatch.from_arrays([pa.array([len(neardup.KNOWN)])], ["held"])
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert docs.mapInArrow(neardup.sketcher(5, (80, 100)), neardup.SKETCHED).count() == docs.count()
+    assert {r["held"] for r in spark.range(0, 8, 1, 8).mapInArrow(held, "held long").collect()} == {0}
