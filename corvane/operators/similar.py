@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -18,12 +19,18 @@ from .stored import Tables
 OUT_ROWS = 20_000
 #: Pairs that a block compares in the time of one pair that meets by a token.
 DEARER = 200
+#: Texts that tell whether a large table's would meet too often.
+ASKED = 20_000
 #: Texts of a block's side at the most, and the blocks that small tables are cut into.
-SIDE, CELLS = 20_000, 128
-#: Buckets of tokens (a bucket's product is at least what two texts share in it) and of letters.
-TOKENS, LETTERS = 128, 64
-#: Pairs scored, and pairs aligned, at once.
-SCORED, ALIGNED = 1 << 22, 1 << 17
+SIDE, CELLS = 65_536, 128
+#: Columns of letters (a column's product is at least what two texts share in it) and bits of letter pairs.
+LETTERS, BITS = 64, 256
+#: Most kinds that letters are put together to, the letters told apart, texts that are asked for it, and texts of equal counts that are worth a run.
+KINDS, COMMON, SOME, RUN = 6, 40, 4000, 25
+#: Texts sent to their blocks at once.
+DEALT = 1000
+#: Texts whose near ones are looked up together; pairs scored, and pairs aligned, at once.
+TILE, SCORED, ALIGNED = 48, 1 << 20, 1 << 15
 
 
 def shared_pairs(n: int, least: float) -> int:
@@ -88,123 +95,357 @@ def matched(a: int, b: int, least: float) -> int:
     return math.ceil(least * (a + b) / 2 - 1e-9)
 
 
-class Side:
-    """Texts in order of initial (if asked) and length, with their letters, their letter pairs and what alignment needs."""
+class Letters:
+    """Letters of texts, one after the other: text, place in it and code point of each."""
 
-    def __init__(self, texts: list[str], initial: bool):
-        self.texts = sorted(texts, key=lambda t: (t[0] if initial else "", len(t)))
-        self.n = np.array([len(t) for t in self.texts], np.int64)
-        self.points = np.frombuffer("".join(self.texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.texts)), self.n)
+    def __init__(self, texts: list[str]):
+        self.n = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.row = np.repeat(np.arange(len(texts)), self.n)
         self.at = np.arange(len(self.row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+
+    def counts(self, kinds: dict[int, int], width: int) -> np.ndarray:
+        """Letters of each kind in each text; those that have none are of kind 0."""
+        known = np.array(sorted(kinds) or [0], np.int64)
+        place = np.minimum(np.searchsorted(known, self.points), len(known) - 1)
+        kind = np.where(known[place] == self.points, np.array([kinds.get(k, 0) for k in known.tolist()])[place], 0)
+        return np.bincount(self.row * width + kind, minlength=len(self.n) * width).reshape(len(self.n), width)
+
+
+def numbered(row: np.ndarray, token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token with its number among equal ones of the text), for tokens of so many bits; numbers from 15 on are one."""
+    key = np.sort(row << bits | token)
+    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    number = np.arange(len(key)) - np.repeat(fresh, np.diff(np.r_[fresh, len(key)]))
+    return key >> bits, (key & ((1 << bits) - 1)) << 4 | np.minimum(number, 15)
+
+
+def mixed(token: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of so many bits."""
+    with np.errstate(over="ignore"):
+        h = token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (((h ^ h >> np.uint64(29)) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Side:
+    """Texts in order of initial (if asked) and counts of letter kinds, with what their comparison needs."""
+
+    def __init__(self, texts: list[str], initial: bool, kinds: dict[int, int]):
+        letters = Letters(texts)
+        marks = letters.counts(kinds, 1 + max(kinds.values(), default=0))
+        first = letters.points[letters.at == 0]
+        marks = np.column_stack([first if initial else np.zeros_like(first), marks])
+        order = np.lexsort(marks.T[::-1])
+        self.texts, marks = [texts[k] for k in order.tolist()], marks[order]
+        letters = Letters(self.texts)
+        self.n, self.points, self.row, self.at = letters.n, letters.points, letters.row, letters.at
+        #: Where each run of equal marks begins, where the last ends, and the marks of each.
+        self.edges = np.r_[np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)]), len(marks)]
+        self.marks = marks[self.edges[:-1]]
+        self.lengths = self.marks[:, 1:].sum(1)
+        self.tokens = numbered(self.row, self.points, 21)
+        #: Adjacent letter pairs as bits: a bit of one text that another lacks is a pair that it lacks.
         same = self.row[1:] == self.row[:-1]
-        self.pairs = self.buckets(self.row[1:][same], (self.points[:-1] << 21 | self.points[1:])[same])
-        self.letters = self.buckets(self.row, self.points)
-        self.runs: dict[str, list[tuple[int, int, int]]] = {}
-        marks = [(t[0] if initial else "", len(t)) for t in self.texts]
-        edges = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
-        for begin, end in zip(edges, edges[1:]):
-            self.runs.setdefault(marks[begin][0], []).append((begin, end, marks[begin][1]))
-
-    def buckets(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """How many tokens of each text fall in each bucket; equal tokens of a text are numbered."""
-        order = np.lexsort((token, row))
-        row, token = row[order], token[order]
-        fresh = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (token[1:] != token[:-1])][: len(row)])
-        number = np.arange(len(row)) - np.repeat(fresh, np.diff(np.r_[fresh, len(row)]))
-        with np.errstate(over="ignore"):
-            mixed = (token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            place = (mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(57)
-        return np.bincount(row * TOKENS + place.astype(np.int64), minlength=len(self.texts) * TOKENS).reshape(-1, TOKENS).astype(np.float32)
+        row, token = numbered(self.row[1:][same], mixed(self.points[:-1] << 21 | self.points[1:], 30)[same], 30)
+        place = mixed(token, 8)
+        self.bits = np.zeros((BITS // 64, len(self.texts)), np.uint64)
+        np.bitwise_or.at(self.bits, (place >> 6, row), np.uint64(1) << (place & 63).astype(np.uint64))
+        self.ones = np.bitwise_count(self.bits).sum(0, dtype=np.int64)
+
+    def held(self, columns: np.ndarray) -> np.ndarray:
+        """How many tokens of each text fall in each column; the common ones have their own, others share the last."""
+        row, token = self.tokens
+        place = np.minimum(np.searchsorted(columns, token), len(columns) - 1)
+        place = np.where(columns[place] == token, place, len(columns))
+        return np.bincount(row * (LETTERS - 2) + place, minlength=len(self.texts) * (LETTERS - 2)).reshape(-1, LETTERS - 2).astype(np.float32)
 
     def coded(self, alphabet: np.ndarray) -> np.ndarray:
-        """The bucket of each letter, text by place, at most 64 places; LETTERS where there is none."""
-        out = np.full((len(self.texts), 64), LETTERS, np.int64)
-        near = self.at < 64
-        out[self.row[near], self.at[near]] = np.searchsorted(alphabet, self.points[near]) % LETTERS
+        """The number of each letter, text by place, at most 64 places; -1 where there is none."""
+        out = np.full((len(self.texts), min(64, int(self.n.max(initial=1)))), -1, np.int32)
+        near = self.at < out.shape[1]
+        out[self.row[near], self.at[near]] = np.searchsorted(alphabet, self.points[near])
         return out
 
-    def masks(self, coded: np.ndarray) -> np.ndarray:
-        """Text by bucket: the places of its letters as bits."""
-        out = np.zeros((len(self.texts), LETTERS + 1), np.uint64)
-        rows = np.arange(len(self.texts))
-        for place in range(min(64, int(self.n.max(initial=0)))):
-            out[rows, coded[:, place]] |= np.uint64(1 << place)
-        out[:, LETTERS] = 0
-        return out
 
+def masks(coded: np.ndarray) -> np.ndarray:
+    """Text by bucket: the places of its letters as bits; the last bucket is empty."""
+    out = np.zeros((len(coded), 65), np.uint64)
+    rows = np.arange(len(coded))
+    for place in range(coded.shape[1]):
+        out[rows, np.where(coded[:, place] < 0, 64, coded[:, place] % 64)] |= np.uint64(1 << place)
+    out[:, 64] = 0
+    return out
+
+
+def common(held: tuple[np.ndarray, np.ndarray], n: np.ndarray, coded: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of buckets, of texts with masks and of coded ones, n and m letters: never less than that of letters.
 
-def common(masks: np.ndarray, coded: np.ndarray, i: np.ndarray, j: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Length of the longest common subsequence of buckets, of texts i of a letters and j of b: never less than that of letters."""
-    held = np.full(len(i), np.uint64(0xFFFFFFFFFFFFFFFF))
+    ``held`` is the masks of all texts in one line and the first of each pair's; coded texts are in order of length, the longest first.
+    """
+    flat, first = held
+    left = np.full(len(n), np.uint64(0xFFFFFFFFFFFFFFFF))
+    until = np.searchsorted(-m, -np.arange(coded.shape[1]), "left")
     with np.errstate(over="ignore"):
-        for place in range(b):
-            met = held & masks[i, coded[j, place]]
-            held = (held + met) | (held - met)
-    return np.bitwise_count(~held & np.uint64((1 << a) - 1))
+        for place, some in enumerate(until.tolist()):
+            if not some:
+                break
+            now = left[:some]
+            met = now & flat[first[:some] + coded[:some, place] % 64]
+            left[:some] = (now + met) | (now - met)
+    return np.bitwise_count(~left & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - n).astype(np.uint64))).astype(np.int64)
+
 
+def gestalt(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Matched letters of each pair of coded texts of n and m letters, as SequenceMatcher counts them.
 
-def compared(left: list[str], right: list[str] | None, ordered: bool, least: float, apart: int | None, initial: bool) -> Iterator[tuple[str, str, float]]:
+    The longest block in common, the first of such in a, then in b; then the same left and right of it.
+    """
+    total = np.zeros(len(a), np.int64)
+    pair, lo, hi, low, high = np.arange(len(a)), np.zeros_like(n), n, np.zeros_like(m), m
+    places = np.arange(b.shape[1])[:, None]
+    while len(pair):
+        x, y = np.ascontiguousarray(a[pair].T), np.ascontiguousarray(b[pair].T)
+        y = np.where((places >= low) & (places < high), y, -2)
+        run = np.zeros((len(places), len(pair)), np.int8)
+        size, one, two = np.zeros(len(pair), np.int8), np.zeros_like(lo), np.zeros_like(lo)
+        for p in range(int(lo.min()), int(hi.max())):
+            grown = np.ones_like(run)
+            grown[1:] += run[:-1]
+            run = grown * ((y == x[p]) & (p >= lo) & (p < hi))
+            best = run.argmax(0)
+            longest = np.take_along_axis(run, best[None], 0)[0]
+            more = longest > size
+            size[more], one[more], two[more] = longest[more], p + 1 - longest[more], best[more] + 1 - longest[more]
+        hit = size > 0
+        pair, lo, hi, low, high, size, one, two = (v[hit] for v in (pair, lo, hi, low, high, size.astype(np.int64), one, two))
+        np.add.at(total, pair, size)
+        pair, lo, hi, low, high = np.r_[pair, pair], np.r_[lo, one + size], np.r_[one, hi], np.r_[low, two + size], np.r_[two, high]
+        rest = (lo < hi) & (low < high)
+        pair, lo, hi, low, high = (v[rest] for v in (pair, lo, hi, low, high))
+    return total
+
+
+def compared(left: list[str], right: list[str] | None, ordered: bool, least: float, apart: int | None, initial: bool, kinds: dict[int, int] = {}) -> Iterator[tuple[list[str], list[str], list[float]]]:
     """(a, b, ratio) of the pairs of a block. Without ``right`` those within ``left``; ``ordered``: a is the smaller text.
 
-    Shared letter pairs, or letters where few pairs need be shared, are bounded by matrix products, matched letters by the longest common subsequence.
+    Texts a, b that match m letters are apart by a + b - 2m letters; counts of letter kinds differ by that at most. Runs of texts of near
+    counts are compared by a matrix product, the letters in common; then pairs in common, the longest common subsequence, and the ratio.
     """
-    x = Side(left, initial)
-    y = x if right is None else Side(right, initial)
+    x = Side(left, initial, kinds)
+    y = x if right is None else Side(right, initial, kinds)
+    tokens, often = np.unique(np.concatenate([x.tokens[1], y.tokens[1]]), return_counts=True)
+    columns = np.sort(tokens[np.argsort(-often, kind="stable")[: LETTERS - 3]])
+    one, other = (np.column_stack([s.held(columns), *end]) for s, end in ((x, (-least / 2 * x.n, np.ones(len(x.n)))), (y, (np.ones(len(y.n)), -least / 2 * y.n))))
+    one, other = one.astype(np.float32), other.astype(np.float32)
     alphabet = np.unique(np.concatenate([x.points, y.points]))
-    masks, coded = x.masks(x.coded(alphabet)), y.coded(alphabet)
-    judge = SequenceMatcher(None, "", "", autojunk=False)
-    for mark, runs in x.runs.items():
-        for (begin, end, a), (start, stop, b) in ((one, other) for one in runs for other in y.runs.get(mark, ())):
-            if (right is None and start < begin) or 2 * min(a, b) < least * (a + b) - 1e-9 or (apart is not None and abs(a - b) > apart):
-                continue
-            need = matched(a, b, least)
-            shared = 3 * need - a - b - 1
-            one, other, bound = (x.pairs, y.pairs, shared) if shared >= 4 else (x.letters, y.letters, need)
-            step = max(1, SCORED // (stop - start))
-            for at in range(begin, end, step):
-                i, j = np.nonzero(one[at : min(end, at + step)] @ other[start:stop].T >= bound - 0.5)
-                i, j = i + at, j + start
-                if right is None and start == begin:
-                    i, j = i[i < j], j[i < j]
-                if a <= 64 and b <= 64 and len(i):
-                    fits = np.concatenate([common(masks, coded, i[k : k + ALIGNED], j[k : k + ALIGNED], a, b) >= need for k in range(0, len(i), ALIGNED)])
-                    i, j = i[fits], j[fits]
-                pairs = ((x.texts[p], y.texts[q]) for p, q in zip(i.tolist(), j.tolist()))
-                last = None
-                for first, second in sorted(((p, q) if not ordered or p < q else (q, p) for p, q in pairs), key=lambda pair: pair[1]):
-                    if second != last:
-                        judge.set_seq2(second)
-                        last = second
-                    judge.set_seq1(first)
-                    ratio = judge.ratio()
-                    if ratio >= least:
-                        yield first, second, ratio
+    coded, codes = x.coded(alphabet), y.coded(alphabet)
+    places = masks(coded)
+    held: list[tuple] = []
+    aligned: list[tuple] = []
+    needs = np.ceil(least * np.arange(int(x.n.max() + y.n.max()) + 1) / 2 - 1e-9).astype(np.int64)
+    slack = 0.01 + 1e-6 * float(x.n.max() + y.n.max())
+    run = 0
+    while run < len(x.marks):
+        until = run + 1  # small runs are taken together
+        while until < len(x.marks) and x.edges[until + 1] - x.edges[run] <= TILE and x.marks[until, 0] == x.marks[run, 0]:
+            until += 1
+        low, high = x.marks[run:until].min(0), x.marks[run:until].max(0)
+        shortest, longest = x.lengths[run:until].min(), x.lengths[run:until].max()
+        off = np.maximum(np.maximum(low - y.marks, y.marks - high), 0)[:, 1:].sum(1)
+        near = (off <= (1 - least) * (longest + y.lengths) + 1e-9) & (y.marks[:, 0] == low[0])
+        if until == run + 1:
+            near &= off <= longest + y.lengths - 2 * np.ceil(least * (longest + y.lengths) / 2 - 1e-9)
+        if apart is not None:
+            near &= (y.lengths >= shortest - apart) & (y.lengths <= longest + apart)
+        if right is None:
+            near[:run] = False
+        begin, end = x.edges[run], x.edges[until]
+        run = until
+        rows = np.flatnonzero(np.repeat(near, np.diff(y.edges)))
+        if not len(rows):
+            continue
+        facing = np.ascontiguousarray(other[rows])
+        step = max(1, SCORED // len(rows))
+        for at in range(begin, end, step):
+            found = np.flatnonzero((one[at : min(end, at + step)] @ facing.T).ravel() >= -slack)
+            i, j = found // len(rows) + at, rows[found % len(rows)]
+            if right is None:
+                i, j = i[i < j], j[i < j]
+            n, m = x.n[i], y.n[j]
+            need = needs[n + m]
+            lacks = sum(np.bitwise_count(p[i] & ~q[j]).astype(np.int64) for p, q in zip(x.bits, y.bits))
+            fits = (lacks <= 2 * n + m - 3 * need) & (lacks + y.ones[j] - x.ones[i] <= 2 * m + n - 3 * need) & (need <= np.minimum(n, m))
+            if apart is not None:
+                fits &= np.abs(n - m) <= apart
+            held.append((i[fits], j[fits], need[fits]))
+            if sum(len(h[0]) for h in held) >= ALIGNED:
+                aligned.append(fitting(x, y, *map(np.concatenate, zip(*held)), codes, places))
+                held = []
+            if sum(len(h[0]) for h in aligned) >= ALIGNED:
+                yield scored(x, y, *map(np.concatenate, zip(*aligned)), coded, codes, ordered, least)
+                aligned = []
+    if held:
+        aligned.append(fitting(x, y, *map(np.concatenate, zip(*held)), codes, places))
+    if aligned:
+        yield scored(x, y, *map(np.concatenate, zip(*aligned)), coded, codes, ordered, least)
+
+
+def fitting(x: Side, y: Side, i: np.ndarray, j: np.ndarray, need: np.ndarray, codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs i, j that may match so many letters in common order; longer texts than 64 letters stay."""
+    fits = np.ones(len(i), bool)
+    for k in range(0, len(i), ALIGNED):
+        short = k + np.flatnonzero((x.n[i[k : k + ALIGNED]] <= 64) & (y.n[j[k : k + ALIGNED]] <= 64))
+        short = short[np.argsort(-y.n[j[short]], kind="stable")]
+        fits[short] = common((places.ravel(), i[short] * places.shape[1]), x.n[i[short]], codes[j[short]], y.n[j[short]]) >= need[short]
+    return i[fits], j[fits]
+
+
+def scored(x: Side, y: Side, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, ordered: bool, least: float) -> tuple[list[str], list[str], list[float]]:
+    """Those of the pairs i, j whose ratio is ``least`` or more."""
+    short = (x.n[i] <= 64) & (y.n[j] <= 64)
+    first, second = [x.texts[k] for k in i.tolist()], [y.texts[k] for k in j.tolist()]
+    turned = np.array([ordered and p > q for p, q in zip(first, second)], bool)
+    first, second = [q if t else p for p, q, t in zip(first, second, turned)], [p if t else q for p, q, t in zip(first, second, turned)]
+    ratio = np.zeros(len(i))
+    for way, (p, q, s, t) in ((False, (a, b, i, j)), (True, (b, a, j, i))):
+        these = np.flatnonzero(short & (turned == way))
+        s, t = s[these], t[these]
+        n, m = (x.n[s], y.n[t]) if not way else (y.n[s], x.n[t])
+        ratio[these] = 2.0 * gestalt(p[s], q[t], n, m) / (n + m)
+    for k in np.flatnonzero(~short).tolist():
+        ratio[k] = SequenceMatcher(None, first[k], second[k], autojunk=False).ratio()
+    kept = np.flatnonzero(ratio >= least).tolist()
+    return [first[k] for k in kept], [second[k] for k in kept], ratio[kept].tolist()
+
+
+def packed(texts: pa.Array, kinds: dict[int, int], width: int) -> np.ndarray:
+    """Counts of letter kinds as one number a text, in the order of the counts; those over 1,023 are equal."""
+    counts = np.minimum(Letters(texts.to_pylist()).counts(kinds, width), 1023)
+    return (counts << np.arange(10 * width - 10, -1, -10)).sum(1)
+
+
+def merged_kinds(some: list[str]) -> list[dict[int, int]]:
+    """Kinds of the common letters of some texts, one for each number of kinds from 1: letters whose counts seldom cancel out are of one kind."""
+    letters = Letters(some)
+    points, often = np.unique(letters.points, return_counts=True)
+    points = np.sort(points[np.argsort(-often, kind="stable")[:COMMON]])
+    counts = letters.counts({p: k for k, p in enumerate(points.tolist())}, max(1, len(points))).astype(np.float32)
+    half = len(some) // 2
+    off = (counts[:half] - counts[half : 2 * half]).T  # a row for each kind: how far texts of a pair are apart in it
+    groups = [[p] for p in points.tolist()]
+    found = []
+    while True:
+        if len(groups) <= KINDS:
+            found.append({p: k for k, group in enumerate(groups) for p in group})
+        if len(groups) <= 1:
+            return found[::-1]
+        apart = np.abs(off).sum(1)
+        losses = [apart[k] + apart[k + 1 :] - np.abs(off[k] + off[k + 1 :]).sum(1) for k in range(len(groups) - 1)]
+        one = min(range(len(losses)), key=lambda k: losses[k].min())
+        other = one + 1 + int(losses[one].argmin())
+        off[one] += off[other]
+        off, groups[one] = np.delete(off, other, 0), groups[one] + groups.pop(other)
+
+
+def letter_kinds(texts: DataFrame, n: int) -> tuple[dict[int, int], int, list[tuple[int, int]]]:
+    """(kind of each common letter, how many kinds, texts of each packed counts): as many kinds as leave RUN texts to equal counts.
+
+    Some texts decide only how letters are put together; whichever way that is, the same pairs are found.
+    """
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(0)), F.lit(max(1, n // SOME))) == 0).select("text").limit(2 * SOME).collect()
+    dealt = merged_kinds([r["text"] for r in some])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(packed(batch.column(0), kinds, k + 1)) for k, kinds in enumerate(dealt)], [f"k{k}" for k in range(len(dealt))])
+
+    every = texts.select("text").mapInArrow(counts, ", ".join(f"k{k} long" for k in range(len(dealt))))
+    different = every.agg(*(F.approx_count_distinct(f"k{k}") for k in range(len(dealt)))).first()
+    width = max((k + 1 for k in range(len(dealt)) if different[k] * RUN <= n), default=1)
+    sizes = every.groupBy(F.col(f"k{width - 1}").alias("counts")).agg(F.count("*").alias("n")).orderBy("counts").collect()  # n / RUN rows or so
+    return dealt[width - 1], width, [(r["counts"], r["n"]) for r in sizes]
+
+
+def ranges(sizes: list[tuple[int, int]], width: int, side: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed counts cut into ranges of about ``side`` texts: (first of each, its number, its parts where one is larger, which numbers may hold similar texts)."""
+    starts, held, low, high, parts = [], [], [], [], []
+    for code, n in sizes:
+        counts = [code >> 10 * (width - 1 - k) & 1023 for k in range(width)]
+        if not starts or held[-1] + n > side:
+            starts, held, low, high = [*starts, code], [*held, 0], [*low, counts], [*high, counts]
+        held[-1] += n
+        low[-1], high[-1] = [min(p) for p in zip(low[-1], counts)], [max(p) for p in zip(high[-1], counts)]
+    parts = np.array([-(-n // side) for n in held])
+    base = np.cumsum(parts) - parts
+    low, high = (np.repeat(np.array(v, float), parts, axis=0) for v in (low, np.where(np.array(high) == 1023, np.inf, high)))
+    near = np.zeros((len(low), len(low)), bool)
+    for k in range(len(low)):
+        off = np.maximum(np.maximum(low[k] - high, low - high[k]), 0).sum(1)
+        near[k] = off <= (1 - least) * (high[k].sum() + high.sum(1)) + 1e-9
+    return np.array(starts), base, parts, near
 
 
 def blocks(texts: DataFrame, sizes: list[int], within: bool, least: float, apart: int | None, initial: bool) -> DataFrame:
-    """All pairs of distinct texts, block by block: each text goes to the blocks of its row or column of a grid, and no task holds more than a block's sides."""
+    """All pairs of distinct texts that may be similar, block by block: each text goes to blocks of a grid, and no task holds more than a block's sides.
+
+    Within one table the grid's rows are ranges of counts of letter kinds, and blocks of ranges too far apart are left out; else texts are dealt by hash.
+    """
     side = min(SIDE, max(1, math.isqrt(sizes[0] * sizes[-1] // CELLS)))
-    high, wide = (max(1, -(-n // side)) for n in (sizes[0], sizes[-1]))
-    high, wide = (min(g, max(1, n)) for g, n in ((high, sizes[0]), (wide, sizes[-1])))
-    own = F.pmod(F.xxhash64("text"), F.when(F.col("side") == 0, F.lit(high)).otherwise(F.lit(wide)))
     if within:
-        dealt = texts.select("text", own.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("j"))
-        dealt = dealt.select((F.least("i", "j") * high + F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), "text")
+        kinds, width, counted = letter_kinds(texts, sizes[0])
+        starts, base, parts, near = ranges(counted, width, side, least)
+        wide = len(near)
+        i, j = np.nonzero(np.triu(near))
+        own, other = np.r_[i, j[i != j]], np.r_[i * wide + j, (i * wide + j)[i != j]]
+        order = np.argsort(own, kind="stable")
+        cells, seconds = other[order], (np.arange(len(own)) >= len(i))[order]
+        edges = np.searchsorted(own[order], np.arange(wide + 1))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.searchsorted(starts, packed(batch.column(0), kinds, width), "right") - 1
+                part = [zlib.crc32(t.encode()) % p if p > 1 else 0 for t, p in zip(batch.column(0).to_pylist(), parts[at].tolist())]
+                at = base[at] + np.array(part, np.int64)
+                for k in range(0, len(at), DEALT):
+                    some = at[k : k + DEALT]
+                    n = edges[some + 1] - edges[some]
+                    to = np.arange(n.sum()) + np.repeat(edges[some] - np.cumsum(n) + n, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[to]), pa.array(seconds[to]), batch.column(0).take(pa.array(k + np.repeat(np.arange(len(some)), n)))], ["cell", "second", "text"])
+
+        dealt = texts.select("text").mapInArrow(deal, "cell long, second boolean, text string")
+        tasks = len(i)
     else:
+        kinds = {}
+        high, wide = (min(max(1, -(-n // side)), max(1, n)) for n in (sizes[0], sizes[-1]))
+        number = F.pmod(F.xxhash64("text"), F.when(F.col("side") == 0, F.lit(high)).otherwise(F.lit(wide)))
         others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.lit(wide - 1)).otherwise(F.lit(high - 1)))).alias("j")
-        dealt = texts.select("text", "side", own.alias("i"), others)
+        dealt = texts.select("text", "side", number.alias("i"), others)
         dealt = dealt.select(F.when(F.col("side") == 0, F.col("i") * wide + F.col("j")).otherwise(F.col("j") * wide + F.col("i")).alias("cell"), (F.col("side") == 1).alias("second"), "text")
+        tasks = high * wide
 
     def run(cell: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         second = table.column("second").to_numpy()
-        whole = within and cell[0].as_py() // high == cell[0].as_py() % high
+        whole = within and cell[0].as_py() // wide == cell[0].as_py() % wide
         one, other = (table.filter(pa.array(m)).column("text").to_pylist() for m in (~second, second))
-        rows = list(compared(one, None if whole else other, within, least, apart, initial)) if one and (whole or other) else []
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.float64()))], ["a", "b", "ratio"])
+        found = compared(one, None if whole else other, within, least, apart, initial, kinds) if one and (whole or other) else ()
+        parts = [pa.table([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.float64()))], ["a", "b", "ratio"]) for rows in (([], [], []), *found)]
+        return pa.concat_tables(parts)
+
+    return dealt.repartition(min(2000, tasks), "cell").groupBy("cell").applyInArrow(run, "a string, b string, ratio double")
+
+
+def kept_tokens(texts: DataFrame, least: float) -> DataFrame:
+    """(side, text, n, token): the rarest tokens of each text, one of which it shares with every similar text."""
+    listed = texts.mapInArrow(lister(least), "side int, text string, n int, kept int, token string")
+    rare = listed.groupBy("token").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("side", "text").orderBy("texts", "token")
+    return listed.join(rare, "token").withColumn("_n", F.row_number().over(order)).where("_n <= kept").select("side", "text", "n", "token")
 
-    tasks = min(2000, high * (high + 1) // 2 if within else high * wide)
-    return dealt.repartition(tasks, "cell").groupBy("cell").applyInArrow(run, "a string, b string, ratio double")
+
+def meetings(kept: DataFrame, within: bool) -> float:
+    """How often texts would meet by tokens."""
+    counts = kept.groupBy("token").agg(*(F.count_if(F.col("side") == s).cast("double").alias(f"n{s}") for s in (0, 1)))
+    return counts.agg(F.sum(F.col("n0") * (F.col("n0") / 2 if within else F.col("n1")))).first()[0] or 0
 
 
 def similar(left: DataFrame, right: DataFrame | None, least: float, apart: int | None = None, initial: bool = False) -> DataFrame:
@@ -216,7 +457,8 @@ def similar(left: DataFrame, right: DataFrame | None, least: float, apart: int |
 
     Exact: two such texts share a certain number of adjacent letter pairs, so if each keeps its rarest ones, all but that number less one,
     they share a kept one. Texts meet by kept pairs only; lengths and letters in common are tested before the ratio is. Where all texts are
-    made of few letter pairs (names of common syllables) so many would meet that all pairs are compared in blocks instead.
+    made of few letter pairs (names of common syllables) so many would meet that they are compared in blocks instead; of a large table, some
+    texts tell beforehand. Either way finds the same pairs.
     """
     if not least > 2 / 3:
         raise ValueError("least must be over 2/3")
@@ -225,16 +467,14 @@ def similar(left: DataFrame, right: DataFrame | None, least: float, apart: int |
         texts = texts.unionAll(right.select(F.lit(1).alias("side"), "text"))
     tables = Tables(left.sparkSession, "similar")
     texts = tables.save(texts.where("text != ''").distinct(), "texts")
-    listed = texts.mapInArrow(lister(least), "side int, text string, n int, kept int, token string")
-    rare = listed.groupBy("token").agg(F.count("*").alias("texts"))
-    order = Window.partitionBy("side", "text").orderBy("texts", "token")
-    kept = listed.join(rare, "token").withColumn("_n", F.row_number().over(order)).where("_n <= kept").select("side", "text", "n", "token")
-    kept = tables.save(kept, "kept")
     sizes = {r["side"]: r["n"] for r in texts.groupBy("side").agg(F.count("*").alias("n")).collect()}  # one row of each side
-    counts = kept.groupBy("token").agg(*(F.count_if(F.col("side") == s).cast("double").alias(f"n{s}") for s in (0, 1)))
-    meet = counts.agg(F.sum(F.col("n0") * (F.col("n0") / 2 if right is None else F.col("n1")))).first()[0] or 0
     ends = [sizes.get(0, 0), sizes.get(0 if right is None else 1, 0)]
-    if meet * DEARER > ends[0] * ends[1] / (2 if right is None else 1):
+    if right is None and ends[0] > 2 * ASKED:
+        some = tables.save(texts.where(F.pmod(F.xxhash64("text", F.lit(0)), F.lit(ends[0] // ASKED)) == 0), "some")
+        if meetings(tables.save(kept_tokens(some, least), "asked"), True) * DEARER > some.count() ** 2 / 2:
+            return blocks(texts, ends, True, least, apart, initial)
+    kept = tables.save(kept_tokens(texts, least), "kept")
+    if meetings(kept, right is None) * DEARER > ends[0] * ends[1] / (2 if right is None else 1):
         return blocks(texts, ends, right is None, least, apart, initial)
     a = kept.where("side = 0").select(F.col("text").alias("a"), F.col("n").alias("n_a"), "token")
     b = kept.where(F.lit(right is None) | (F.col("side") == 1)).select(F.col("text").alias("b"), F.col("n").alias("n_b"), "token")

@@ -1,5 +1,6 @@
 """Similarity join, dictionary matching and vector search against all pairs."""
 
+import itertools
 import random
 import re
 from difflib import SequenceMatcher
@@ -76,6 +77,43 @@ def test_names_of_common_syllables_are_not_joined_by_tokens(spark):
     assert sorted(tuple(x) for x in found.collect()) == [(a, b, v) for a in names for b in names if a < b and (v := ratio(a, b)) >= 0.84]
 
 
+def common_names(r, n):
+    syllables = ["ber", "dal", "ez", "gu", "ham", "ko", "ley", "lo", "ma", "ni", "or", "ren", "son", "tan", "vic", "ström"]
+    return sorted({"".join(r.choices(["an", "el", "jo", "lu", "mé", "ri", "vi"], k=r.choice([2, 3]))) + " " + "".join(r.choices(syllables, k=4)) for _ in range(n)})
+
+
+def test_few_pairs_of_common_names_are_aligned(monkeypatch):
+    names = common_names(random.Random(4), 3000)
+    aligned = []
+    common = similar.common
+    monkeypatch.setattr(similar, "common", lambda *args: aligned.append(len(found := common(*args))) or found)
+    found = list(similar.compared(names, None, True, 0.84, None, False))
+    assert found and 0 < sum(aligned) < len(names) ** 2 / 2 / 100
+
+
+@pytest.mark.parametrize("run, least", [(0, 0.7), (0, 0.84), (10**9, 0.84)])
+def test_blocks_of_near_letter_counts_hold_all_similar_texts(spark, monkeypatch, run, least):
+    for name, value in {"DEARER": 10**9, "RUN": run, "SIDE": 60, "CELLS": 8, "ASKED": 100, "DEALT": 7}.items():
+        monkeypatch.setattr(similar, name, value)
+    r = random.Random(9)
+    base = [*common_names(r, 70), *("".join(r.choices("abcdefé1 😀", k=r.choice([1, 2, 5, 30, 70, 130]))) for _ in range(20)), "ab" * 1200, "ab" * 1190]
+    texts = sorted({*base, *(edited(r, t) for t in base for _ in range(2))} - {""})
+    want = [(a, b, v) for a in texts for b in texts if a < b and (v := ratio(a, b)) >= least]
+    assert sorted(tuple(x) for x in similar.similar(spark.createDataFrame([(t,) for t in texts], "text string"), None, least).collect()) == want
+    texts = ["".join(t) for t in itertools.permutations("abcde")]  # of equal counts, more than a block holds
+    want = [(a, b, v) for a in texts for b in texts if a < b and (v := ratio(a, b)) >= least]
+    assert sorted(tuple(x) for x in similar.similar(spark.createDataFrame([(t,) for t in texts], "text string"), None, least).collect()) == sorted(want)
+
+
+def test_matched_letters_are_those_of_sequence_matcher():
+    r = random.Random(8)
+    pairs = [("".join(r.choices("abc", k=r.randint(1, 64))), "".join(r.choices("abcd", k=r.randint(1, 20)))) for _ in range(3000)]
+    code = lambda texts: np.array([[ord(c) for c in t] + [-1] * (max(map(len, texts)) - len(t)) for t in texts], np.int32)
+    a, b = zip(*pairs)
+    got = similar.gestalt(code(a), code(b), np.array([len(t) for t in a]), np.array([len(t) for t in b]))
+    assert got.tolist() == [sum(x.size for x in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks()) for p, q in pairs]
+
+
 def test_joins_of_names_are_those_of_all_pairs(spark):
     d = "/root/testdata/sf0.001"
     clients = spark.read.parquet(f"{d}/clients.parquet").collect()
